@@ -34,7 +34,7 @@ def camera_time(key: Column) -> Column:
 
 def normalise_name(name: Column, state: Column | None = None) -> Column:
     """Lower case, text before the first comma, words joined by single underscores."""
-    base = F.trim(F.lit("_"), F.regexp_replace(F.split(F.lower(name), ",")[0], "[^a-z0-9]+", "_"))
+    base = F.trim(F.regexp_replace(F.split(F.lower(name), ",")[0], "[^a-z0-9]+", "_"), F.lit("_"))
     return base if state is None else F.concat(F.lower(state), F.lit("_"), base)
 
 

@@ -43,7 +43,10 @@ def with_ctes(names: Sequence[str], sql: str) -> str:
     if not parts:
         return text
     own = text[5:] if text.upper().startswith("WITH ") else None
-    return "WITH " + ",\n".join(parts) + (",\n" + own if own else "\n" + text)
+    start = "WITH "
+    if own and own.upper().startswith("RECURSIVE "):
+        own, start = own[10:], "WITH RECURSIVE "
+    return start + ",\n".join(parts) + (",\n" + own if own else "\n" + text)
 
 
 def query(name: str, sql: str | None = None, views: Sequence[str] = ()):

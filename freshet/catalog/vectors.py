@@ -1 +1,41 @@
-"""Queries."""
+"""Queries of embedding operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from freshet.catalog.registry import Inputs, query, rounded
+from freshet.operators import vectors
+
+
+
+@query("l2_normalise", """
+WITH n AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings),
+s AS (SELECT vec_id, sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS norm FROM n GROUP BY vec_id)
+SELECT vec_id, CAST(i - 1 AS INT) AS i, round(CAST(x AS DOUBLE) / norm, 6) AS x FROM n JOIN s USING (vec_id)""")
+def l2_normalise(d: Inputs) -> DataFrame:
+    out = vectors.l2_normalise(d.table("embeddings"))
+    return out.select("vec_id", F.posexplode("unit").alias("i", "x")).select("vec_id", "i", *rounded("x"))
+
+
+@query("cosine_neighbours", """
+WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM n),
+p AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 9) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour) AS rank FROM p)
+SELECT vec_id, rank, neighbour, round(s, 3) AS sim FROM r WHERE rank <= 5""")
+def cosine_neighbours(d: Inputs) -> DataFrame:
+    return vectors.cosine_neighbours(d.table("embeddings"), 5, "vec_id")
+
+
+@query("kmeans_clusters")
+def kmeans_clusters(d: Inputs) -> DataFrame:
+    return vectors.kmeans_clusters(d.table("embeddings"), 5, 0).select("vec_id", "cluster")
+
+
+@query("static_vectors", """
+SELECT lpad(CAST(p_partkey + 10000000 AS STRING), 8, '0') AS "STAID", CAST(p_size AS FLOAT) AS a, CAST(p_retailprice AS FLOAT) AS b, 'p_size,p_retailprice' AS names FROM part""")
+def static_vectors(d: Inputs) -> DataFrame:
+    p = d.table("part").select(F.lpad((F.col("p_partkey") + 10000000).cast("string"), 8, "0").alias("STAID"), "p_brand", "p_size", "p_retailprice")
+    out = vectors.static_vectors(p)
+    return out.select("STAID", F.get("static", F.lit(0)).alias("a"), F.get("static", F.lit(1)).alias("b"), F.array_join("static_names", ",").alias("names"))

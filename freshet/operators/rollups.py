@@ -183,3 +183,9 @@ def sync_summary(listing: DataFrame) -> DataFrame:
     up = F.col("action") == "upload"
     return listing.agg(F.count_if(up).alias("uploaded"), F.count_if(~up).alias("skipped"),
                        F.coalesce(F.sum(F.when(up, F.col("size"))), F.lit(0)).alias("bytes_uploaded"))
+
+
+def preferred_variant(files: DataFrame, day: str = "day", variant: str = "variant") -> DataFrame:
+    """Most final file variant that exists for each day."""
+    rank = F.array_position(F.lit(K.SNOW_VARIANTS), F.col(variant))
+    return files.groupBy(day).agg(F.min_by(variant, F.when(rank > 0, rank)).alias(variant))

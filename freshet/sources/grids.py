@@ -68,14 +68,12 @@ CELL_SCHEMA = ("date date, cell_id bigint, row int, col int, lat double, lon dou
                " grid_rows int, grid_cols int")
 
 
-def snow_tars_to_cells(spark: SparkSession, paths: Paths, product: str = K.SNOW_PRODUCT,
-                       box: Sequence[float] | None = None) -> DataFrame:
-    """Cells of daily snow archives; fill values are null. One archive is one day and one task's work.
+def archives_to_cells(archives: DataFrame, product: str = K.SNOW_PRODUCT, box: Sequence[float] | None = None) -> DataFrame:
+    """Cells of archives held in a binary column `content`; fill values are null.
 
-    `box` (min_lon, min_lat, max_lon, max_lat) drops cells inside the task, before anything is shuffled.
+    One archive is one task's work, handed on some rows at a time. `box` (min_lon, min_lat, max_lon,
+    max_lat) drops cells inside the task, before anything is shuffled.
     """
-    files = spark.read.format("binaryFile").load(_paths(paths)).select("content")
-
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
@@ -84,10 +82,16 @@ def snow_tars_to_cells(spark: SparkSession, paths: Paths, product: str = K.SNOW_
                         part = part[part["lon"].between(box[0], box[2]) & part["lat"].between(box[1], box[3])]
                     yield part
 
-    cells = files.mapInPandas(decode, CELL_SCHEMA)
+    cells = archives.select("content").mapInPandas(decode, CELL_SCHEMA)
     return cells.withColumn("swe_mm", F.when(~F.isnan("swe_mm"), F.col("swe_mm")))
 
 
+def snow_tars_to_cells(spark: SparkSession, paths: Paths, product: str = K.SNOW_PRODUCT,
+                       box: Sequence[float] | None = None) -> DataFrame:
+    """Cells of daily snow archives on disk, one task per day."""
+    return archives_to_cells(spark.read.format("binaryFile").load(_paths(paths)), product, box)
+
+
 def check_grid(cells: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """Fail the query on cells of a grid with another number of rows or columns."""
     fits = (F.col("grid_rows") == shape[0]) & (F.col("grid_cols") == shape[1])
@@ -95,10 +99,8 @@ def check_grid(cells: DataFrame, shape: tuple[int, int]) -> DataFrame:
         F.raise_error(F.lit("grid shape changed")).cast("bigint")))
 
 
-def read_day_maps(spark: SparkSession, paths: Paths, name: str = "snodas_swe_mm") -> DataFrame:
-    """Daily `{site: mean}` files; days marked missing are left out, the date comes from the file name."""
-    docs = spark.read.text(_paths(paths), wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), F.col("value"))
+def day_maps_to_rows(docs: DataFrame, name: str = "snodas_swe_mm") -> DataFrame:
+    """Daily `{site: mean}` texts as rows; days marked missing are left out, the date comes from `file`."""
     days = docs.filter(F.col("file").endswith(".json")).filter(
         F.coalesce(F.get_json_object("value", "$.missing"), F.lit("false")) != "true")
     # The services write NaN without quotes, which JSON does not allow.
@@ -108,9 +110,15 @@ def read_day_maps(spark: SparkSession, paths: Paths, name: str = "snodas_swe_mm"
     return rows.select("site_no", "datetime", name)
 
 
-def read_basins(spark: SparkSession, paths: Paths) -> DataFrame:
+def read_day_maps(spark: SparkSession, paths: Paths, name: str = "snodas_swe_mm") -> DataFrame:
+    """Daily maps on disk, one small file per day."""
+    docs = spark.read.text(_paths(paths), wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
+    return day_maps_to_rows(docs, name)
+
+
+def read_basins(spark: SparkSession, paths: Paths, one_per_line: bool = False) -> DataFrame:
     """Basin outlines as multi-polygons; the site is the feature's `site_no` or the file name before `_`."""
-    docs = spark.read.text(_paths(paths), wholetext=True).select(
+    docs = spark.read.text(_paths(paths), wholetext=not one_per_line).select(
         F.col("_metadata.file_name").alias("file"), F.col("value"))
     site = F.coalesce(F.get_json_object("value", "$.properties.site_no"),
                       F.get_json_object("value", "$.features[0].properties.site_no"),
@@ -119,12 +127,16 @@ def read_basins(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def dem_tiles_to_pixels(spark: SparkSession, root: str, zoom: int, box: Sequence[float], tile_size: int = 256) -> DataFrame:
-    """Terrain tiles `root/z/x/y.png` as pixels (row, col, lat, lon, elevation_m) cropped to a box.
+    """Terrain tiles `root/z/x/y.png` as pixels; Spark's image source decodes the PNG."""
+    images = spark.read.format("image").load(f"{root.rstrip('/')}/{zoom}/*/*.png").select("image.*")
+    return tiles_to_pixels(images, zoom, box, tile_size)
+
 
-    Spark's image source decodes the PNG; rows and columns that miss the box are dropped before pixels are
-    unpacked.
+def tiles_to_pixels(images: DataFrame, zoom: int, box: Sequence[float], tile_size: int = 256) -> DataFrame:
+    """Decoded tiles as pixels (row, col, lat, lon, elevation_m) cropped to a box.
+
+    Pixel rows that miss the box are dropped before pixels are unpacked.
     """
-    images = spark.read.format("image").load(f"{root.rstrip('/')}/{zoom}/*/*.png").select("image.*")
     parts = F.regexp_extract("origin", r"/(\d+)/(\d+)\.png$", 1), F.regexp_extract("origin", r"/(\d+)/(\d+)\.png$", 2)
     placed = images.select("data", "nChannels", "height", "width", parts[0].cast("bigint").alias("x"),
                            parts[1].cast("bigint").alias("y"))

@@ -32,9 +32,9 @@ _FEATURES = ("features array<struct<geometry:struct<coordinates:array<double>>,
              "sid:string, sname:string, elevation:double, archive_begin:string, online:boolean>>>")
 
 
-def read_station_geojson(spark: SparkSession, paths: Paths) -> DataFrame:
+def read_station_geojson(spark: SparkSession, paths: Paths, multi_line: bool = True) -> DataFrame:
     """Stations of feature collections, in file order (`ord`)."""
-    docs = spark.read.schema(_FEATURES).json(_paths(paths), multiLine=True)
+    docs = spark.read.schema(_FEATURES).json(_paths(paths), multiLine=multi_line)
     rows = docs.select(F.posexplode("features").alias("ord", "f"))
     return rows.select("ord", F.col("f.properties.sid").alias("station_id"), F.col("f.properties.sname").alias("name"),
                        F.get("f.geometry.coordinates", F.lit(1)).alias("lat"),
@@ -88,8 +88,8 @@ def read_awdb_elements(spark: SparkSession, paths: Paths, multi_line: bool = Tru
 def read_forcing_csv(spark: SparkSession, paths: Paths) -> DataFrame:
     """Forcing readings after a preamble of any length, as (file, datetime, value).
 
-    Lines split over tasks: a line is data when it lies after its file's header line. A file without a
-    header line (any case of `timestamp`) fails the query.
+    Files are read as lines, so large ones split over tasks; data lines are those that begin with a time. A
+    file without a header line (any case of `timestamp`) fails the query.
     """
     lines = spark.read.text(_paths(paths)).select(F.col("_metadata.file_path").alias("file"), "value")
     marks = lines.groupBy("file").agg(F.count_if(F.lower("value").startswith("timestamp")).alias("_h"))

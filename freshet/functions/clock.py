@@ -19,13 +19,27 @@ def zone_of(code: Column) -> Column:
     )
 
 
-def local_to_utc(local: Column, zone: Column) -> Column:
+def local_to_utc(local: Column, zone: Column | str) -> Column:
     """UTC instant of a local clock reading; a repeated hour means standard time."""
+    zone = F.lit(zone) if isinstance(zone, str) else zone
     daylight = F.to_utc_timestamp(local, zone)
     standard = daylight + hour()
     return F.when(F.from_utc_timestamp(standard, zone) == local, standard).otherwise(daylight)
 
 
+def code_to_utc(local: Column, code: Column) -> Column:
+    """As `local_to_utc` for a clock code; one branch per zone keeps each zone a constant.
+
+    A code outside the table fails the query.
+    """
+    out = None
+    for zone in dict.fromkeys(ZONE_BY_CODE.values()):
+        hit = code.isin([c for c, z in ZONE_BY_CODE.items() if z == zone])
+        out = F.when(hit, local_to_utc(local, zone)) if out is None else out.when(hit, local_to_utc(local, zone))
+    unknown = F.concat(F.lit("unknown clock code: "), F.coalesce(code, F.lit("NULL")))
+    return out.otherwise(F.raise_error(unknown).cast("timestamp"))
+
+
 def ceil_to_hour(ts: Column) -> Column:
     """Next full hour unless the minute is already zero."""
     floor = F.date_trunc("hour", ts)

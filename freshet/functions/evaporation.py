@@ -33,26 +33,30 @@ def hargreaves_pet(tmin: Column, tmax: Column, latitude: Column, doy: Column,
     return clip_low(F.lit(0.0023) * radiation * spread * (mean + F.lit(17.8)), 0.0)
 
 
-def daylight_weight(latitude: Column, doy: Column, hour: Column) -> Column:
-    """Share of a day's evaporation that falls into one hour (half sine over daylight).
+def _with(value: Column, body) -> Column:
+    """Work out a value once and use it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    The sine is not cut outside sunrise and sunset, so very short days get some weight at night.
-    Days without daylight use equal shares.
+
+def daylight_weights(latitude: Column, doy: Column) -> Column:
+    """The 24 hourly shares of a day's evaporation, a half sine over daylight that sums to one.
+
+    The sine is not cut outside sunrise and sunset, so very short days get some weight at night. Days without
+    daylight use equal shares.
     """
-    weights = daylight_weights(latitude, doy)
-    return F.get(weights, hour.cast("int"))
+    hours = F.sequence(F.lit(0), F.lit(23))
 
+    def raw(daylight: Column) -> Column:
+        sunrise = F.lit(12.0) - daylight / F.lit(2.0)
+        return F.transform(hours, lambda h: F.greatest(
+            F.sin(F.pi() * (h.cast("double") + F.lit(0.5) - sunrise) / daylight), F.lit(0.0)))
+
+    def shares(weights: Column) -> Column:
+        total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
+        return _with(total, lambda t: F.when(t > 0.0, F.transform(weights, lambda x: x / t)).otherwise(uniform_weights()))
 
-def daylight_weights(latitude: Column, doy: Column) -> Column:
-    """All 24 hourly shares of a day; they sum to one."""
     daylight = F.lit(24.0) / F.pi() * _sunset_angle(latitude, doy)
-    sunrise = F.lit(12.0) - daylight / F.lit(2.0)
-    hours = F.sequence(F.lit(0), F.lit(23))
-    raw = F.transform(hours, lambda h: F.greatest(
-        F.sin(F.pi() * (h.cast("double") + F.lit(0.5) - sunrise) / daylight), F.lit(0.0)))
-    total = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x)
-    shares = F.transform(raw, lambda x: x / total)
-    return F.when((daylight > 0.0) & (total > 0.0), shares).otherwise(uniform_weights())
+    return _with(daylight, lambda d: F.when(d > 0.0, _with(raw(d), shares)).otherwise(uniform_weights()))
 
 
 def uniform_weights() -> Column:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|Inf|Infinity)\s*$"
-
-
 def to_number(text: Column) -> Column:
-    """Text to double; anything that is not a plain number becomes null."""
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    """Text to double; anything that is not a plain number becomes null.
+
+    Java's parser also takes type suffixes, hexadecimals and NaN, so texts with such letters are left out.
+    """
+    plain = F.translate(text, "dDfFxXpPnN", "") == text
+    infinite = F.lower(F.trim(text)).isin("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
+    return F.when(plain | infinite, text.try_cast("double"))
 
 
 def null_fill(value: Column, equals: float | None = None, at_most: float | None = None) -> Column:

@@ -19,17 +19,22 @@ def matched(text: Column, pattern: str, group: int) -> Column:
 
 
 def scene_fields(product_id: Column) -> dict[str, Column]:
-    """Satellite, sensing time, orbit and tile of a scene id; all null if it is none."""
+    """Satellite, sensing time, orbit and tile of a scene id; all null if it is none.
+
+    One search finds the id; its parts have fixed places.
+    """
+    found = F.nullif(F.regexp_extract(product_id, SCENE_PATTERN, 0), F.lit(""))
     return {
-        "satellite": matched(product_id, SCENE_PATTERN, 1),
-        "sensing_time": F.try_to_timestamp(matched(product_id, SCENE_PATTERN, 2), F.lit("yyyyMMdd'T'HHmmss")),
-        "orbit": matched(product_id, SCENE_PATTERN, 3),
-        "tile": matched(product_id, SCENE_PATTERN, 4),
+        "satellite": F.substring(found, 1, 3),
+        "sensing_time": F.try_to_timestamp(F.substring(found, 12, 15), F.lit("yyyyMMdd'T'HHmmss")),
+        "orbit": F.substring(found, 35, 3),
+        "tile": F.substring(found, 40, 5),
     }
 
 
 def camera_time(key: Column) -> Column:
-    return F.try_to_timestamp(matched(key, CAMERA_KEY_PATTERN, 1), F.lit("yyyy-MM-dd'T'HH-mm-ss"))
+    found = F.nullif(F.regexp_extract(key, CAMERA_KEY_PATTERN, 1), F.lit(""))
+    return F.try_to_timestamp(found, F.lit("yyyy-MM-dd'T'HH-mm-ss"))
 
 
 def normalise_name(name: Column, state: Column | None = None) -> Column:

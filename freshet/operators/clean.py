@@ -52,16 +52,21 @@ def null_fills(df: DataFrame, columns: Sequence[str], equals: float | None = Non
 
 
 def local_to_utc(df: DataFrame, key: str = "site_no", local: str = "datetime", code: str = "tz_cd",
-                 order: str = "ord") -> DataFrame:
+                 order: str = "ord", codes_from: DataFrame | None = None) -> DataFrame:
     """Replace the local clock text by its UTC time, using the clock code of the first row of each key.
 
-    The first row's code is found with a map-side aggregate and joined back, so a site that fills a large
-    part of the table is never gathered in one task.
+    The first row's code is found with a map-side aggregate (over `codes_from` when `df` is only a part of the
+    pull) and joined back, so a site that fills a large part of the table is never gathered in one task.
     """
-    zones = df.groupBy(key).agg(F.min_by(code, order).alias("_code")).withColumn("_zone", clock.zone_of(F.col("_code")))
-    stamp = F.to_timestamp(F.col(local), "yyyy-MM-dd HH:mm")
-    return (df.join(zones.select(key, "_zone"), key)
-            .withColumn(local, clock.local_to_utc(stamp, F.col("_zone"))).drop("_zone"))
+    pull = df if codes_from is None else codes_from
+    codes = pull.groupBy(key).agg(F.min_by(code, order).alias("_code"))
+    stamped = df.withColumn(local, F.to_timestamp(F.col(local), "yyyy-MM-dd HH:mm"))
+    return stamped.join(codes, key).withColumn(local, clock.code_to_utc(F.col(local), F.col("_code"))).drop("_code")
+
+
+def top_of_local_hour(df: DataFrame, local: str = "datetime") -> DataFrame:
+    """Rows whose clock text shows a full hour. All zones are whole hours off, so UTC agrees."""
+    return df.filter(F.col(local).endswith(":00"))
 
 
 def top_of_hour(df: DataFrame, ts: str = "datetime") -> DataFrame:

@@ -17,8 +17,7 @@ from freshet.sinks.tables import latest_per_key
 def usgs_to_hourly_utc(raw: DataFrame, key: str = "site_no", order: str = "ord") -> DataFrame:
     """Raw local-clock readings to numeric readings on full UTC hours."""
     flows = [c for c in K.FLOW_PARAMETERS.values() if c in raw.columns]
-    utc = clean.local_to_utc(raw, key, "datetime", "tz_cd", order)
-    hours = clean.top_of_hour(utc, "datetime")
+    hours = clean.local_to_utc(clean.top_of_local_hour(raw), key, "datetime", "tz_cd", order, codes_from=raw)
     return clean.coerce_numeric(hours, flows).select(key, order, F.col("datetime").alias("hour_updated"), *flows)
 
 

@@ -18,23 +18,28 @@ def matched(text: Column, pattern: str, group: int) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
-def scene_fields(product_id: Column) -> dict[str, Column]:
-    """Satellite, sensing time, orbit and tile of a scene id; all null if it is none.
+def first_match(text: Column, pattern: str, group: int) -> Column:
+    """The first match as an array of at most one element; exploding it searches each row once."""
+    return F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), 1, 1)
 
-    One search finds the id; its parts have fixed places.
-    """
-    found = F.nullif(F.regexp_extract(product_id, SCENE_PATTERN, 0), F.lit(""))
+
+def scene_parts(scene_id: Column) -> dict[str, Column]:
+    """Satellite, sensing time, orbit and tile of an exact scene id, whose parts have fixed places."""
     return {
-        "satellite": F.substring(found, 1, 3),
-        "sensing_time": F.try_to_timestamp(F.substring(found, 12, 15), F.lit("yyyyMMdd'T'HHmmss")),
-        "orbit": F.substring(found, 35, 3),
-        "tile": F.substring(found, 40, 5),
+        "satellite": F.substring(scene_id, 1, 3),
+        "sensing_time": F.try_to_timestamp(F.substring(scene_id, 12, 15), F.lit("yyyyMMdd'T'HHmmss")),
+        "orbit": F.substring(scene_id, 35, 3),
+        "tile": F.substring(scene_id, 40, 5),
     }
 
 
-def camera_time(key: Column) -> Column:
-    found = F.nullif(F.regexp_extract(key, CAMERA_KEY_PATTERN, 1), F.lit(""))
-    return F.try_to_timestamp(found, F.lit("yyyy-MM-dd'T'HH-mm-ss"))
+def scene_fields(text: Column) -> dict[str, Column]:
+    """The parts of the scene id inside a text; all null if there is none."""
+    return scene_parts(F.nullif(F.regexp_extract(text, SCENE_PATTERN, 0), F.lit("")))
+
+
+def camera_stamp(stamp: Column) -> Column:
+    return F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd'T'HH-mm-ss"))
 
 
 def normalise_name(name: Column, state: Column | None = None) -> Column:

@@ -93,13 +93,13 @@ def read_forcing_csv(spark: SparkSession, paths: Paths) -> DataFrame:
     """
     lines = spark.read.text(_paths(paths)).select(F.col("_metadata.file_path").alias("file"), "value")
     marks = lines.groupBy("file").agg(F.count_if(F.lower("value").startswith("timestamp")).alias("_h"))
-    checked = marks.select("file", F.when(F.col("_h") > 0, F.lit(True)).otherwise(F.raise_error(
-        F.concat(F.lit("no timestamp header in "), F.col("file"))).cast("boolean")).alias("_ok"))
-    stamp = F.try_to_timestamp(F.regexp_replace(F.trim(F.get(F.split("value", ","), F.lit(0))), "Z$", ""))
-    reading = numbers.null_fill(numbers.to_number(F.get(F.split("value", ","), F.lit(1))), at_most=K.FORCING_FILL_MAX)
-    rows = lines.filter(F.col("value").rlike(r"^\s*\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}")).select(
-        "file", stamp.alias("datetime"), reading.alias("value"))
-    return checked.filter("_ok").select("file").join(rows, "file").filter(F.col("datetime").isNotNull())
+    # Judged on every line, so that a file without any data line fails as well.
+    is_data = F.when(F.col("_h") > 0, F.col("value").rlike(r"^\s*\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}")).otherwise(
+        F.raise_error(F.concat(F.lit("no timestamp header in "), F.col("file"))).cast("boolean"))
+    cells = F.split("value", ",")
+    stamp = F.try_to_timestamp(F.regexp_replace(F.trim(F.get(cells, F.lit(0))), "Z$", ""))
+    reading = numbers.null_fill(numbers.to_number(F.get(cells, F.lit(1))), at_most=K.FORCING_FILL_MAX)
+    return lines.join(marks, "file").filter(is_data).select("file", stamp.alias("datetime"), reading.alias("value"))
 
 
 def read_gages_table(spark: SparkSession, paths: Paths, schema: str | T.StructType) -> DataFrame:

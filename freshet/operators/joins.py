@@ -199,28 +199,24 @@ def camera_patterns(state: Column, name: Column, site: Column) -> Column:
 
 
 def camera_pattern_match(gauges: DataFrame, keys: DataFrame, site: str = "site_no", state: str = "state",
-                         name: str = "station_nm", key: str = "key", gram: int = 6) -> DataFrame:
+                         name: str = "station_nm", key: str = "key") -> DataFrame:
     """Folders whose path contains any pattern of a gauge, without comparing every key with every gauge.
 
-    A pattern can occur in a path only if its leading characters do, so both sides meet on substrings of
-    that fixed length; `contains` then decides. Patterns shorter than the length fall back to their own
-    length. Keys are reduced to distinct folders first.
+    Keys are reduced to distinct folders first. A path contains a pattern exactly if one of its substrings of
+    that length equals it, so both sides meet by equality; a path has few substrings of the lengths in use.
     """
     folder = F.regexp_extract(F.col(key), r"^(.*/)[^/]*$", 1)
     folders = keys.select(folder.alias("prefix"), F.lower(key).alias("_path")).filter(F.length("prefix") > 0)
-    # A file name may match by itself, so the file part stays, without its time stamp and number runs.
+    # A file name may match by itself, so the file part stays, without the time stamp in which none can occur.
     folders = folders.withColumn("_path", F.regexp_replace("_path", r"___\d{4}-\d{2}-\d{2}t[\d-]*z", "___")).distinct()
     patterns = (gauges.select(site, F.explode(camera_patterns(F.col(state), F.col(name), F.col(site))).alias("_p"))
-                .filter(F.length("_p") > 0).withColumn("_len", F.least(F.length("_p"), F.lit(gram))))
-    lengths = patterns.select("_len").distinct()
-    patterns = patterns.withColumn("_g", F.expr("substring(_p, 1, _len)"))
-    # At most `gram` different lengths exist, so this small table multiplies the folders by a constant.
-    sized = folders.join(lengths, F.length("_path") >= F.col("_len"))
-    grams = sized.select("prefix", "_path", "_len", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("_path") - F.col("_len") + 1),
-        lambda i: F.col("_path").substr(i, F.col("_len"))))).alias("_g"))
-    hits = patterns.join(grams, ["_len", "_g"]).filter(F.contains("_path", "_p"))
-    return hits.select(site, "prefix").distinct()
+                .filter(F.length("_p") > 0))
+    lengths = patterns.agg(F.array_sort(F.collect_set(F.length("_p"))).alias("n")).scalar()
+    parts = (folders.withColumn("_n", F.explode(lengths)).filter(F.col("_n") <= F.length("_path"))
+             .select("prefix", F.explode(F.array_distinct(F.transform(
+                 F.sequence(F.lit(1), F.length("_path") - F.col("_n") + 1),
+                 lambda i: F.col("_path").substr(i, F.col("_n"))))).alias("_p")).distinct())
+    return patterns.join(parts, "_p").select(site, "prefix").distinct()
 
 
 def fips_state(df: DataFrame, code: str = "state_cd", name: str = "state") -> DataFrame:

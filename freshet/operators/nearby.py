@@ -1,8 +1,9 @@
 """Nearest and best stations without comparing every gauge with every station.
 
-Places are put into cells of the globe. Occupied cells are few (at most 360/size * 180/size), so a table of
-cells with their station counts has a fixed bound. From it each gauge cell works out which station cells
-can hold an answer at all; only those are joined, by equality, and exact distances decide.
+Places are put into cells of the globe. The coarse cells that hold stations are at most 360/size * 180/size,
+so their list has a fixed bound. From it each gauge cell works out which station cells can hold an answer at
+all. The surviving pairs of cells are then split into sixteen by sixteen finer cells and judged again, so a
+crowded cell is divided rather than compared place by place; exact distances decide between what remains.
 """
 
 from __future__ import annotations
@@ -18,77 +19,110 @@ from freshet.functions.geo import haversine_km
 _KM_PER_DEGREE = EARTH_RADIUS_KM * math.pi / 180.0
 # Distances compare after rounding, so that equal places tie on every engine.
 DISTANCE_DIGITS = 6
+SMALLEST_COARSE_CELL = 0.5  # at most 259,200 coarse cells on the globe
+SPLIT = 16
 
 
-def _with_cell(df: DataFrame, size: float, prefix: str) -> DataFrame:
-    return df.withColumns({f"{prefix}_i": F.floor(F.col("lat") / F.lit(size)).cast("int"),
-                           f"{prefix}_j": F.floor(F.col("lon") / F.lit(size)).cast("int")})
+def _cells(df: DataFrame, size: float, prefix: str, parents: bool = False) -> DataFrame:
+    """Cell numbers of each place; with `parents` also those of the cell one level up."""
+    i, j = F.floor(F.col("lat") / F.lit(size)), F.floor(F.col("lon") / F.lit(size))
+    out = {f"{prefix}_i": i.cast("int"), f"{prefix}_j": j.cast("int")}
+    if parents:
+        out |= {f"{prefix}_pi": F.floor(i / SPLIT).cast("int"), f"{prefix}_pj": F.floor(j / SPLIT).cast("int")}
+    return df.withColumns(out)
 
 
 def _centre(index: Column, size: float) -> Column:
     return (index.cast("double") + F.lit(0.5)) * F.lit(size)
 
 
-def _cell_radius(size: float) -> Column:
+def _cell_radius(size: float) -> float:
     # Half the diagonal of a cell at the equator is the largest possible, plus a metre for rounding.
-    return F.lit(size * _KM_PER_DEGREE * math.sqrt(0.5) + 0.001)
+    return size * _KM_PER_DEGREE * math.sqrt(0.5) + 0.001
 
 
-def candidate_cells(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence[str], size: float) -> DataFrame:
-    """Pairs of gauge cell and station cell that may hold one of the k nearest stations."""
-    on = list(on)
-    occupied = (_with_cell(stations, size, "s").groupBy(*on, "s_i", "s_j").agg(F.count(F.lit(1)).alias("n"))
-                .groupBy(*on).agg(F.collect_list(F.struct("s_i", "s_j", "n")).alias("cells")))
-    asking = _with_cell(gauges, size, "g").select(*on, "g_i", "g_j").distinct()
-    pairs = asking.join(occupied, on) if on else asking.join(occupied)
+def _between_centres(i: Column, j: Column, size: float) -> Column:
+    return haversine_km(_centre(F.col("g_i"), size), _centre(F.col("g_j"), size), _centre(i, size), _centre(j, size))
 
-    def spread(cell: Column) -> Column:
-        return haversine_km(_centre(F.col("g_i"), size), _centre(F.col("g_j"), size),
-                            _centre(cell["s_i"], size), _centre(cell["s_j"], size))
 
+def _prune(asked: DataFrame, k: int, keep: Sequence[str], size: float) -> DataFrame:
+    """Keep the station cells of the array `cells` that may hold one of the k nearest of a gauge cell."""
     reach = F.array_sort(F.transform("cells", lambda c: F.struct(
-        spread(c).alias("d"), c["n"].alias("n"), c["s_i"].alias("s_i"), c["s_j"].alias("s_j"))))
+        _between_centres(c["s_i"], c["s_j"], size).alias("d"), c["n"].alias("n"), c["s_i"].alias("s_i"), c["s_j"].alias("s_j"))))
     # Distance at which the nearest cells hold k stations for sure.
     enough = F.aggregate("reach", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("d")),
                          lambda acc, c: F.when(acc["n"] < k, F.struct((acc["n"] + c["n"]).alias("n"),
                                                                       c["d"].alias("d"))).otherwise(acc))
-    slack = _cell_radius(size) * F.lit(4.0)
+    slack = F.lit(4.0 * _cell_radius(size))
     near = F.filter("reach", lambda c: (F.col("enough.n") < k) | (c["d"] <= F.col("enough.d") + slack))
-    return (pairs.withColumn("reach", reach).withColumn("enough", enough)
-            .select(*on, "g_i", "g_j", F.inline(F.transform(near, lambda c: F.struct(
+    return (asked.withColumn("reach", reach).withColumn("enough", enough)
+            .select(*keep, "g_i", "g_j", F.inline(F.transform(near, lambda c: F.struct(
                 c["s_i"].alias("s_i"), c["s_j"].alias("s_j"))))))
 
 
-def _ranked_candidates(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence[str], size: float,
+def candidate_cells(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence[str], size: float,
+                    levels: int) -> tuple[DataFrame, float]:
+    """Pairs of gauge cell and station cell that may hold one of the k nearest stations, and their cell size."""
+    if size < SMALLEST_COARSE_CELL:
+        raise ValueError(f"coarse cells must span at least {SMALLEST_COARSE_CELL} degrees; use more levels instead")
+    on = list(on)
+    counted = _cells(stations, size, "s").groupBy(*on, "s_i", "s_j").agg(F.count(F.lit(1)).alias("n"))
+    listed = counted.groupBy(*on).agg(F.collect_list(F.struct("s_i", "s_j", "n")).alias("cells"))
+    asking = _cells(gauges, size, "g").select(*on, "g_i", "g_j").distinct()
+    asked = asking.join(listed, on) if on else asking.withColumn("cells", listed.scalar())
+    pairs = _prune(asked, k, on, size)
+    for _ in range(levels - 1):
+        size /= SPLIT
+        up = {"g_i": "g_pi", "g_j": "g_pj", "s_i": "s_pi", "s_j": "s_pj"}
+        finer = (_cells(stations, size, "s", parents=True).groupBy(*on, "s_pi", "s_pj", "s_i", "s_j")
+                 .agg(F.count(F.lit(1)).alias("n")))
+        asking = _cells(gauges, size, "g", parents=True).select(*on, "g_pi", "g_pj", "g_i", "g_j").distinct()
+        both = (asking.join(pairs.withColumnsRenamed(up), [*on, "g_pi", "g_pj"])
+                .join(finer, [*on, "s_pi", "s_pj"]))
+        # A gauge cell lists at most SPLIT * SPLIT cells for each of its coarser pairs.
+        asked = both.groupBy(*on, "g_i", "g_j").agg(F.collect_list(F.struct("s_i", "s_j", "n")).alias("cells"))
+        pairs = _prune(asked, k, on, size)
+    return pairs, size
+
+
+def _ranked_candidates(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence[str], size: float, levels: int,
                        gauge_key: str) -> DataFrame:
     on = list(on)
-    cells = candidate_cells(gauges, stations, k, on, size)
-    left = _with_cell(gauges.select(gauge_key, "lat", "lon", *on), size, "g").withColumnsRenamed(
+    pairs, fine = candidate_cells(gauges, stations, k, on, size, levels)
+    left = _cells(gauges.select(gauge_key, "lat", "lon", *on), fine, "g").withColumnsRenamed(
         {"lat": "g_lat", "lon": "g_lon"})
-    right = _with_cell(stations, size, "s")
-    pairs = left.join(cells, [*on, "g_i", "g_j"]).join(right, [*on, "s_i", "s_j"])
+    right = _cells(stations, fine, "s")
+    near = left.join(pairs, [*on, "g_i", "g_j"]).join(right, [*on, "s_i", "s_j"])
     km = F.round(haversine_km(F.col("g_lat"), F.col("g_lon"), F.col("lat"), F.col("lon")), DISTANCE_DIGITS)
-    return pairs.withColumn("distance_km", km)
+    return near.withColumn("distance_km", km)
 
 
 def nearest_station(gauges: DataFrame, stations: DataFrame, on: Sequence[str] = (), size: float = 1.0,
-                    gauge_key: str = "site_no", order: str = "ord") -> DataFrame:
-    """Closest station of each gauge (within the same `on` values); first in station order on ties."""
-    pairs = _ranked_candidates(gauges, stations, 1, on, size, gauge_key)
-    best = pairs.groupBy(gauge_key).agg(F.min_by(F.struct("station_id", "distance_km"),
-                                                 F.struct("distance_km", order)).alias("b"))
+                    levels: int = 2, gauge_key: str = "site_no", order: str = "ord") -> DataFrame:
+    """Closest station of each gauge (within the same `on` values); first in station order on ties.
+
+    Stations at one place are first reduced to the first of them.
+    """
+    places = stations.groupBy(*on, "lat", "lon").agg(
+        F.min_by("station_id", order).alias("station_id"), F.min(order).alias(order))
+    near = _ranked_candidates(gauges, places, 1, on, size, levels, gauge_key)
+    best = near.groupBy(gauge_key).agg(F.min_by(F.struct("station_id", "distance_km"),
+                                                F.struct("distance_km", order)).alias("b"))
     return best.select(gauge_key, "b.station_id", "b.distance_km")
 
 
 def k_nearest_stations(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence[str] = (), size: float = 1.0,
-                       gauge_key: str = "site_no", order: str = "ord") -> DataFrame:
+                       levels: int = 2, gauge_key: str = "site_no", order: str = "ord") -> DataFrame:
     """The k closest stations of each gauge as rows with a rank.
 
-    The rank limit is applied before the shuffle too, so a crowded cell sends at most k rows per task.
+    Of the stations at one place only the first k can be among them. Both rank limits are applied before the
+    shuffle too.
     """
-    pairs = _ranked_candidates(gauges, stations, k, on, size, gauge_key)
+    here = F.row_number().over(Window.partitionBy(*on, "lat", "lon").orderBy(order))
+    places = stations.withColumn("_h", here).filter(F.col("_h") <= k).drop("_h")
+    near = _ranked_candidates(gauges, places, k, on, size, levels, gauge_key)
     rank = F.row_number().over(Window.partitionBy(gauge_key).orderBy("distance_km", order))
-    return (pairs.select(gauge_key, "station_id", order, "distance_km").withColumn("rank", rank)
+    return (near.select(gauge_key, "station_id", order, "distance_km").withColumn("rank", rank)
             .filter(F.col("rank") <= k).drop(order))
 
 
@@ -100,28 +134,55 @@ def station_map(ranked: DataFrame, gauge_key: str = "site_no") -> DataFrame:
         "stations", lambda s: F.struct(s["station_id"], s["distance_km"]))))
 
 
-def best_station(gauges: DataFrame, stations: DataFrame, max_km: float = SOIL_MAX_KM, size: float = 1.0,
+def _cells_in_range(gauge_cells: DataFrame, reach_km: float, size: float) -> DataFrame:
+    """Each gauge cell with every cell number whose centre may lie within reach, across the date line too."""
+    degrees = reach_km / _KM_PER_DEGREE
+    lat = _centre(F.col("g_i"), size)
+    cosine = F.cos(F.radians(F.least(F.abs(lat) + F.lit(degrees + size), F.lit(89.9))))
+    wide = F.least(F.lit(degrees) / cosine / F.lit(size), F.lit(180.0 / size))
+    high, across = int(math.ceil(degrees / size)) + 1, F.ceil(wide).cast("int") + 1
+    around, half = int(round(360.0 / size)), int(round(180.0 / size))
+    js = F.array_distinct(F.transform(F.sequence(F.col("g_j") - across, F.col("g_j") + across), lambda j: (
+        F.pmod(j + F.lit(half), F.lit(around)) - F.lit(half)).cast("int")))
+    return (gauge_cells.withColumn("s_i", F.explode(F.sequence(F.col("g_i") - high, F.col("g_i") + high)))
+            .withColumn("s_j", F.explode(js)))
+
+
+def earliest_in_range(gauges: DataFrame, stations: DataFrame, max_km: float, size: float, gauge_key: str,
+                      begin: str) -> DataFrame:
+    """Earliest record date of any station within range of each gauge that has one.
+
+    A station cell that lies in range as a whole settles a date by its own earliest one. Only cells on the rim
+    of the range are looked into, and only for stations older than that date.
+    """
+    located = _cells(stations.filter(F.col(begin).isNotNull()), size, "s")
+    oldest = located.groupBy("s_i", "s_j").agg(F.min(begin).alias("_oldest"))
+    radius = _cell_radius(size)
+    cells = _cells(gauges, size, "g").select("g_i", "g_j").distinct()
+    around = (_cells_in_range(cells, max_km + 2.0 * radius, size).join(oldest, ["s_i", "s_j"])
+              .withColumn("_d", _between_centres(F.col("s_i"), F.col("s_j"), size))
+              .filter(F.col("_d") <= max_km + 2.0 * radius))
+    whole = F.col("_d") <= max_km - 2.0 * radius
+    settled = around.groupBy("g_i", "g_j").agg(F.min(F.when(whole, F.col("_oldest"))).alias("_sure"))
+    rim = (around.filter(~whole).join(settled, ["g_i", "g_j"])
+           .filter(F.col("_sure").isNull() | (F.col("_oldest") < F.col("_sure"))).select("g_i", "g_j", "s_i", "s_j", "_sure"))
+    asking = _cells(gauges.select(gauge_key, F.col("lat"), F.col("lon")), size, "g")
+    older = located.select("s_i", "s_j", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.col(begin).alias("_b")).distinct()
+    km = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")), DISTANCE_DIGITS)
+    found = (asking.join(rim, ["g_i", "g_j"]).join(older, ["s_i", "s_j"])
+             .filter((F.col("_sure").isNull() | (F.col("_b") < F.col("_sure"))) & (km <= max_km))
+             .groupBy(gauge_key).agg(F.min("_b").alias("_rim")))
+    both = asking.join(settled, ["g_i", "g_j"]).join(found, gauge_key, "left")
+    return both.select(gauge_key, "lat", "lon", F.least("_sure", "_rim").alias(begin)).filter(F.col(begin).isNotNull())
+
+
+def best_station(gauges: DataFrame, stations: DataFrame, max_km: float = SOIL_MAX_KM, size: float = 1.0 / 4.0,
                  gauge_key: str = "site_no", begin: str = "begin_date", order: str = "ord") -> DataFrame:
     """Station within range with the earliest record, nearest on ties; null columns when there is none.
 
-    Every gauge asks only the cells that its range touches.
+    The earliest date in range is found first; the nearest station with just that date is then in range too.
     """
-    margin = max_km / _KM_PER_DEGREE + 1e-6
-    cosine = F.cos(F.radians(F.least(F.abs(F.col("lat")) + F.lit(margin), F.lit(89.9))))
-    across = F.least(F.lit(margin) / cosine, F.lit(180.0))
-    i0, i1 = (F.floor((F.col("lat") + F.lit(s * margin)) / F.lit(size)).cast("int") for s in (-1, 1))
-    j0, j1 = (F.floor((F.col("lon") + F.lit(float(s)) * across) / F.lit(size)).cast("int") for s in (-1, 1))
-    around = int(round(360.0 / size))
-    west = -around // 2
-    asked = (gauges.select(gauge_key, F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"),
-                           F.explode(F.sequence(i0, i1)).alias("s_i"), F.sequence(j0, j1).alias("_js"))
-             .select(gauge_key, "g_lat", "g_lon", "s_i", F.explode(F.array_distinct(F.transform(
-                 "_js", lambda j: (F.pmod(j - F.lit(west), F.lit(around)) + F.lit(west)).cast("int")))).alias("s_j")))
-    usable = _with_cell(stations.filter(F.col(begin).isNotNull()), size, "s")
-    km = F.round(haversine_km(F.col("g_lat"), F.col("g_lon"), F.col("lat"), F.col("lon")), DISTANCE_DIGITS)
-    pairs = asked.join(usable, ["s_i", "s_j"]).withColumn("distance_km", km).filter(F.col("distance_km") <= max_km)
-    best = pairs.groupBy(gauge_key).agg(
-        F.min_by(F.struct("station_id", "distance_km", F.col(begin).alias("element_begin")),
-                 F.struct(F.col(begin), F.col("distance_km"), F.col(order))).alias("b"))
-    return gauges.select(gauge_key).join(best, gauge_key, "left").select(
-        gauge_key, "b.station_id", "b.distance_km", "b.element_begin")
+    dated = earliest_in_range(gauges, stations, max_km, size, gauge_key, begin)
+    nearest = nearest_station(dated, stations, [begin], gauge_key=gauge_key, order=order)
+    return (gauges.select(gauge_key).join(dated.select(gauge_key, F.col(begin).alias("element_begin")), gauge_key, "left")
+            .join(nearest, gauge_key, "left").select(gauge_key, "station_id", "distance_km", "element_begin"))

@@ -154,8 +154,8 @@ def _nearest_axis(wanted: DataFrame, axis: DataFrame, size: float) -> DataFrame:
     Values beyond the axis are moved to its end first, so the nearest position always lies in the value's
     bucket or a neighbouring one.
     """
-    ends = axis.agg(F.min("a").alias("_lo"), F.max("a").alias("_hi"))  # a single row
-    placed = wanted.join(ends).withColumn("_c", F.least(F.greatest("v", "_lo"), F.col("_hi")))
+    low, high = axis.agg(F.min("a")).scalar(), axis.agg(F.max("a")).scalar()
+    placed = wanted.withColumn("_c", F.least(F.greatest(F.col("v"), low), high))
     pairs = (placed.withColumn("_b", F.explode(F.array(*[_bucket(F.col("_c"), size) + d for d in (-1, 0, 1)])))
              .join(axis.withColumn("_b", _bucket(F.col("a"), size)), "_b"))
     return pairs.groupBy("v").agg(F.min_by("idx", F.struct(F.abs(F.col("v") - F.col("a")), F.col("idx"))).alias("idx"))

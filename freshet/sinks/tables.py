@@ -17,12 +17,13 @@ def write_hourly(df: DataFrame, path: str, key: str = "site_no", ts: str = "hour
                  partitions: Sequence[str] = ("state",), fmt: str = "parquet") -> None:
     """Hourly rows in folders of state and site bucket.
 
-    Rows are ranged by folder, site and time: files hold neighbouring hours of few sites (so scans skip by
-    statistics), and a site with very many rows still spreads over several tasks.
+    Rows are gathered by folder and then rebalanced by size: a site with very many rows is split over several
+    tasks and files, small folders share a task. Inside a file rows lie by site and time, so scans can skip by
+    statistics.
     """
     folders = [*[p for p in partitions if p in df.columns], "site_bucket"]
     placed = df.withColumn("site_bucket", site_bucket(F.col(key)))
-    ranged = placed.repartitionByRange(*folders, key, ts).sortWithinPartitions(*folders, key, ts)
+    ranged = placed.hint("rebalance", *folders).sortWithinPartitions(*folders, key, ts)
     writer = ranged.write.mode(mode).partitionBy(*folders)
     writer.csv(path, header=True) if fmt == "csv" else writer.format(fmt).save(path)
 
@@ -45,8 +46,8 @@ def write_basins(df: DataFrame, path: str, key: str = "site_no", mode: str = "ov
 
 
 def write_series(df: DataFrame, path: str, key: str = "site_no", ts: str = "datetime", mode: str = "overwrite") -> None:
-    """One folder per basin, rows in time order."""
-    df.repartitionByRange(key, ts).sortWithinPartitions(key, ts).write.mode(mode).partitionBy(key).parquet(path)
+    """One folder per basin, rows in time order; a basin with very many rows is split by size."""
+    df.hint("rebalance", key).sortWithinPartitions(key, ts).write.mode(mode).partitionBy(key).parquet(path)
 
 
 def write_manifest(df: DataFrame, path: str, mode: str = "append", fmt: str = "csv") -> None:

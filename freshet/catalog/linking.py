@@ -231,7 +231,7 @@ def nearest_station(d: Inputs) -> DataFrame:
 SELECT site_no, station_id, km AS distance_km FROM (SELECT g.site_no, t.station_id, {KM} AS km,
   row_number() OVER (PARTITION BY g.site_no ORDER BY {KM}, t.ord) AS k FROM gauges g, stations t) WHERE k = 1""", ["gauges", "stations"])
 def nearest_station_any(d: Inputs) -> DataFrame:
-    return nearby.nearest_station(d.view("gauges"), d.view("stations"), size=0.5)
+    return nearby.nearest_station(d.view("gauges"), d.view("stations"), size=1.0)
 
 
 @query("best_station", f"""
@@ -246,7 +246,7 @@ def best_station(d: Inputs) -> DataFrame:
 SELECT site_no, station_id, km AS distance_km, k AS rank FROM (SELECT g.site_no, t.station_id, {KM} AS km,
   row_number() OVER (PARTITION BY g.site_no ORDER BY {KM}, t.ord) AS k FROM gauges g, stations t) WHERE k <= 20""", ["gauges", "stations"])
 def k_nearest_stations(d: Inputs) -> DataFrame:
-    ranked = nearby.k_nearest_stations(d.view("gauges"), d.view("stations"), 20, size=0.5)
+    ranked = nearby.k_nearest_stations(d.view("gauges"), d.view("stations"), 20)
     lists = nearby.station_map(ranked)
     return lists.select("site_no", F.inline("stations")).select("site_no", "station_id", "distance_km", "rank")
 

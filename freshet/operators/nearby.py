@@ -36,28 +36,32 @@ def _centre(index: Column, size: float) -> Column:
     return (index.cast("double") + F.lit(0.5)) * F.lit(size)
 
 
-def _cell_radius(size: float) -> float:
-    # Half the diagonal of a cell at the equator is the largest possible, plus a metre for rounding.
-    return size * _KM_PER_DEGREE * math.sqrt(0.5) + 0.001
+def _cell_radius(index: Column, size: float) -> Column:
+    """Distance from a cell's centre that no point of it exceeds; cells are widest at the edge towards the equator."""
+    edge = F.greatest(F.lit(0.0), F.abs(_centre(index, size)) - F.lit(size / 2.0))
+    half = size / 2.0 * _KM_PER_DEGREE * 1.001  # the surface is curved
+    return F.lit(half) * F.sqrt(F.lit(1.0) + F.pow(F.cos(F.radians(edge)), 2.0)) + F.lit(0.001)
 
 
-def _between_centres(i: Column, j: Column, size: float) -> Column:
-    return haversine_km(_centre(F.col("g_i"), size), _centre(F.col("g_j"), size), _centre(i, size), _centre(j, size))
+def _between_centres(size: float) -> Column:
+    return haversine_km(*[_centre(F.col(c), size) for c in ("g_i", "g_j", "s_i", "s_j")])
 
 
-def _prune(asked: DataFrame, k: int, keep: Sequence[str], size: float) -> DataFrame:
-    """Keep the station cells of the array `cells` that may hold one of the k nearest of a gauge cell."""
-    reach = F.array_sort(F.transform("cells", lambda c: F.struct(
-        _between_centres(c["s_i"], c["s_j"], size).alias("d"), c["n"].alias("n"), c["s_i"].alias("s_i"), c["s_j"].alias("s_j"))))
-    # Distance at which the nearest cells hold k stations for sure.
-    enough = F.aggregate("reach", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("d")),
-                         lambda acc, c: F.when(acc["n"] < k, F.struct((acc["n"] + c["n"]).alias("n"),
-                                                                      c["d"].alias("d"))).otherwise(acc))
-    slack = F.lit(4.0 * _cell_radius(size))
-    near = F.filter("reach", lambda c: (F.col("enough.n") < k) | (c["d"] <= F.col("enough.d") + slack))
-    return (asked.withColumn("reach", reach).withColumn("enough", enough)
-            .select(*keep, "g_i", "g_j", F.inline(F.transform(near, lambda c: F.struct(
-                c["s_i"].alias("s_i"), c["s_j"].alias("s_j"))))))
+def _prune(pairs: DataFrame, k: int, on: Sequence[str], size: float) -> DataFrame:
+    """Keep the pairs of cells whose station cell, holding `n`, may hold one of the k nearest of the gauge cell.
+
+    Going by farthest possible distance, the first cells that together hold k stations give a distance within
+    which k are certain; a cell whose nearest possible point is farther cannot matter.
+    """
+    reach = _cell_radius(F.col("g_i"), size) + _cell_radius(F.col("s_i"), size)
+    spread = pairs.withColumn("_d", _between_centres(size)).withColumns({"_up": F.col("_d") + reach, "_lo": F.col("_d") - reach})
+    cell = Window.partitionBy(*on, "g_i", "g_j")
+    before = F.sum("n").over(cell.orderBy("_up", "s_i", "s_j").rowsBetween(Window.unboundedPreceding, -1))
+    counted = spread.withColumn("_before", F.coalesce(before, F.lit(0)))
+    certain = F.max(F.when(F.col("_before") < k, F.col("_up"))).over(cell)
+    total = F.sum("n").over(cell)
+    return (counted.withColumn("_enough", F.when(total >= k, certain))
+            .filter(F.col("_enough").isNull() | (F.col("_lo") <= F.col("_enough"))).select(*on, "g_i", "g_j", "s_i", "s_j"))
 
 
 def candidate_cells(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence[str], size: float,
@@ -70,7 +74,7 @@ def candidate_cells(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence
     listed = counted.groupBy(*on).agg(F.collect_list(F.struct("s_i", "s_j", "n")).alias("cells"))
     asking = _cells(gauges, size, "g").select(*on, "g_i", "g_j").distinct()
     asked = asking.join(listed, on) if on else asking.withColumn("cells", listed.scalar())
-    pairs = _prune(asked, k, on, size)
+    pairs = _prune(asked.select(*on, "g_i", "g_j", F.inline("cells")), k, on, size)
     for _ in range(levels - 1):
         size /= SPLIT
         up = {"g_i": "g_pi", "g_j": "g_pj", "s_i": "s_pi", "s_j": "s_pj"}
@@ -79,9 +83,8 @@ def candidate_cells(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence
         asking = _cells(gauges, size, "g", parents=True).select(*on, "g_pi", "g_pj", "g_i", "g_j").distinct()
         both = (asking.join(pairs.withColumnsRenamed(up), [*on, "g_pi", "g_pj"])
                 .join(finer, [*on, "s_pi", "s_pj"]))
-        # A gauge cell lists at most SPLIT * SPLIT cells for each of its coarser pairs.
-        asked = both.groupBy(*on, "g_i", "g_j").agg(F.collect_list(F.struct("s_i", "s_j", "n")).alias("cells"))
-        pairs = _prune(asked, k, on, size)
+        # At most SPLIT * SPLIT cells for each coarser pair meet in one gauge cell.
+        pairs = _prune(both.select(*on, "g_i", "g_j", "s_i", "s_j", "n"), k, on, size)
     return pairs, size
 
 
@@ -97,7 +100,7 @@ def _ranked_candidates(gauges: DataFrame, stations: DataFrame, k: int, on: Seque
     return near.withColumn("distance_km", km)
 
 
-def nearest_station(gauges: DataFrame, stations: DataFrame, on: Sequence[str] = (), size: float = 1.0,
+def nearest_station(gauges: DataFrame, stations: DataFrame, on: Sequence[str] = (), size: float = 0.5,
                     levels: int = 2, gauge_key: str = "site_no", order: str = "ord") -> DataFrame:
     """Closest station of each gauge (within the same `on` values); first in station order on ties.
 
@@ -111,7 +114,7 @@ def nearest_station(gauges: DataFrame, stations: DataFrame, on: Sequence[str] =
     return best.select(gauge_key, "b.station_id", "b.distance_km")
 
 
-def k_nearest_stations(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence[str] = (), size: float = 1.0,
+def k_nearest_stations(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence[str] = (), size: float = 0.5,
                        levels: int = 2, gauge_key: str = "site_no", order: str = "ord") -> DataFrame:
     """The k closest stations of each gauge as rows with a rank.
 
@@ -157,12 +160,12 @@ def earliest_in_range(gauges: DataFrame, stations: DataFrame, max_km: float, siz
     """
     located = _cells(stations.filter(F.col(begin).isNotNull()), size, "s")
     oldest = located.groupBy("s_i", "s_j").agg(F.min(begin).alias("_oldest"))
-    radius = _cell_radius(size)
     cells = _cells(gauges, size, "g").select("g_i", "g_j").distinct()
-    around = (_cells_in_range(cells, max_km + 2.0 * radius, size).join(oldest, ["s_i", "s_j"])
-              .withColumn("_d", _between_centres(F.col("s_i"), F.col("s_j"), size))
-              .filter(F.col("_d") <= max_km + 2.0 * radius))
-    whole = F.col("_d") <= max_km - 2.0 * radius
+    widest = size * _KM_PER_DEGREE * 1.5
+    reach = _cell_radius(F.col("g_i"), size) + _cell_radius(F.col("s_i"), size)
+    around = (_cells_in_range(cells, max_km + widest, size).join(oldest, ["s_i", "s_j"])
+              .withColumns({"_d": _between_centres(size), "_r": reach}).filter(F.col("_d") - F.col("_r") <= max_km))
+    whole = F.col("_d") + F.col("_r") <= max_km
     settled = around.groupBy("g_i", "g_j").agg(F.min(F.when(whole, F.col("_oldest"))).alias("_sure"))
     rim = (around.filter(~whole).join(settled, ["g_i", "g_j"])
            .filter(F.col("_sure").isNull() | (F.col("_oldest") < F.col("_sure"))).select("g_i", "g_j", "s_i", "s_j", "_sure"))

@@ -269,8 +269,8 @@ PET = """WITH t AS (SELECT station, CAST(valid || ':00' AS TIMESTAMP) AS ts, ord
 d AS (SELECT station, lat, CAST(ts AS DATE) AS day, dayofyear(ts) AS doy, min(c) AS tmin, max(c) AS tmax, avg(c) AS tmean FROM t GROUP BY 1, 2, 3, 4),
 g AS (SELECT *, radians(lat) AS phi, 0.409 * sin(2 * pi() / 365 * doy - 1.39) AS del, 1 + 0.033 * cos(2 * pi() / 365 * doy) AS dr FROM d),
 w AS (SELECT *, acos(least(greatest(-tan(phi) * tan(del), -1), 1)) AS ws FROM g),
-p AS (SELECT *, greatest(0.0023 * (1440 / pi()) * 0.082 * dr * (ws * sin(phi) * sin(del) + cos(phi) * cos(del) * sin(ws)) * 0.408
-  * sqrt(greatest(tmax - tmin, 0)) * (tmean + 17.8), 0) AS pet FROM w)"""
+p AS (SELECT *, CASE WHEN tmean IS NOT NULL THEN greatest(0.0023 * (1440 / pi()) * 0.082 * dr * (ws * sin(phi) * sin(del) + cos(phi) * cos(del) * sin(ws)) * 0.408
+  * sqrt(greatest(tmax - tmin, 0)) * (tmean + 17.8), 0) END AS pet FROM w)"""
 
 
 def station_temps(d: Inputs) -> DataFrame:

@@ -127,13 +127,14 @@ def source_paths(d: Inputs) -> DataFrame:
 
 
 @query("variant_preference", """
-WITH v AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, (['stable', 'provisional', 'early'])[CAST(o_orderkey % 3 AS INT) + 1] AS variant, o_orderkey % 3 AS rank, min(o_orderkey) AS k FROM orders WHERE o_custkey % 4 = 0 GROUP BY ALL)
-SELECT day, arg_min(variant, rank) AS variant FROM v GROUP BY day""")
+WITH v AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS rank FROM orders)
+SELECT day, (['stable', 'provisional', 'early'])[min(rank)] AS variant FROM v GROUP BY day""")
 def variant_preference(d: Inputs) -> DataFrame:
+    """Order states stand for the file variants that exist for a day."""
     from freshet.operators.rollups import preferred_variant
 
-    variant = F.get(F.array(F.lit("stable"), F.lit("provisional"), F.lit("early")), (F.col("o_orderkey") % 3).cast("int"))
-    files = d.table("orders").filter(F.col("o_custkey") % 4 == 0).select(F.col("o_orderdate").cast("date").cast("string").alias("day"), variant.alias("variant"))
+    variant = F.when(F.col("o_orderstatus") == "F", "stable").when(F.col("o_orderstatus") == "O", "provisional").otherwise("early")
+    files = d.table("orders").select(F.col("o_orderdate").cast("date").cast("string").alias("day"), variant.alias("variant"))
     return preferred_variant(files).select("day", "variant")
 
 

@@ -10,15 +10,6 @@ def hour() -> Column:
     return F.expr("INTERVAL '1' HOUR")
 
 
-def zone_of(code: Column) -> Column:
-    """Zone name of a clock code; a code outside the table fails the query."""
-    table = F.create_map(*[F.lit(x) for pair in ZONE_BY_CODE.items() for x in pair])
-    return F.coalesce(
-        F.try_element_at(table, code),
-        F.raise_error(F.concat(F.lit("unknown clock code: "), F.coalesce(code, F.lit("NULL")))).cast("string"),
-    )
-
-
 def local_to_utc(local: Column, zone: Column | str) -> Column:
     """UTC instant of a local clock reading; a repeated hour means standard time."""
     zone = F.lit(zone) if isinstance(zone, str) else zone
@@ -27,16 +18,21 @@ def local_to_utc(local: Column, zone: Column | str) -> Column:
     return F.when(F.from_utc_timestamp(standard, zone) == local, standard).otherwise(daylight)
 
 
-def code_to_utc(local: Column, code: Column) -> Column:
-    """As `local_to_utc` for a clock code; one branch per zone keeps each zone a constant.
+def code_number(code: Column) -> Column:
+    """Place of a clock code in the fixed table, 0 for any other text. Numbers aggregate without sorting."""
+    return F.coalesce(F.array_position(F.lit(list(ZONE_BY_CODE)), code), F.lit(0)).cast("int")
+
+
+def code_to_utc(local: Column, number: Column, owner: Column) -> Column:
+    """As `local_to_utc` for a clock code's number; one branch per zone keeps each zone a constant.
 
-    A code outside the table fails the query.
+    A code outside the table fails the query, naming the owner of the row.
     """
-    out = None
+    codes, out = list(ZONE_BY_CODE), None
     for zone in dict.fromkeys(ZONE_BY_CODE.values()):
-        hit = code.isin([c for c, z in ZONE_BY_CODE.items() if z == zone])
+        hit = number.isin([codes.index(c) + 1 for c, z in ZONE_BY_CODE.items() if z == zone])
         out = F.when(hit, local_to_utc(local, zone)) if out is None else out.when(hit, local_to_utc(local, zone))
-    unknown = F.concat(F.lit("unknown clock code: "), F.coalesce(code, F.lit("NULL")))
+    unknown = F.concat(F.lit("unknown clock code at the start of "), owner.cast("string"))
     return out.otherwise(F.raise_error(unknown).cast("timestamp"))
 
 

@@ -59,9 +59,10 @@ def local_to_utc(df: DataFrame, key: str = "site_no", local: str = "datetime", c
     pull) and joined back, so a site that fills a large part of the table is never gathered in one task.
     """
     pull = df if codes_from is None else codes_from
-    codes = pull.groupBy(key).agg(F.min_by(code, order).alias("_code"))
+    rank = F.unix_seconds(F.to_timestamp(F.col(order), "yyyy-MM-dd HH:mm")) if order == local else F.col(order)
+    codes = pull.groupBy(key).agg(F.min_by(clock.code_number(F.col(code)), rank).alias("_code"))
     stamped = df.withColumn(local, F.to_timestamp(F.col(local), "yyyy-MM-dd HH:mm"))
-    return stamped.join(codes, key).withColumn(local, clock.code_to_utc(F.col(local), F.col("_code"))).drop("_code")
+    return stamped.join(codes, key).withColumn(local, clock.code_to_utc(F.col(local), F.col("_code"), F.col(key))).drop("_code")
 
 
 def top_of_local_hour(df: DataFrame, local: str = "datetime") -> DataFrame:

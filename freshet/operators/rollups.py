@@ -188,4 +188,5 @@ def sync_summary(listing: DataFrame) -> DataFrame:
 def preferred_variant(files: DataFrame, day: str = "day", variant: str = "variant") -> DataFrame:
     """Most final file variant that exists for each day."""
     rank = F.array_position(F.lit(K.SNOW_VARIANTS), F.col(variant))
-    return files.groupBy(day).agg(F.min_by(variant, F.when(rank > 0, rank)).alias(variant))
+    best = files.groupBy(day).agg(F.min(F.when(rank > 0, rank)).cast("int").alias("_k"))
+    return best.select(day, F.get(F.lit(K.SNOW_VARIANTS), F.col("_k") - 1).alias(variant))

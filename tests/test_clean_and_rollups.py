@@ -31,7 +31,7 @@ def test_mountain_time_june(spark):
 ])
 def test_clock_change(spark, local, utc):
     ts = F.to_timestamp(F.lit(local), "yyyy-MM-dd HH:mm")
-    for column in (clock.local_to_utc(ts, "America/New_York"), clock.code_to_utc(ts, F.lit("EDT"))):
+    for column in (clock.local_to_utc(ts, "America/New_York"), clock.code_to_utc(ts, clock.code_number(F.lit("EDT")), F.lit("1"))):
         assert value(spark, column.cast("string")) == utc
 
 
@@ -39,7 +39,8 @@ def test_zone_of_first_row_and_unknown_code(spark):
     rows = [("1", 0, "2024-06-01 00:00", "EST"), ("1", 1, "2024-06-01 01:00", "PST")]
     df = spark.createDataFrame(rows, "site_no string, ord int, datetime string, tz_cd string")
     assert {r.datetime.hour for r in clean.local_to_utc(df).collect()} == {4, 5}
-    with pytest.raises(PySparkException, match="unknown clock code"):
+    assert clean.local_to_utc(df.withColumn("ord", F.col("datetime")), order="datetime").count() == 2
+    with pytest.raises(PySparkException, match="unknown clock code at the start of 1"):
         clean.local_to_utc(df.withColumn("tz_cd", F.lit("UTC"))).collect()
 
 

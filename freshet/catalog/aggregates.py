@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from freshet.catalog.frames import flow_hourly, joined, snow_cells, weather_hourly
+from freshet.catalog.frames import joined, snow_cells, weather_hourly
 from freshet.catalog.registry import Inputs, query, rounded, stamp
-from freshet.catalog.views import FLOW, JOINED
-from freshet.functions import evaporation, numbers
-from freshet.operators import clean, joins, panels, rollups, scenes, spatial
+from freshet.catalog.views import JOINED
+from freshet.functions import numbers
+from freshet.operators import clean, joins, rollups, scenes, spatial
 
 # Outlines over the snow grid: a square, the square with a hole, the square with a second part.
 _SQUARE = "[[-105.81,40.61],[-105.41,40.61],[-105.41,40.91],[-105.81,40.91],[-105.81,40.61]]"

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from freshet.catalog.aggregates import (
-    BASIN_CELLS, BASINS, IMAGES, basins, camera_images, listings, snow_cells,
+    BASIN_CELLS, IMAGES, basins, camera_images, listings,
 )
 from freshet.catalog.frames import flow_hourly, joined, weather_site
 from freshet.catalog.registry import Inputs, query, rounded, stamp
-from freshet.catalog.views import FLOW, JOINED
-from freshet.functions import text
+from freshet.catalog.views import JOINED
 from freshet.operators import joins, nearby, rollups, scenes, series, spatial
-from freshet.plans import snow as snow_plan
 
 KM = ("round(12742 * asin(sqrt(pow(sin(radians(t.lat - g.lat) / 2), 2) + cos(radians(g.lat)) * cos(radians(t.lat))"
       " * pow(sin(radians(t.lon - g.lon) / 2), 2))), 6)")

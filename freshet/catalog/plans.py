@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from freshet.catalog.aggregates import BANDS, BASIN_CELLS, BASINS, FIT, IMAGES, SAMPLES, _SWE, basins, camera_images, dated_cells, snow_cells
+from freshet.catalog.aggregates import BASIN_CELLS, BASINS, IMAGES, _SWE, basins, camera_images, dated_cells, snow_cells
 from freshet.catalog.frames import flow_hourly, weather_site
-from freshet.catalog.linking import DEM_SQL, KM, PREFERENCES, SCENE_TIMES, SNOW, daily_snow, preferences, sensed_scenes, soil_forcing, terrain
+from freshet.catalog.linking import DEM_SQL, KM, SCENE_TIMES, SNOW, daily_snow, sensed_scenes, soil_forcing, terrain
 from freshet.catalog.registry import Inputs, query, rounded, stamp
 from freshet.catalog.views import FLOW, JOINED
 from freshet.catalog.windows import CHUNKS, CLEAREST, periods
-from freshet.functions import clock
-from freshet.operators import nearby, rollups, spatial
+from freshet.operators import rollups, spatial
 from freshet.plans import catchments, snow
 
 

@@ -211,8 +211,8 @@ def parse_triplet_and_ids(d: Inputs) -> DataFrame:
 
 
 @query("thin_by_gap", f"""
-WITH RECURSIVE images AS ({IMAGES}), one AS (SELECT camera_id, t, min(key) AS key FROM images GROUP BY 1, 2),
-nxt AS (SELECT a.camera_id, a.t, (SELECT min(b.t) FROM one b WHERE b.camera_id = a.camera_id AND b.t >= a.t + INTERVAL '60' MINUTE) AS after FROM one a),
+WITH RECURSIVE images AS ({IMAGES}), one AS MATERIALIZED (SELECT camera_id, t, min(key) AS key FROM images GROUP BY 1, 2),
+nxt AS MATERIALIZED (SELECT a.camera_id, a.t, b.t AS after FROM one a ASOF JOIN one b ON a.camera_id = b.camera_id AND a.t + INTERVAL '60' MINUTE <= b.t),
 chain AS (SELECT camera_id, min(t) AS t FROM one GROUP BY 1 UNION ALL SELECT c.camera_id, n.after FROM chain c JOIN nxt n ON n.camera_id = c.camera_id AND n.t = c.t WHERE n.after IS NOT NULL)
 SELECT camera_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS datetime, key FROM chain JOIN one USING (camera_id, t)""", ["camera_keys"])
 def thin_by_gap(d: Inputs) -> DataFrame:

@@ -8,9 +8,15 @@ from freshet.llm.common import stored, table
 from freshet.llm.decontaminate import decontaminate
 from freshet.llm.line_dedup import line_dedup
 from freshet.llm.minhash import keep_one_of_each
-from freshet.llm.queries import prepared
+from freshet.llm.packing import pack, token_pieces
+from freshet.llm.queries import fold, prepared
+from freshet.llm.toxicity import toxicity
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.5 or more go."""
+    scored = toxicity(docs, table(spark, sf_dir, "labels"), learn_from=fold("doc_id", 5) != 0)
+    return scored.where(F.col("predicted") == 0).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +36,17 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return judged.where(~F.col("contaminated")).select(*docs.columns)
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their sequence and place."""
+    return pack(token_pieces(docs))
+
+
 STAGES = [
+    ("toxicity", toxic_stage),
     ("line_dedup", line_stage),
     ("near_duplicates", near_stage),
     ("decontaminate", benchmark_stage),
+    ("packing", packing_stage),
 ]
 
 #: A trained classifier decides in the first stage; SQL cannot express it.

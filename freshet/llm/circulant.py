@@ -28,7 +28,7 @@ BLOCK = 1 << 18
 
 
 @functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_M and its inverse modulo 2^64, each to the powers below n."""
     inverse = pow(int(_M), -1, 1 << 64)
     up, down = np.full(n, _M), np.full(n, np.uint64(inverse))
@@ -41,7 +41,7 @@ def _block_words(raw: np.ndarray) -> np.ndarray:
     space = _SPACE[raw]
     edges = np.diff(np.concatenate(([True], space, [True])).view(np.int8))
     starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    up, down = _powers(max(BLOCK, 1 << (len(raw) - 1).bit_length()))
+    up, down = powers(max(BLOCK, 1 << (len(raw) - 1).bit_length()))
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTER[raw] * up[:len(raw)])))
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

@@ -105,3 +105,32 @@ def op7_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return near_duplicates(docs, shingle=4).withColumnRenamed("id", "doc_id")
+
+
+def fold(column: str, parts: int):
+    return F.crc32(F.col(column).cast("string")) % parts
+
+
+@query("op5_language")
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    from freshet.llm.language import identify_language
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = identify_language(docs, learn_from=fold("doc_id", 4) != 2)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from freshet.llm.toxicity import toxicity
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = toxicity(docs, table(spark, folder, "labels"), learn_from=fold("doc_id", 5) != 0)
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op1_packing")
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from freshet.llm.packing import pack, token_pieces
+
+    return pack(token_pieces(table(spark, folder, "documents").select("doc_id", "text")))

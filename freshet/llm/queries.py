@@ -134,3 +134,33 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     from freshet.llm.packing import pack, token_pieces
 
     return pack(token_pieces(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+@query("op2_html_text")
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    from freshet.llm.wrappers import extract_main_text
+
+    return extract_main_text(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op8_licences")
+def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
+    from freshet.llm.licences import scan_licences
+
+    return scan_licences(table(spark, folder, "documents").select("doc_id", "text")).drop("text", "places")
+
+
+@query("op4_warc", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100""")
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from freshet.llm.warc import capture_history
+
+    pages = table(spark, folder, "pages")
+    kind = pages.schema["page_id"].dataType
+    found = capture_history(spark, pages)
+    return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        F.col("refers_to").cast(kind).alias("refers_to"))

@@ -42,6 +42,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in ("script", "style", "textarea", "title")}
 SLOT = "#"
+DEEPEST = 150
 
 
 def element(name: str, attributes: str) -> str:
@@ -97,7 +98,8 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str | None]]:
             if path and path[-1].rstrip("!*") in CLOSED_BY_BLOCK:
                 path.pop()
                 yield tuple(path), None
-            path.append(what)
+            if len(path) < DEEPEST:  # what is nested deeper counts as text of the last level
+                path.append(what)
             yield tuple(path), None
         else:
             names = [x.rstrip("!*") for x in path]
@@ -112,47 +114,65 @@ def silent(path: tuple[str, ...]) -> bool:
 
 
 def tree_stream(page: str) -> list:
-    """The page's folded stream: element tags, text slots and repeated groups ['+', body]."""
+    """The page as nested items: text slots, elements ["<", name, items] and groups, runs of like siblings folded."""
     root: list = []
     stack: list[tuple[tuple[str, ...], list]] = [((), root)]
     for path, text in blocks(page):
         if silent(path):
             continue
-        while len(stack[-1][0]) > len(path) or stack[-1][0] != path[:len(stack[-1][0])]:
+        while stack[-1][0] != path[:len(stack[-1][0])]:
             stack.pop()
         while len(stack[-1][0]) < len(path):
             here = path[:len(stack[-1][0]) + 1]
             inside: list = []
-            stack[-1][1].append([here[-1], inside])
+            stack[-1][1].append(["<", here[-1], inside])
             stack.append((here, inside))
-        if text is not None:
+        if text is None:  # an element has opened or ended: the next one of this name is another one
+            stack[:] = stack[:len(path) + 1]
+        else:
             stack[-1][1].append(SLOT)
-    return fold_runs([flat for node in root for flat in flatten(node)])
+    return fold(root)
 
 
-def flatten(node) -> list:
-    """A tree node as tags with its folded inside."""
-    if node == SLOT:
-        return [SLOT]
-    name, inside = node
-    groups = [flatten(x) for x in inside]
+def fold(items: list) -> list:
+    """Runs of siblings of one name become one repeated group; their insides are aligned."""
     out: list = []
-    for k, group in enumerate(groups):
-        if k and group == groups[k - 1]:
-            if out[-1] != ["+", group]:
-                del out[len(out) - len(group):]
-                out.append(["+", group])
-        else:
-            out += group
-    return [f"<{name}>", *out, f"</{name.rstrip('!*')}>"]
+    for item in items:
+        made = item if item == SLOT else ["<", item[1], fold(item[2])]
+        if not out or key(out[-1]) != key(made):
+            out.append(made)
+        elif made != SLOT:
+            out[-1] = ["+", merged(out[-1], made)]
+    return out
+
+
+def key(item) -> str:
+    """What an item matches: a slot, or an element's name, whatever group it is in."""
+    while item[0] in ("+", "?", "*"):
+        item = item[1]
+    return SLOT if item == SLOT else item[1]
+
+
+def bare(item):
+    return item[1] if item[0] in ("+", "?", "*") else item
 
 
-def fold_runs(stream: list) -> list:
-    return [x for k, x in enumerate(stream) if not (k and x == SLOT and stream[k - 1] == SLOT)]
+def merged(a, b):
+    """One slot or element for two of a key."""
+    x, y = bare(a), bare(b)
+    return x if x == y else ["<", x[1], align(x[2], y[2])]
 
 
-def body(item) -> list:
-    return item[1] if isinstance(item, list) else [item]
+def grouped(a, b):
+    """Two matching items as one: optional, repeated or both, as either is."""
+    kinds = {a[0], b[0]}
+    optional, repeated = bool(kinds & {"?", "*"}), bool(kinds & {"+", "*"})
+    inner = merged(a, b)
+    return [{(True, True): "*", (True, False): "?", (False, True): "+"}[optional, repeated], inner] if optional or repeated else inner
+
+
+def optional(item):
+    return item if item[0] in ("?", "*") else ["*", item[1]] if item[0] == "+" else ["?", item]
 
 
 def align(wrapper: list, sample: list) -> list:
@@ -160,60 +180,30 @@ def align(wrapper: list, sample: list) -> list:
     out: list = []
     i = j = 0
     while i < len(wrapper) and j < len(sample):
-        w, s = wrapper[i], sample[j]
-        kind = w[0] if isinstance(w, list) else ""
+        w, s = key(wrapper[i]), key(sample[j])
         if w == s:
-            out.append(w)
-            i, j = i + 1, j + 1
-        elif kind and isinstance(s, list) and w[1] == s[1]:
-            # One is optional or repeated: * is both.
-            out.append([w[0] if w[0] == s[0] else "*", w[1]])
+            out.append(grouped(wrapper[i], sample[j]))
             i, j = i + 1, j + 1
-        elif kind and sample[j:j + len(w[1])] == w[1]:
-            out.append(w)
-            i, j = i + 1, j + len(w[1])
-        elif isinstance(s, list) and wrapper[i:i + len(s[1])] == s[1]:
-            out.append(s)
-            i, j = i + len(s[1]), j + 1
-        elif kind in ("?", "*"):
-            out.append(w)
-            i += 1
+            continue
+        ahead = next((k for k in range(j + 1, len(sample)) if key(sample[k]) == w), None)
+        behind = next((k for k in range(i + 1, len(wrapper)) if key(wrapper[k]) == s), None)
+        if behind is not None and (ahead is None or behind - i <= ahead - j):
+            out += map(optional, wrapper[i:behind])
+            i = behind
+        elif ahead is not None:
+            out += map(optional, sample[j:ahead])
+            j = ahead
         else:
-            ahead = next((k for k in range(j + 1, len(sample)) if sample[k] == w), None)
-            behind = next((k for k in range(i + 1, len(wrapper)) if wrapper[k] == s), None)
-            if behind is not None and (ahead is None or behind - i <= ahead - j):
-                out.append(["?", wrapper[i:behind]])
-                i = behind
-            elif ahead is not None:
-                out.append(["?", sample[j:ahead]])
-                j = ahead
-            else:
-                out += [["?", body(w)], ["?", body(s)]]
-                i, j = i + 1, j + 1
-    for rest in (wrapper[i:], sample[j:]):
-        out += [x if isinstance(x, list) and x[0] in "?*" else ["*" if isinstance(x, list) else "?", body(x)] for x in rest]
-    return out
+            out += [optional(wrapper[i]), optional(sample[j])]
+            i, j = i + 1, j + 1
+    return out + [optional(x) for x in (*wrapper[i:], *sample[j:])]
 
 
 def slots(wrapper: list, path: tuple[str, ...] = ()) -> set[tuple[str, ...]]:
     """Paths of all text slots of a wrapper."""
     found: set[tuple[str, ...]] = set()
-    here = list(path)
-
-    def walk(items: list) -> None:
-        for x in items:
-            if isinstance(x, list):
-                walk(x[1])
-            elif x == SLOT:
-                found.add(tuple(here))
-            elif x.startswith("</"):
-                names = [y.rstrip("!*") for y in here]
-                if x[2:-1] in names:
-                    del here[len(names) - 1 - names[::-1].index(x[2:-1]):]
-            else:
-                here.append(x[1:-1])
-
-    walk(wrapper)
+    for item in map(bare, wrapper):
+        found |= {path} if item == SLOT else slots(item[2], (*path, item[1]))
     return found
 
 

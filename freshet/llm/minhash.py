@@ -6,7 +6,7 @@ are one class and go on as one representative. Links are confirmed on full shing
 
 1. In every bucket each member is compared with the least member (linear in the bucket), and components are formed.
 2. In every bucket that still holds several components, members of different components are compared by their whole
-   signatures, in cells of bounded size; pairs that could reach the threshold are confirmed on full sets.
+   signatures, in cells of bounded size; pairs that could reach the threshold are confirmed on full sets at once.
 
 Members of one component need no further link, so nothing is lost by leaving those pairs out. With 48 bands of 7 rows
 a pair at a similarity of exactly 0.8 shares no bucket with a probability of about 1e-5, and the signature estimate of
@@ -32,11 +32,15 @@ from freshet.llm.components import components
 
 BANDS, ROWS = 48, 7
 #: Members of one side of a cell.
-CELL = 512
+CELL = 256
 #: Ids of up to this many documents (16 MB) are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
 
+def set_digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n, digest, sig) of each document (id, text); digest and sig are null for an empty set."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +49,7 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS)
             for raw in part.column(1):
                 own = shingle_set(raw.as_py() or b"", size)
                 n.append(len(own))
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                digests.append(set_digest(own) if len(own) else None)
                 sigs.append(signature(own, bands * rows).astype(np.uint8).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())],
@@ -56,15 +60,16 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS)
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, own) with the sorted shingle hashes of each document (id, text)."""
+    """(id, digest, own) with the sorted shingle hashes of each document (id, text)."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            sets = [shingle_set(x.as_py() or b"", size).view(np.int64) for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))],
-                                             names=["id", "own"])
+            sets = [shingle_set(x.as_py() or b"", size) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([set_digest(x) for x in sets], pa.binary()),
+                 pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "digest", "own"])
 
     raw = docs.select("id", F.col("text").cast("binary").alias("text"))
-    return raw.mapInArrow(batches, f"id {dict(docs.dtypes)['id']}, own array<bigint>")
+    return raw.mapInArrow(batches, f"id {dict(docs.dtypes)['id']}, digest binary, own array<bigint>")
 
 
 def bucket_keys(reps: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -79,50 +84,59 @@ def near_sizes(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, digest, own) with the whole shingle sets of the documents of these ids, one row per different set."""
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return stored(shingle_sets(docs.join(side, "id", "left_semi"), size).dropDuplicates(["id", "digest"]), "sets")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = stored(ids, "ids")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = stored(shingle_sets(docs.join(side, "id", "left_semi").dropDuplicates(["id"]), size), "sets")
+    sets = full_sets(stored(ids, "ids"), docs, size)
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("s")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("own").alias("t")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("s", "t")).alias("i"), (F.size("s") + F.size("t")).alias("n"))
-    return common.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
+    return common.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b").distinct()
 
 
 def crossing(cells: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a cell (key, x, y) between components whose signatures could belong to a link.
+    """Confirmed links (a, b) between components, from cells (key, x, y, side, rep, n, root, sig, own).
 
-    Rows of a cell follow each other in a sorted partition; no more than one cell (2 x CELL rows or so) is held.
+    Signatures say which pairs could reach the threshold; those are confirmed on their full sets, unless a link found
+    in the cell already joins their components. Rows of a cell follow each other in a sorted partition; no more than
+    one cell (2 x CELL rows or so) is held.
     """
-    def pairs_of(block: list[pa.Table]) -> tuple[np.ndarray, np.ndarray]:
+    def links_of(block: list[pa.Table]) -> tuple[list[int], list[int]]:
         t = pa.concat_tables(block)
         x, y, side = t["x"][0].as_py(), t["y"][0].as_py(), np.array(t["side"])
-        rep, root, n = (np.array(t[c]) for c in ("rep", "root", "n"))
+        rep, root, n = (np.array(t[c].to_pylist()) for c in ("rep", "root", "n"))
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(rep), -1)
+        own = [v.values.to_numpy() for v in t["own"]]
         least = int(sig.shape[1] * (percent - 10) / 100)
         out_a, out_b = [], []
         for i in range(len(rep)):
-            other = np.arange(i + 1, len(rep)) if x == y else np.flatnonzero(side == y) if side[i] == x else []
-            if len(other):
-                near = np.minimum(n[other], n[i]) * 100 >= np.maximum(n[other], n[i]) * percent
-                other = other[near & (root[other] != root[i])]
-            if len(other):
-                other = other[(sig[other] == sig[i]).sum(axis=1) >= least]
-                out_a.append(np.minimum(rep[other], rep[i]))
-                out_b.append(np.maximum(rep[other], rep[i]))
-        none = np.empty(0, np.int64)
-        return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+            other = np.arange(i + 1, len(rep)) if x == y else np.flatnonzero(side == y) if side[i] == x else np.empty(0, int)
+            other = other[(root[other] != root[i]) & (np.minimum(n[other], n[i]) * 100 >= np.maximum(n[other], n[i]) * percent)]
+            other = other[(sig[other] == sig[i]).sum(axis=1) >= least]
+            for j in other.tolist():
+                if root[j] == root[i]:
+                    continue
+                common = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                if common * 100 >= (len(own[i]) + len(own[j]) - common) * percent:
+                    out_a.append(int(min(rep[i], rep[j])))
+                    out_b.append(int(max(rep[i], rep[j])))
+                    root[root == root[j]] = root[i]
+        return out_a, out_b
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         last = None
 
         def made() -> pa.RecordBatch:
-            a, b = pairs_of(held)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b = links_of(held)
+            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
         for part in parts:
             t = pa.Table.from_batches([part])
@@ -140,11 +154,12 @@ def crossing(cells: DataFrame, percent: int) -> DataFrame:
         if held:
             yield made()
 
-    kind = dict(cells.dtypes)["rep"]
-    return cells.mapInArrow(batches, f"a {kind}, b {kind}")
+    of = cells.schema["rep"].dataType
+    kind = pa.int32() if of.typeName() == "integer" else pa.int64()
+    return cells.mapInArrow(batches, f"a {of.simpleString()}, b {of.simpleString()}")
 
 
-def unresolved(keys: DataFrame, reps: DataFrame, roots: DataFrame, cell: int) -> DataFrame:
+def unresolved(keys: DataFrame, reps: DataFrame, docs: DataFrame, roots: DataFrame, size: int, cell: int) -> DataFrame:
     """Cells of the buckets that hold several components, members dealt into sides of about `cell`."""
     known = keys.join(roots, keys.rep == roots.node, "left").select(
         "key", "rep", "n", F.coalesce("root", "rep").alias("root"))
@@ -154,8 +169,10 @@ def unresolved(keys: DataFrame, reps: DataFrame, roots: DataFrame, cell: int) ->
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     cells = spread.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side",
                           "rep", "n", "root")
-    signed = cells.join(reps.select("rep", "sig"), "rep")
-    return signed.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    cells = stored(cells, "cells")
+    sets = full_sets(stored(cells.select(F.col("rep").alias("id")).distinct(), "ids"), docs, size)
+    signed = reps.select("rep", "digest", "sig").join(sets.withColumnRenamed("id", "rep"), ["rep", "digest"])
+    return cells.join(signed.drop("digest"), "rep").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
@@ -179,8 +196,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ties = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z")
     ties = ties.join(member, "id").select("a", F.col("rep").alias("b")).where("a != b")
     links = stored(links.unionByName(ties).distinct(), "links")
-    cells = unresolved(held.select("key", "rep", "n"), reps, components(links), CELL)
-    more = confirmed(crossing(cells, percent).distinct(), named, shingle, percent)
+    cells = unresolved(held.select("key", "rep", "n"), reps, named, components(links), shingle, CELL)
+    more = crossing(cells, percent).distinct()
     roots = components(links.unionByName(more))
     placed = reps.join(roots, reps.rep == roots.node, "left").select(
         "digest", F.coalesce("root", "rep").alias("component"))

@@ -67,7 +67,7 @@ def tile_prefix(tile: Column) -> Column:
     """Archive folder of a scene tile, zone number without leading zero."""
     zone = F.regexp_replace(F.substring(tile, 1, 2), "^0+", "")
     return F.concat(F.lit("tiles/"), zone, F.lit("/"), F.substring(tile, 3, 1), F.lit("/"),
-                    F.substring(tile, 4, 100), F.lit("/"))
+                    F.substr(tile, F.lit(4)), F.lit("/"))
 
 
 def snow_tar_path(day: Column, masked: bool = True) -> Column:

@@ -123,7 +123,7 @@ NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def static_matrix(tables: Sequence[DataFrame], key: str = "STAID") -> DataFrame:
-    """Numeric columns of all tables over all gauges; a repeated name gets the suffix `_dup`."""
+    """Numeric columns of all tables over all gauges; a repeated name gets the suffix `_dup`, then `_dup2` and so on."""
     out: DataFrame | None = None
     for table in tables:
         numeric = [c for c, t in table.dtypes if c != key and (t in NUMERIC_TYPES or t.startswith("decimal"))]
@@ -131,7 +131,11 @@ def static_matrix(tables: Sequence[DataFrame], key: str = "STAID") -> DataFrame:
         if out is None:
             out = part
         else:
-            part = part.withColumnsRenamed({c: f"{c}_dup" for c in numeric if c in out.columns})
+            taken = set(out.columns) | set(numeric)
+            for c in [c for c in numeric if c in out.columns]:
+                new = next(n for n in (f"{c}_dup{i}" for i in ("", *range(2, len(taken) + 3))) if n not in taken)
+                taken.add(new)
+                part = part.withColumnRenamed(c, new)
             out = out.join(part, key, "full")
     return out
 
@@ -190,12 +194,13 @@ def camera_match(gauges: DataFrame, cameras: DataFrame, state: str = "state", na
 
 
 def camera_patterns(state: Column, name: Column, site: Column) -> Column:
-    """The five spellings under which a camera of a gauge may be filed."""
+    """The five spellings under which a camera of a gauge may be filed; none without a state and a name."""
     spelled = [F.concat(state, F.lit("_"), F.replace(name, F.lit(" "), F.lit("_"))),
                F.concat(state, F.lit("-"), F.replace(name, F.lit(" "), F.lit("-"))),
                F.concat(state, F.replace(name, F.lit(" "), F.lit("")))]
     numbered = [F.concat(state, F.lit("_"), site), site]
-    return F.array_distinct(F.transform(F.array_compact(F.array(*spelled, *numbered)), F.lower))
+    patterns = F.array_distinct(F.transform(F.array_compact(F.array(*spelled, *numbered)), F.lower))
+    return F.when((F.length(state) > 0) & (F.length(name) > 0), patterns)
 
 
 def camera_pattern_match(gauges: DataFrame, keys: DataFrame, site: str = "site_no", state: str = "state",

@@ -103,7 +103,7 @@ def polygon_join(points: DataFrame, basins: DataFrame, key: str = "site_no", poi
     near = (F.col("lon").between(F.col("_box.min_lon"), F.col("_box.max_lon"))
             & F.col("lat").between(F.col("_box.min_lat"), F.col("_box.max_lat")))
     outline = _odd_crossings(F.get("edges", F.lit(0)), F.col("lon"), F.col("lat"))
-    hole = F.exists(F.slice("edges", 2, 1_000_000), lambda ring: _odd_crossings(ring, F.col("lon"), F.col("lat")))
+    hole = F.exists(F.slice("edges", F.lit(2), F.size("edges")), lambda ring: _odd_crossings(ring, F.col("lon"), F.col("lat")))
     return pairs.filter(near).filter(outline & ~hole).select(key, point_key).distinct()
 
 

@@ -222,3 +222,24 @@ def test_box_join_is_exact(spark, points):
     got = {(r.site_no, r.id) for r in spatial.bbox_join(placed, boxes).select("site_no", "id").collect()}
     want = {(s, i) for s, a, b, c, e in (("a", 0.5, 0.5, 2.0, 1.0), ("b", 1.0, 1.0, 1.0, 1.0)) for i, (x, y) in enumerate(points) if a <= x / 20 <= c and b <= y / 20 <= e}
     assert got == want
+
+
+def test_many_holes_patterns_and_limits(spark):
+    from pyspark.sql import functions as F
+
+    from freshet.operators.joins import camera_patterns, static_matrix
+    from freshet.operators.scenes import thin_by_gap
+
+    gauges = spark.createDataFrame([("co", "a b", "1"), ("co", "", "2"), ("co", None, "3"), (None, "x", "4")],
+                                   "state string, name string, site string")
+    made = gauges.select("site", camera_patterns(F.col("state"), F.col("name"), F.col("site")).alias("p")).collect()
+    assert [r.site for r in made if r.p] == ["1"] and "co_a_b" in made[0].p
+
+    table = spark.createDataFrame([("1", 2.0)], "STAID string, x double")
+    assert static_matrix([table] * 4).columns == ["STAID", "x", "x_dup", "x_dup2", "x_dup3"]
+
+    images = spark.sql("""SELECT 'c' AS camera_id, concat('k', id) AS key, timestamp_seconds(id * 60) AS datetime
+                          FROM range(10)""")
+    since = spark.sql("SELECT 'c' AS camera_id, timestamp_seconds(300) AS since")
+    kept = thin_by_gap(images, 0, max_images=3, state=since).orderBy("datetime").collect()
+    assert [r.key for r in kept] == ["k5", "k6", "k7"]

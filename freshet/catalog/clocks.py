@@ -22,9 +22,9 @@ def haversine_km(d: Inputs) -> DataFrame:
         FROM {g} g JOIN {t} t ON g.state_cd = t.state_cd""", g=d.view("gauges"), t=d.view("stations"))
 
 
-@query("water_year", """SELECT o_orderkey, year(o_orderdate) + CASE WHEN month(o_orderdate) >= 10 THEN 1 ELSE 0 END AS wy FROM orders""")
-def water_year(d: Inputs) -> DataFrame:
-    return run_sql(d, "SELECT o_orderkey, water_year(CAST(o_orderdate AS DATE)) AS wy FROM {o}", o=d.table("orders"))
+@query("hydrologic_year", """SELECT o_orderkey, year(o_orderdate) + CASE WHEN month(o_orderdate) >= 10 THEN 1 ELSE 0 END AS wy FROM orders""")
+def hydrologic_year(d: Inputs) -> DataFrame:
+    return run_sql(d, "SELECT o_orderkey, hydrologic_year(CAST(o_orderdate AS DATE)) AS wy FROM {o}", o=d.table("orders"))
 
 
 _SUN = """WITH b AS (SELECT c_custkey, radians(-60 + c_custkey % 120) AS phi, 1 + c_custkey % 365 AS doy FROM customer),
@@ -116,7 +116,7 @@ SELECT o_orderkey, 'https://noaadata.apps.nsidc.org/NOAA/G02158/masked/' || strf
   'https://daacdata.apps.nsidc.org/pub/DATASETS/nsidc0719_SWE_Snow_Depth_v1/4km_SWE_Depth_WY' || CAST(wy AS STRING) || '_v01.nc' AS final_file,
   'maps/daily/' || d8 || '.json' AS day_map FROM o""")
 def source_paths(d: Inputs) -> DataFrame:
-    from freshet.functions.clock import water_year as wy
+    from freshet.functions.clock import hydrologic_year as wy
 
     day = F.to_date("o_orderdate")
     variant = F.get(F.array(F.lit("stable"), F.lit("provisional"), F.lit("early")), (F.col("o_orderkey") % 3).cast("int"))

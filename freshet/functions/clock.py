@@ -52,7 +52,7 @@ def shift_offset(ts: Column, hours: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) - F.round(hours * F.lit(3.6e9)).cast("bigint"))
 
 
-def water_year(day: Column) -> Column:
+def hydrologic_year(day: Column) -> Column:
     """Year that ends on 30 September."""
     return F.year(day) + F.when(F.month(day) >= 10, 1).otherwise(0)
 

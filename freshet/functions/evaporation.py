@@ -17,7 +17,7 @@ def _sunset_angle(latitude: Column, doy: Column) -> Column:
 
 
 def extraterrestrial_radiation(latitude: Column, doy: Column) -> Column:
-    """Daily radiation above the atmosphere in mm of water."""
+    """Daily radiation above the atmosphere in mm of depth."""
     phi, delta, angle = F.radians(latitude), _declination(doy), _sunset_angle(latitude, doy)
     distance = F.lit(1.0) + F.lit(0.033) * F.cos(F.lit(2.0) * F.pi() / F.lit(365.0) * doy)
     shape = angle * F.sin(phi) * F.sin(delta) + F.cos(phi) * F.cos(delta) * F.sin(angle)

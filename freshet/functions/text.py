@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from freshet import constants as K
-from freshet.functions.clock import water_year
+from freshet.functions.clock import hydrologic_year
 
 # Fixed value: level-1C product ids (satellite, sensing time, orbit, tile).
 SCENE_PATTERN = (r"(S2[ABC])_MSIL1C_(\d{8}T\d{6})_N\d{4}_R(\d{3})_T([0-9A-Z]{5})_\d{8}T\d{6}")
@@ -80,13 +80,13 @@ def snow_tar_path(day: Column, masked: bool = True) -> Column:
 
 def snow_day_path(day: Column, variant: Column) -> Column:
     """Address of one day's 4 km snow file."""
-    return F.concat(F.lit(f"{K.SNOW_4KM_URL}/DailyData_4km/WY"), water_year(day).cast("string"),
+    return F.concat(F.lit(f"{K.SNOW_4KM_URL}/DailyData_4km/WY"), hydrologic_year(day).cast("string"),
                     F.lit("/UA_SWE_Depth_4km_v1_"), F.date_format(day, "yyyyMMdd"), F.lit("_"),
                     variant, F.lit(".nc"))
 
 
 def snow_year_path(year: Column, final_archive: bool = False) -> Column:
-    """Address of one water year of 4 km snow, from either archive."""
+    """Address of one hydrologic year of 4 km snow, from either archive."""
     text = year.cast("string")
     if final_archive:
         return F.concat(F.lit(f"{K.SNOW_4KM_FINAL_URL}/4km_SWE_Depth_WY"), text, F.lit("_v01.nc"))

@@ -75,9 +75,9 @@ def test_season_days_of_a_year(spark):
     assert clean.season_days(span, "start", "end").count() == 288
 
 
-def test_water_year_edges(spark):
+def test_hydrologic_year_edges(spark):
     for day, year in ((date(2023, 9, 30), 2023), (date(2023, 10, 1), 2024)):
-        assert value(spark, clock.water_year(F.lit(day))) == year
+        assert value(spark, clock.hydrologic_year(F.lit(day))) == year
 
 
 def test_rename_by_param(spark):

@@ -308,17 +308,19 @@ def read_basins(d: Inputs) -> DataFrame:
 
 
 @query("dem_tiles_to_pixels", """
-SELECT CAST(190 * 16 + (p_partkey % 256) // 16 AS BIGINT) AS row, CAST((p_partkey // 256 + 100) * 16 + p_partkey % 16 AS BIGINT) AS col,
-  CAST(p_partkey % 200 * 256 + p_size AS DOUBLE) + CAST(p_partkey % 128 AS DOUBLE) / 256 - 32768 AS elevation_m FROM part
-WHERE p_partkey < (SELECT max(p_partkey) + 1 FROM part) // 256 * 256""")
+WITH k AS (SELECT unnest(range((max(p_partkey) // 256 + 1) * 256)) AS k FROM part)
+SELECT CAST(190 * 16 + (k % 256) // 16 AS BIGINT) AS row, CAST((k // 256 + 100) * 16 + k % 16 AS BIGINT) AS col,
+  coalesce(CAST(k % 200 * 256 + p_size AS DOUBLE) + CAST(k % 128 AS DOUBLE) / 256, 0) - 32768 AS elevation_m
+FROM k LEFT JOIN part ON p_partkey = k""")
 def dem_tiles_to_pixels(d: Inputs) -> DataFrame:
-    """Tiles of 16 by 16 pixels, each made of 256 parts."""
+    """Tiles of 16 by 16 pixels, each made of 256 parts; places without a part are black."""
     k = F.col("p_partkey")
     pixel = F.concat(*[F.lpad(F.hex(c), 2, "0") for c in (k % 128, F.col("p_size").cast("bigint"), k % 200)])
-    tiles = d.table("part").groupBy(F.floor(k / 256).alias("t")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), pixel.alias("b")))).alias("px"))
-    images = tiles.filter(F.size("px") == 256).select(
+    tiles = d.table("part").groupBy(F.floor(k / 256).alias("t")).agg(F.map_from_entries(F.collect_list(F.struct((k % 256).alias("k"), pixel.alias("b")))).alias("px"))
+    places = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(255).cast("bigint")), lambda i: F.coalesce(F.try_element_at("px", i), F.lit("000000")))
+    images = tiles.select(
         F.concat(F.lit("file:/9/"), (F.col("t") + 100).cast("string"), F.lit("/190.png")).alias("origin"), F.lit(16).alias("height"), F.lit(16).alias("width"),
-        F.lit(3).alias("nChannels"), F.unhex(F.array_join(F.transform("px", lambda p: p["b"]), "")).alias("data"))
+        F.lit(3).alias("nChannels"), F.unhex(F.array_join(places, "")).alias("data"))
     out = grids.tiles_to_pixels(images, 9, (-180.0, -90.0, 180.0, 90.0), tile_size=16)
     return out.select("row", "col", "elevation_m")
 
@@ -365,12 +367,12 @@ def write_series(d: Inputs) -> DataFrame:
     return back.select(F.col("site_no").cast("bigint").alias("site_no"), F.col("datetime").cast("string").alias("datetime"), "cfs")
 
 
-@query("write_manifest", "SELECT ord, product_id, cloud_percent FROM scenes WHERE cloud_percent <= 20", ["scenes"])
+@query("write_manifest", "SELECT ord, product_id, cloud_percent FROM scenes", ["scenes"])
 def write_manifest(d: Inputs) -> DataFrame:
     path = d.scratch("manifest")
-    clear = d.view("scenes").filter(F.col("cloud_percent") <= 20).select("ord", "product_id", "cloud_percent")
+    listed = d.view("scenes").select("ord", "product_id", "cloud_percent")
     for part in (0, 1):  # two runs append to one manifest
-        sinks.write_manifest(clear.filter(F.col("ord") % 2 == part), path)
+        sinks.write_manifest(listed.filter(F.col("ord") % 2 == part), path)
     return d.spark.read.csv(path, header=True, schema="ord bigint, product_id string, cloud_percent bigint")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from freshet.constants import PANEL_ORDER, SEASON_STARTS, SLICE_HOURS
 from freshet.operators import series
-from freshet.operators.rollups import status_counts
 
 _STEPS_PER_DAY = {"hour": 24, "day": 1}
 
@@ -140,10 +139,6 @@ def build_panels(records: DataFrame, steps: DataFrame, done: DataFrame, width: i
             .withColumn("panel", F.when(F.col("status") == "built", F.col("panel"))).drop("_done", "_flow"))
 
 
-def panel_counts(built: DataFrame) -> DataFrame:
-    return status_counts(built)
-
-
 def daily_history(days: DataFrame, start: str, end: str, min_days: int = 1460, key: str = "site_no",
                   day: str = "date", flow: str = "cfs") -> DataFrame:
     """Daily flow on one fixed axis as a float array, with the number of known days and a status."""

@@ -19,17 +19,17 @@ def hourly_weather(df: DataFrame, keys: Sequence[str] = ("station",), order: str
     """Fold raw readings into hours: summed rain, mean temperatures, first known other values.
 
     An hour without any rain reading sums to 0. Optional columns are folded only when present. The order
-    of readings inside an hour is `order`, or their time when it is not given.
+    of readings inside an hour is `order`, or their time when it is not given; equal ones follow their values.
     """
     numeric = [*K.WEATHER_SUMMED, *K.WEATHER_AVERAGED, *K.WEATHER_FIRST_NUMERIC]
     present = [c for c in numeric if c in df.columns]
     stamp = F.to_timestamp("valid", "yyyy-MM-dd HH:mm")
     clean = df.withColumns({**{c: numbers.to_number(F.col(c)) for c in present},
                             "hour_updated": clock.ceil_to_hour(stamp)})
-    rank = F.col(order) if order else F.col("valid")
     folds = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in K.WEATHER_SUMMED if c in present]
     folds += [F.avg(c).alias(c) for c in K.WEATHER_AVERAGED if c in present]
     others = [c for c in [*K.WEATHER_FIRST_NUMERIC, *K.WEATHER_FIRST_TEXT] if c in df.columns]
+    rank = F.col(order) if order else F.struct("valid", *[c for c in present if c not in others], *others)
     folds += [first_known(c, rank).alias(c) for c in others]
     return clean.groupBy(*keys, "hour_updated").agg(F.min_by("valid", rank).alias("valid"), *folds)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from freshet.functions.geo import band_index
 
@@ -151,10 +151,14 @@ def basin_mean_mask(cells: DataFrame, mask: DataFrame, key: str = "site_no", by:
 def _nearest_axis(wanted: DataFrame, axis: DataFrame, size: float) -> DataFrame:
     """Nearest axis position of each wanted coordinate; the first index wins ties.
 
-    Values beyond the axis are moved to its end first, so the nearest position always lies in the value's
-    bucket or a neighbouring one.
+    Values beyond the axis are moved to its end first and a bucket is at least as wide as the widest gap of the axis,
+    so the nearest position always lies in the value's bucket or a neighbouring one. The gaps are read off the axis
+    alone, one number per grid row or column.
     """
     low, high = axis.agg(F.min("a")).scalar(), axis.agg(F.max("a")).scalar()
+    gap = F.col("a") - F.lag("a").over(Window.orderBy("a"))
+    widest = axis.select("a").distinct().select(gap.alias("gap")).agg(F.max("gap")).scalar()
+    size = F.greatest(F.lit(float(size)), F.coalesce(widest, F.lit(0.0)))
     placed = wanted.withColumn("_c", F.least(F.greatest(F.col("v"), low), high))
     pairs = (placed.withColumn("_b", F.explode(F.array(*[_bucket(F.col("_c"), size) + d for d in (-1, 0, 1)])))
              .join(axis.withColumn("_b", _bucket(F.col("a"), size)), "_b"))
@@ -164,7 +168,7 @@ def _nearest_axis(wanted: DataFrame, axis: DataFrame, size: float) -> DataFrame:
 def dem_sample_nn(cells: DataFrame, dem: DataFrame, step: float, value: str = "elevation_m") -> DataFrame:
     """Elevation of the nearest terrain row and column of each cell, per axis.
 
-    `step` is at least the widest spacing of the terrain axes.
+    `step` is the usual spacing of the terrain axes; wider gaps are measured, so no cell misses its neighbour.
     """
     lat_axis = dem.groupBy("row").agg(F.first("lat").alias("a")).select(F.col("row").alias("idx"), "a")
     lon_axis = dem.groupBy("col").agg(F.first("lon").alias("a")).select(F.col("col").alias("idx"), "a")

@@ -11,7 +11,6 @@ from freshet.functions.text import pad_site_no
 from freshet.operators import clean, joins, nearby, rollups, scenes, series, spatial
 from freshet.operators.panels import daily_history
 from freshet.operators.vectors import static_vectors
-from freshet.sinks.tables import latest_per_key
 
 
 def usgs_to_hourly_utc(raw: DataFrame, key: str = "site_no", order: str = "ord") -> DataFrame:
@@ -127,7 +126,3 @@ def collect_gauge_record(gauges: DataFrame, attributes: DataFrame, days: DataFra
     full = full.withColumn("status", status).drop("scene_status")
     ok = F.col("status") == "ok"
     return full.withColumns({c: F.when(ok, F.col(c)) for c in ("static", "history", "product_id", "cloud_percent")})
-
-
-def current_registry(rows: DataFrame, key: str = "site_no") -> DataFrame:
-    return latest_per_key(rows, key)

@@ -75,8 +75,10 @@ def write_registry(df: DataFrame, path: str) -> None:
 
 
 def latest_per_key(df: DataFrame, key: str = "site_no", order: str = "finished_at") -> DataFrame:
+    """Latest row of each key; equal times are decided by the row's other values."""
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
+    last = F.max(F.struct(F.col(order).alias("_at"), F.struct(*rest).alias("_row")))
+    return df.groupBy(key).agg(last.alias("_r")).select(key, "_r._row.*")
 
 
 def read_registry(spark: SparkSession, path: str, schema: str = REGISTRY_SCHEMA) -> DataFrame:

@@ -16,6 +16,15 @@ SITE_NUMERIC = ["dec_lat_va", "dec_long_va", "alt_va", "drain_area_va", "contrib
 _FORMAT_ROW = r"^\d+[a-z](\t\d+[a-z])*\s*$"
 
 
+def file_names(read: DataFrame) -> DataFrame:
+    """(file) of everything a reader was given, empty files included, as `_metadata.file_path` writes it.
+
+    Spark's scans leave out empty files, so the names come from the listing that the reader already holds.
+    """
+    names = read.sparkSession.createDataFrame([(name,) for name in read.inputFiles()], "file string")
+    return names.select(F.regexp_replace("file", "^file:/+", "file:/").alias("file"))
+
+
 def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
         F.col("_metadata.file_path").alias("file"), F.rtrim("value").alias("raw"), F.col("value"))
@@ -25,11 +34,14 @@ def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def read_rdb(spark: SparkSession, paths: str | Sequence[str], first_column: str) -> DataFrame:
     """Rows of tab-separated files as (file, fields MAP<column, text>); `first_column` marks header lines.
 
-    Files with comments only give no rows.
+    Files with comments only give no rows; a file with different header lines fails the query, as its rows could
+    not be told apart.
     """
     lines = _lines(spark, paths)
     is_header = F.col("value").startswith(first_column + "\t")
-    headers = (lines.filter(is_header).groupBy("file").agg(F.min("value").alias("_h"))
+    one = F.when(F.min("value") == F.max("value"), F.min("value")).otherwise(
+        F.raise_error(F.concat(F.lit("different header lines in "), F.col("file"))).cast("string"))
+    headers = (lines.filter(is_header).groupBy("file").agg(one.alias("_h"))
                .select("file", F.split("_h", "\t").alias("columns")))
     rows = lines.filter(~is_header).select("file", F.split("value", "\t").alias("cells"))
     joined = rows.join(headers, "file")
@@ -60,8 +72,7 @@ def read_rdb_site(spark: SparkSession, paths: str | Sequence[str], require_all:
                       *[to_number(_field(c)).alias(c) for c in SITE_NUMERIC], "fields")
     if not require_all:
         return out.drop("file")
-    files = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
-        F.col("_metadata.file_path").alias("file")).distinct()
+    files = file_names(spark.read.text(paths if isinstance(paths, str) else list(paths)))
     site = F.when(F.col("site_no").isNotNull(), F.col("site_no")).otherwise(
         F.raise_error(F.concat(F.lit("no site data in "), F.col("file"))).cast("string"))
     return files.join(out, "file", "left").withColumn("site_no", site).drop("file")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from freshet import constants as K
 from freshet.functions import numbers
 from freshet.functions.text import triplet_parts
+from freshet.sources.gauges import file_names
 
 Paths = str | Sequence[str]
 WEATHER_COLUMNS = ["station", "valid", "tmpf", "dwpf", "relh", "feel", "sknt", "sped", "alti", "mslp", "drct",
@@ -89,9 +90,12 @@ def read_forcing_csv(spark: SparkSession, paths: Paths) -> DataFrame:
     """Forcing readings after a preamble of any length, as (file, datetime, value).
 
     Files are read as lines, so large ones split over tasks; data lines are those that begin with a time. A
-    file without a header line (any case of `timestamp`) fails the query.
+    file without a header line (any case of `timestamp`) fails the query, also an empty one.
     """
-    lines = spark.read.text(_paths(paths)).select(F.col("_metadata.file_path").alias("file"), "value")
+    read = spark.read.text(_paths(paths))
+    # An empty line for every file, so that files without lines are judged as well.
+    lines = read.select(F.col("_metadata.file_path").alias("file"), "value").unionByName(
+        file_names(read).withColumn("value", F.lit("")))
     marks = lines.groupBy("file").agg(F.count_if(F.lower("value").startswith("timestamp")).alias("_h"))
     # Judged on every line, so that a file without any data line fails as well.
     is_data = F.when(F.col("_h") > 0, F.col("value").rlike(r"^\s*\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}")).otherwise(

@@ -243,3 +243,63 @@ def test_many_holes_patterns_and_limits(spark):
     since = spark.sql("SELECT 'c' AS camera_id, timestamp_seconds(300) AS since")
     kept = thin_by_gap(images, 0, max_images=3, state=since).orderBy("datetime").collect()
     assert [r.key for r in kept] == ["k5", "k6", "k7"]
+
+
+def test_empty_files_fail(spark, tmp_path):
+    folder = tmp_path / "a + b%20c"
+    folder.mkdir()
+    site = folder / "one.txt"
+    site.write_text("# note\nagency_cd\tsite_no\n5s\t15s\nUSGS\t01\n")
+    assert [r.site_no for r in gauges.read_rdb_site(spark, str(folder)).collect()] == ["01"]
+    (folder / "none.txt").write_text("")
+    with pytest.raises(PySparkException, match="no site data"):
+        gauges.read_rdb_site(spark, str(folder)).collect()
+    forcing = tmp_path / "forcing +"
+    forcing.mkdir()
+    (forcing / "a.csv").write_text("note\nTimestamp (UTC),Data\n2024-01-01 00:00,1\n")
+    assert [r.value for r in weather.read_forcing_csv(spark, str(forcing)).collect()] == [1.0]
+    (forcing / "b.csv").write_text("")
+    with pytest.raises(PySparkException, match="no timestamp header"):
+        weather.read_forcing_csv(spark, str(forcing)).collect()
+
+
+def test_one_header_per_file(spark, tmp_path):
+    block = "agency_cd\tsite_no\tdatetime\ttz_cd\t1_{0}\nUSGS\t01\t2024-01-01 00:00\tEST\t3\n"
+    (tmp_path / "same.txt").write_text(block.format("00060") * 2)
+    assert gauges.read_rdb_iv(spark, str(tmp_path / "same.txt")).count() == 2
+    (tmp_path / "two.txt").write_text(block.format("00060") + block.format("00065"))
+    with pytest.raises(PySparkException, match="different header lines"):
+        gauges.read_rdb_iv(spark, str(tmp_path / "two.txt")).collect()
+
+
+@pytest.mark.parametrize("step", [0.1, 2.0, 50.0])
+def test_terrain_wider_than_the_step(spark, step):
+    axis = [0.0, 2.0, 9.0]
+    dem = spark.createDataFrame([(i, j, axis[i], axis[j], float(10 * i + j)) for i in range(3) for j in range(3)],
+                                "row int, col int, lat double, lon double, elevation_m double")
+    wanted = [-5.0, 0.9, 1.1, 5.4, 5.6, 20.0]
+    cells = spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate((a, b) for a in wanted for b in wanted)], "cell_id int, lat double, lon double")
+    nearest = lambda v: min(range(3), key=lambda k: (abs(axis[k] - v), k))
+    for r in spatial.dem_sample_nn(cells, dem, step).collect():
+        assert r.elevation_m == 10 * nearest(r.lat) + nearest(r.lon)
+
+
+def test_reports_of_one_minute_and_equal_finish_times(spark):
+    rows = [("K", "2024-01-01 00:10", "1", "b"), ("K", "2024-01-01 00:10", "1", "a"), ("K", "2024-01-01 00:20", "0", "0")]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "station string, valid string, mslp string, skyc1 string").repartition(3)
+        assert [(r.valid, r.skyc1) for r in rollups.hourly_weather(df).collect()] == [("2024-01-01 00:10", "a")]
+        states = spark.createDataFrame([(s[0], s[3]) for s in some], "site_no string, status string").withColumn("finished_at", F.lit(None).cast("timestamp"))
+        assert [r.status for r in sinks.latest_per_key(states).collect()] == ["b"]
+
+
+def test_sql_functions_agree_with_columns(spark):
+    from freshet.functions import geo, sql
+    sql.register(spark)
+    one = spark.range(1)
+    assert spark.sql("SELECT equal_area_bands(2000D, 0.5D) AS b").first().b == one.select(geo.equal_area_bands(F.lit(2000.0), F.lit(0.5)).alias("b")).first().b
+    assert spark.sql("SELECT band_index(1600D, array(1000D, 2000D, 3000D)) AS b").first().b == 1
+    assert spark.sql("SELECT band_index(1600D, array(1000D)) AS b").first().b == 0
+    with pytest.raises(PySparkException, match="ascending"):
+        spark.sql("SELECT band_index(x, array(3000D, x)) AS b FROM VALUES (1600D) t(x)").collect()
+    assert abs(sum(spark.sql("SELECT daylight_weights(40D, 172D) AS w").first().w) - 1) < 1e-9

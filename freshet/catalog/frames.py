@@ -17,9 +17,14 @@ def weather_hourly(d: Inputs, view: str = "asos_fall") -> DataFrame:
     return rollups.hourly_weather(d.view(view), ["station"], "ord")
 
 
-def with_site(weather: DataFrame) -> DataFrame:
+def named_site(weather: DataFrame) -> DataFrame:
     number = F.substring("station", 2, 3).cast("bigint")
-    return weather.filter(number < 12).withColumn("site_no", F.lpad((number + 10000000).cast("string"), 8, "0"))
+    return weather.withColumn("site_no", F.lpad((number + 10000000).cast("string"), 8, "0"))
+
+
+def with_site(weather: DataFrame) -> DataFrame:
+    """Weather of the stations that have a gauge."""
+    return named_site(weather.filter(F.substring("station", 2, 3).cast("bigint") < 12))
 
 
 def weather_site(d: Inputs) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from freshet.catalog.aggregates import (
     BASIN_CELLS, IMAGES, basins, camera_images, listings,
 )
-from freshet.catalog.frames import flow_hourly, joined, weather_site
+from freshet.catalog.frames import flow_hourly, joined, named_site, weather_hourly, weather_site
 from freshet.catalog.registry import Inputs, query, rounded, stamp
 from freshet.catalog.views import JOINED
 from freshet.operators import joins, nearby, rollups, scenes, series, spatial
@@ -39,13 +39,14 @@ def weather_flow_inner(d: Inputs) -> DataFrame:
 
 
 @query("weather_flow_outer_trim", """
-WITH o AS (SELECT site_no, hour_updated, w.p01m, f.ord, f.cfs FROM weather_site w FULL JOIN flow_hourly f USING (site_no, hour_updated)),
+WITH w AS (SELECT lpad(CAST(10000000 + CAST(substr(station, 2) AS BIGINT) AS STRING), 8, '0') AS site_no, hour_updated, p01m FROM weather_hourly),
+o AS (SELECT site_no, hour_updated, w.p01m, f.ord, f.cfs FROM w FULL JOIN flow_hourly f USING (site_no, hour_updated)),
 r AS (SELECT *, row_number() OVER (PARTITION BY site_no ORDER BY hour_updated, coalesce(ord, -1)) AS a,
   row_number() OVER (PARTITION BY site_no ORDER BY hour_updated DESC, coalesce(ord, -1) DESC) AS b FROM o)
 SELECT site_no, strftime(hour_updated, '%Y-%m-%d %H:%M:%S') AS hour_updated, ord, round(p01m, 6) AS p01m, cfs FROM r WHERE a > 5 AND b > 5""",
        JOINED[:-1])
 def weather_flow_outer_trim(d: Inputs) -> DataFrame:
-    out = joins.weather_flow_outer_trim(weather_site(d), flow_hourly(d), ["site_no"], "ord")
+    out = joins.weather_flow_outer_trim(named_site(weather_hourly(d)), flow_hourly(d), ["site_no"], "ord")
     return out.select("site_no", stamp("hour_updated").alias("hour_updated"), "ord", *rounded("p01m"), "cfs")
 
 

@@ -189,12 +189,12 @@ def enrich_gauge_meta(d: Inputs) -> DataFrame:
 
 
 @query("collect_gauge_record", f"""
-WITH {CLEAREST}, h AS (SELECT site, count(*) AS days FROM daily_flow WHERE date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY site),
-rec AS (SELECT s_suppkey AS site, coalesce(days, 0) AS days, CASE WHEN s_suppkey % 10 = 9 THEN 'no_gages2' WHEN coalesce(days, 0) < 1300 THEN 'short_history'
+WITH {CLEAREST}, h AS (SELECT site, count(*) AS days FROM daily_flow WHERE date BETWEEN DATE '1990-01-01' AND DATE '2004-12-31' GROUP BY site),
+rec AS (SELECT s_suppkey AS site, coalesce(days, 0) AS days, CASE WHEN s_suppkey % 10 = 9 THEN 'no_gages2' WHEN coalesce(days, 0) < 1460 THEN 'short_history'
   WHEN b.site IS NULL THEN 'no_sentinel_scenes' WHEN product_id IS NULL THEN 'no_valid_patch' ELSE 'ok' END AS status, product_id FROM supplier LEFT JOIN h ON h.site = s_suppkey LEFT JOIN best b ON b.site = s_suppkey)
-SELECT site, days AS history_days, status, CASE WHEN status = 'ok' THEN product_id END AS product_id, CASE WHEN status = 'ok' THEN 1461 END AS history_length FROM rec""", ["daily_flow", "scenes"])
+SELECT site, days AS history_days, status, CASE WHEN status = 'ok' THEN product_id END AS product_id, CASE WHEN status = 'ok' THEN 5479 END AS history_length FROM rec""", ["daily_flow", "scenes"])
 def collect_gauge_record(d: Inputs) -> DataFrame:
     gauges = d.table("supplier").select(F.col("s_suppkey").alias("site"))
     attributes = d.table("supplier").filter(F.col("s_suppkey") % 10 != 9).select(F.col("s_suppkey").alias("site"), "s_acctbal", "s_nationkey")
-    out = catchments.collect_gauge_record(gauges, attributes, d.view("daily_flow"), d.view("scenes"), "1996-01-01", "1999-12-31", 1300, "site")
+    out = catchments.collect_gauge_record(gauges, attributes, d.view("daily_flow"), d.view("scenes"), "1990-01-01", "2004-12-31", 1460, "site")
     return out.select("site", "history_days", "status", "product_id", F.when(F.col("history").isNotNull(), F.size("history")).alias("history_length"))

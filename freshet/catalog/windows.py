@@ -145,12 +145,12 @@ def build_panels(d: Inputs) -> DataFrame:
 
 
 @query("daily_history", """
-WITH axis AS (SELECT site, CAST(unnest(generate_series(DATE '1996-01-01', DATE '1999-12-31', INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT site FROM daily_flow)),
-k AS (SELECT site, count(*) AS days FROM daily_flow WHERE date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY site)
-SELECT site, CAST(date - DATE '1996-01-01' AS INT) AS off, CAST(cfs AS FLOAT) AS cfs, days, CASE WHEN days < 1460 THEN 'short_history' ELSE 'ok' END AS status
+WITH axis AS (SELECT site, CAST(unnest(generate_series(DATE '1990-01-01', DATE '2004-12-31', INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT site FROM daily_flow)),
+k AS (SELECT site, count(*) AS days FROM daily_flow WHERE date BETWEEN DATE '1990-01-01' AND DATE '2004-12-31' GROUP BY site)
+SELECT site, CAST(date - DATE '1990-01-01' AS INT) AS off, CAST(cfs AS FLOAT) AS cfs, days, CASE WHEN days < 1460 THEN 'short_history' ELSE 'ok' END AS status
 FROM axis LEFT JOIN daily_flow USING (site, date) JOIN k USING (site)""", ["daily_flow"])
 def daily_history(d: Inputs) -> DataFrame:
-    out = panels.daily_history(d.view("daily_flow"), "1996-01-01", "1999-12-31", 1460, "site")
+    out = panels.daily_history(d.view("daily_flow"), "1990-01-01", "2004-12-31", 1460, "site")
     return out.select("site", F.posexplode("history").alias("off", "cfs"), F.col("history_days").alias("days"), "status")
 
 

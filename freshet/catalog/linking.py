@@ -230,7 +230,7 @@ def nearest_station(d: Inputs) -> DataFrame:
 SELECT site_no, station_id, km AS distance_km FROM (SELECT g.site_no, t.station_id, {KM} AS km,
   row_number() OVER (PARTITION BY g.site_no ORDER BY {KM}, t.ord) AS k FROM gauges g, stations t) WHERE k = 1""", ["gauges", "stations"])
 def nearest_station_any(d: Inputs) -> DataFrame:
-    return nearby.nearest_station(d.view("gauges"), d.view("stations"), size=1.0)
+    return nearby.nearest_station(d.view("gauges"), d.view("stations"))
 
 
 @query("best_station", f"""

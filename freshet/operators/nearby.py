@@ -1,9 +1,9 @@
 """Nearest and best stations without comparing every gauge with every station.
 
-Places are put into cells of the globe. The coarse cells that hold stations are at most 360/size * 180/size,
-so their list has a fixed bound. From it each gauge cell works out which station cells can hold an answer at
-all. The surviving pairs of cells are then split into sixteen by sixteen finer cells and judged again, so a
-crowded cell is divided rather than compared place by place; exact distances decide between what remains.
+Places are put into cells of the globe. The search starts from cells of 22.5 degrees, of which the globe has a fixed
+number, and goes down by levels: every surviving pair of cells is divided into sixteen by sixteen on both sides and judged
+again, so a gauge cell only ever meets the station cells that can hold its answer, a number that geometry bounds.
+Exact distances decide between what remains. Places beyond 90 degrees of latitude or 360 of longitude match nothing.
 """
 
 from __future__ import annotations
@@ -15,21 +15,25 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from freshet.constants import EARTH_RADIUS_KM, SOIL_MAX_KM
 from freshet.functions.geo import haversine_km
+from freshet.session import stored
 
 _KM_PER_DEGREE = EARTH_RADIUS_KM * math.pi / 180.0
 # Distances compare after rounding, so that equal places tie on every engine.
 DISTANCE_DIGITS = 6
-SMALLEST_COARSE_CELL = 0.5  # at most 259,200 coarse cells on the globe
-SPLIT = 16
+WIDEST_CELL = 22.5  # 9 by 33 cells hold every place; halving it stays exact in binary
+SPLIT_BITS = 4  # sixteen by sixteen finer cells in each cell
+LEVELS = 3  # the finest cells span 0.088 degrees
 
 
-def _cells(df: DataFrame, size: float, prefix: str, parents: bool = False) -> DataFrame:
-    """Cell numbers of each place; with `parents` also those of the cell one level up."""
+def _cells(df: DataFrame, size: float, prefix: str) -> DataFrame:
+    """Cell numbers of each place."""
     i, j = F.floor(F.col("lat") / F.lit(size)), F.floor(F.col("lon") / F.lit(size))
-    out = {f"{prefix}_i": i.cast("int"), f"{prefix}_j": j.cast("int")}
-    if parents:
-        out |= {f"{prefix}_pi": F.floor(i / SPLIT).cast("int"), f"{prefix}_pj": F.floor(j / SPLIT).cast("int")}
-    return df.withColumns(out)
+    return df.withColumns({f"{prefix}_i": i.cast("int"), f"{prefix}_j": j.cast("int")})
+
+
+def _lifted(prefix: str, levels: int, to: str) -> list[Column]:
+    """Numbers of the cells that lie `levels` above."""
+    return [F.shiftright(f"{prefix}_{c}", SPLIT_BITS * levels).alias(f"{to}{c}") for c in "ij"]
 
 
 def _centre(index: Column, size: float) -> Column:
@@ -64,34 +68,41 @@ def _prune(pairs: DataFrame, k: int, on: Sequence[str], size: float) -> DataFram
             .filter(F.col("_enough").isNull() | (F.col("_lo") <= F.col("_enough"))).select(*on, "g_i", "g_j", "s_i", "s_j"))
 
 
-def candidate_cells(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence[str], size: float,
-                    levels: int) -> tuple[DataFrame, float]:
-    """Pairs of gauge cell and station cell that may hold one of the k nearest stations, and their cell size."""
-    if size < SMALLEST_COARSE_CELL:
-        raise ValueError(f"coarse cells must span at least {SMALLEST_COARSE_CELL} degrees; use more levels instead")
-    on = list(on)
-    counted = _cells(stations, size, "s").groupBy(*on, "s_i", "s_j").agg(F.count(F.lit(1)).alias("n"))
-    listed = counted.groupBy(*on).agg(F.collect_list(F.struct("s_i", "s_j", "n")).alias("cells"))
-    asking = _cells(gauges, size, "g").select(*on, "g_i", "g_j").distinct()
-    asked = asking.join(listed, on) if on else asking.withColumn("cells", listed.scalar())
-    pairs = _prune(asked.select(*on, "g_i", "g_j", F.inline("cells")), k, on, size)
-    for _ in range(levels - 1):
-        size /= SPLIT
-        up = {"g_i": "g_pi", "g_j": "g_pj", "s_i": "s_pi", "s_j": "s_pj"}
-        finer = (_cells(stations, size, "s", parents=True).groupBy(*on, "s_pi", "s_pj", "s_i", "s_j")
-                 .agg(F.count(F.lit(1)).alias("n")))
-        asking = _cells(gauges, size, "g", parents=True).select(*on, "g_pi", "g_pj", "g_i", "g_j").distinct()
-        both = (asking.join(pairs.withColumnsRenamed(up), [*on, "g_pi", "g_pj"])
-                .join(finer, [*on, "s_pi", "s_pj"]))
-        # At most SPLIT * SPLIT cells for each coarser pair meet in one gauge cell.
-        pairs = _prune(both.select(*on, "g_i", "g_j", "s_i", "s_j", "n"), k, on, size)
-    return pairs, size
-
-
-def _ranked_candidates(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence[str], size: float, levels: int,
+def candidate_cells(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence[str],
+                    levels: int = LEVELS) -> tuple[DataFrame, float]:
+    """Pairs of gauge cell and station cell that may hold one of the k nearest stations, and their cell size.
+
+    Each side is reduced to its finest cells once; coarser ones are read off their numbers.
+    """
+    on, fine = list(on), WIDEST_CELL / 2 ** (SPLIT_BITS * (levels - 1))
+    counted = _cells(stations, fine, "s").groupBy(*on, "s_i", "s_j").agg(F.count(F.lit(1)).alias("n"))
+    asking = _cells(gauges, fine, "g").select(*on, "g_i", "g_j").distinct()
+
+    def station_cells(up: int) -> DataFrame:
+        keys = [*on, *_lifted("s", up + 1, "s_p"), *_lifted("s", up, "s_")]
+        return counted.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+    def gauge_cells(up: int) -> DataFrame:
+        return asking.select(*on, *_lifted("g", up + 1, "g_p"), *_lifted("g", up, "g_")).distinct()
+
+    # Every gauge cell asks each of the fixed number of widest cells; those without stations drop out.
+    rows, columns = (F.sequence(F.lit(-n), F.lit(n)) for n in (int(90 / WIDEST_CELL), int(360 / WIDEST_CELL)))
+    asked = (gauge_cells(levels - 1).select(*on, "g_i", "g_j", F.explode(rows).alias("s_i"))
+             .withColumn("s_j", F.explode(columns)))
+    first = asked.join(station_cells(levels - 1), [*on, "s_i", "s_j"])
+    pairs = _prune(first.select(*on, "g_i", "g_j", "s_i", "s_j", "n"), k, on, WIDEST_CELL)
+    for up in range(levels - 2, -1, -1):
+        above = {"g_i": "g_pi", "g_j": "g_pj", "s_i": "s_pi", "s_j": "s_pj"}
+        both = (gauge_cells(up).join(pairs.withColumnsRenamed(above), [*on, "g_pi", "g_pj"])
+                .join(station_cells(up), [*on, "s_pi", "s_pj"]))
+        pairs = _prune(both.select(*on, "g_i", "g_j", "s_i", "s_j", "n"), k, on, fine * 2 ** (SPLIT_BITS * up))
+    return pairs, fine
+
+
+def _ranked_candidates(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence[str], levels: int,
                        gauge_key: str) -> DataFrame:
     on = list(on)
-    pairs, fine = candidate_cells(gauges, stations, k, on, size, levels)
+    pairs, fine = candidate_cells(gauges, stations, k, on, levels)
     left = _cells(gauges.select(gauge_key, "lat", "lon", *on), fine, "g").withColumnsRenamed(
         {"lat": "g_lat", "lon": "g_lon"})
     right = _cells(stations, fine, "s")
@@ -100,22 +111,22 @@ def _ranked_candidates(gauges: DataFrame, stations: DataFrame, k: int, on: Seque
     return near.withColumn("distance_km", km)
 
 
-def nearest_station(gauges: DataFrame, stations: DataFrame, on: Sequence[str] = (), size: float = 0.5,
-                    levels: int = 2, gauge_key: str = "site_no", order: str = "ord") -> DataFrame:
+def nearest_station(gauges: DataFrame, stations: DataFrame, on: Sequence[str] = (), levels: int = LEVELS,
+                    gauge_key: str = "site_no", order: str = "ord") -> DataFrame:
     """Closest station of each gauge (within the same `on` values); first in station order on ties.
 
     Stations at one place are first reduced to the first of them.
     """
     places = stations.groupBy(*on, "lat", "lon").agg(
         F.min_by("station_id", order).alias("station_id"), F.min(order).alias(order))
-    near = _ranked_candidates(gauges, places, 1, on, size, levels, gauge_key)
+    near = _ranked_candidates(gauges, places, 1, on, levels, gauge_key)
     best = near.groupBy(gauge_key).agg(F.min_by(F.struct("station_id", "distance_km"),
                                                 F.struct("distance_km", order)).alias("b"))
     return best.select(gauge_key, "b.station_id", "b.distance_km")
 
 
-def k_nearest_stations(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence[str] = (), size: float = 0.5,
-                       levels: int = 2, gauge_key: str = "site_no", order: str = "ord") -> DataFrame:
+def k_nearest_stations(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence[str] = (),
+                       levels: int = LEVELS, gauge_key: str = "site_no", order: str = "ord") -> DataFrame:
     """The k closest stations of each gauge as rows with a rank.
 
     Of the stations at one place only the first k can be among them. Both rank limits are applied before the
@@ -123,7 +134,7 @@ def k_nearest_stations(gauges: DataFrame, stations: DataFrame, k: int, on: Seque
     """
     here = F.row_number().over(Window.partitionBy(*on, "lat", "lon").orderBy(order))
     places = stations.withColumn("_h", here).filter(F.col("_h") <= k).drop("_h")
-    near = _ranked_candidates(gauges, places, k, on, size, levels, gauge_key)
+    near = _ranked_candidates(gauges, places, k, on, levels, gauge_key)
     rank = F.row_number().over(Window.partitionBy(gauge_key).orderBy("distance_km", order))
     return (near.select(gauge_key, "station_id", order, "distance_km").withColumn("rank", rank)
             .filter(F.col("rank") <= k).drop(order))
@@ -183,9 +194,10 @@ def best_station(gauges: DataFrame, stations: DataFrame, max_km: float = SOIL_MA
                  gauge_key: str = "site_no", begin: str = "begin_date", order: str = "ord") -> DataFrame:
     """Station within range with the earliest record, nearest on ties; null columns when there is none.
 
-    The earliest date in range is found first; the nearest station with just that date is then in range too.
+    The earliest date in range is found first; the nearest station with just that date is then in range too. The
+    dates, one row per gauge, are written to the shared folder, as every level of the search asks for them.
     """
-    dated = earliest_in_range(gauges, stations, max_km, size, gauge_key, begin)
+    dated = stored(earliest_in_range(gauges, stations, max_km, size, gauge_key, begin), "dated")
     nearest = nearest_station(dated, stations, [begin], gauge_key=gauge_key, order=order)
     return (gauges.select(gauge_key).join(dated.select(gauge_key, F.col(begin).alias("element_begin")), gauge_key, "left")
             .join(nearest, gauge_key, "left").select(gauge_key, "station_id", "distance_km", "element_begin"))

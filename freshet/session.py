@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     # Local clocks are converted explicitly, so the session itself must be UTC.
@@ -53,3 +53,16 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh, unique folder below the shared root."""
     return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder and read again: computed once, and kept when executors are lost.
+
+    The files go when the application ends.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)

@@ -146,8 +146,8 @@ def test_nearest_and_best_over_the_globe(spark):
     asked = np.vstack([np.column_stack([rng.uniform(39, 41, 20), rng.uniform(-106, -104, 20)]), np.column_stack([rng.uniform(-89, 89, 40), rng.uniform(-180, 180, 40)]), [[0.0, 180.0]]])
     gauges = pd.DataFrame({"site_no": [f"G{i}" for i in range(len(asked))], "lat": asked[:, 0], "lon": asked[:, 1]})
     g, s = spark.createDataFrame(gauges), spark.createDataFrame(stations)
-    near = {r.site_no: r for r in nearby.nearest_station(g, s, size=2.0).collect()}
-    three = nearby.k_nearest_stations(g, s, 3, size=2.0).toPandas()
+    near = {r.site_no: r for r in nearby.nearest_station(g, s).collect()}
+    three = nearby.k_nearest_stations(g, s, 3).toPandas()
     best = {r.site_no: r for r in nearby.best_station(g, s, 75.0).collect()}
     for row in gauges.itertuples():
         km = haversine(row.lat, row.lon, stations.lat.to_numpy(), stations.lon.to_numpy())

@@ -13,7 +13,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.llm.common import SPACES, ascii_lower, packed, pick, same, unpacked
+from freshet.llm.common import SPACES, ascii_lower, packed, pick, same, stored, unpacked
 
 RESULTS = ("n_lines", "n_dropped", "kept_text")
 
@@ -58,12 +58,13 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
                min_chars: int = 1) -> DataFrame:
     """The input's columns with n_lines, n_dropped and kept_text.
 
-    Only hashes move to be counted; the common ones meet the hashes again (a hot one is split by the adaptive join),
-    and each text moves once, to meet the list of its own common lines.
+    Only hashes move to be counted. The common ones are stored, so that Spark knows their size: small enough, they are
+    broadcast; otherwise both sides of the join are plain shuffles, which the adaptive join splits at a hot hash. Each
+    text moves once, to meet the list of its own common lines.
     """
     plain = pick(docs, id=doc_id, text=text)
     keys = row_keys(plain, min_chars)
-    hot = keys.join(common_keys(keys, min_docs), "key", "left_semi")
+    hot = keys.join(stored(common_keys(keys, min_docs), "common_lines"), "key", "left_semi")
     lists = hot.groupBy(F.col("id").alias("hot_id")).agg(F.collect_set("key").alias("hot"))
     rows = docs.select(packed(docs), docs[f"`{doc_id}`"].alias("id"), docs[f"`{text}`"].alias("body"))
     joined = rows.join(lists, same(F.col("id"), F.col("hot_id")), "left")

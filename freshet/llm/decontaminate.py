@@ -57,7 +57,7 @@ def anchors(items: DataFrame, frequencies: DataFrame, length: int) -> DataFrame:
     inside = windows.select(
         "item", "words", "start",
         F.posexplode(F.slice("words", F.col("start") + 1, window_length(F.col("words"), length))).alias("at", "term"))
-    ranked = inside.join(frequencies, "term", "left").groupBy("item", "words", "start").agg(
+    ranked = inside.join(checked(frequencies, frequencies.count()), "term", "left").groupBy("item", "words", "start").agg(
         F.slice(F.sort_array(F.collect_list(F.struct(
             F.coalesce("df", F.lit(0)).alias("df"), (F.col("start") + F.col("at")).alias("offset"), "term"))), 1, 2)
         .alias("rarest"))
@@ -66,9 +66,10 @@ def anchors(items: DataFrame, frequencies: DataFrame, length: int) -> DataFrame:
 
 
 def term_frequencies(tokens: DataFrame, items: DataFrame) -> DataFrame:
-    """How often each term of the items stands in the documents."""
+    """How often each term of the items stands in the documents; stored, as its rows are counted before it is joined."""
     terms = items.select(F.explode("words").alias("term")).distinct()
-    return tokens.join(checked(terms, terms.count()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    counted = tokens.join(checked(terms, terms.count()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    return stored(counted, "frequencies")
 
 
 def postings(tokens: DataFrame, terms: DataFrame) -> DataFrame:

@@ -1,11 +1,16 @@
 """Main text of web pages through wrappers inferred from pages of the same host.
 
 Method: every page becomes a stream of block tags and text slots in which runs of equal sibling groups are folded into
-one repeated group. The different streams of a host (few, however many pages it has) are aligned one after the other
-with the wrapper so far; a mismatch becomes an optional group, a run a repeated group, and differing texts a slot. The
-result is a union-free regular expression of the host's pages. Its slots carry their path of elements; the main slots
-are those inside the article (or main) element, or, on hosts without one, all that stand in no boilerplate element.
-Pages are then read again and give the texts of the main slots.
+one repeated group. The different streams of a host are aligned one after the other with the wrapper so far; a mismatch
+becomes an optional group and a run a repeated group. A place of text carries the hashes of its texts and on how many of
+the streams each stands: a text that stands on nine of ten streams (two at least) that have the place is template, any
+other is content of a slot. The result is a union-free regular expression of the host's pages. Its slots carry their
+path of elements; the main slots are those inside the article (or main) element, or, on hosts without one, all that
+stand in no boilerplate element. Pages are then read again and give the texts of the main slots that are no template; a
+page with no other text in them keeps its template text.
+
+Bounds: a group of streams aligned in one task has about 2,000 streams or 16 MB; its wrapper keeps the texts of half of
+its streams, and wrappers are aligned 200 at a time. Equal streams of a host (copies of a page) count once.
 
 Defined cases: null html is an empty page with an empty text; pages without a usable url share the empty host; broken
 markup is read leniently (an unclosed paragraph ends at the next block); text inside a block keeps its order, white
@@ -15,6 +20,7 @@ result's name is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -43,6 +49,8 @@ NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 RAW = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in ("script", "style", "textarea", "title")}
 SLOT = "#"
 DEEPEST = 150
+#: Streams and bytes of a group, wrappers aligned at a time, and the share of streams that makes a text template.
+GROUP, GROUP_BYTES, FAN_IN, TEMPLATE_SHARE = 2000, 16 << 20, 200, 0.9
 
 
 def element(name: str, attributes: str) -> str:
@@ -113,8 +121,15 @@ def silent(path: tuple[str, ...]) -> bool:
     return any(x.rstrip("!*") in SILENT for x in path)
 
 
-def tree_stream(page: str) -> list:
-    """The page as nested items: text slots, elements ["<", name, items] and groups, runs of like siblings folded."""
+def text_hash(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def tree_stream(page: str, texts: bool = False) -> list:
+    """The page as nested items: text slots, elements ["<", name, items] and groups, runs of like siblings folded.
+
+    With texts, a slot is ["#", streams that have it, {hash of a text: streams with this text}].
+    """
     root: list = []
     stack: list[tuple[tuple[str, ...], list]] = [((), root)]
     for path, text in blocks(page):
@@ -130,7 +145,7 @@ def tree_stream(page: str) -> list:
         if text is None:  # an element has opened or ended: the next one of this name is another one
             stack[:] = stack[:len(path) + 1]
         else:
-            stack[-1][1].append(SLOT)
+            stack[-1][1].append([SLOT, 1, {text_hash(text): 1}] if texts else SLOT)
     return fold(root)
 
 
@@ -138,11 +153,13 @@ def fold(items: list) -> list:
     """Runs of siblings of one name become one repeated group; their insides are aligned."""
     out: list = []
     for item in items:
-        made = item if item == SLOT else ["<", item[1], fold(item[2])]
+        made = item if item[0] == SLOT else ["<", item[1], fold(item[2])]
         if not out or key(out[-1]) != key(made):
             out.append(made)
-        elif made != SLOT:
-            out[-1] = ["+", merged(out[-1], made)]
+        elif made[0] == SLOT:
+            out[-1] = merged(out[-1], made, True)
+        else:
+            out[-1] = ["+", merged(out[-1], made, True)]
     return out
 
 
@@ -150,24 +167,34 @@ def key(item) -> str:
     """What an item matches: a slot, or an element's name, whatever group it is in."""
     while item[0] in ("+", "?", "*"):
         item = item[1]
-    return SLOT if item == SLOT else item[1]
+    return SLOT if item[0] == SLOT else item[1]
 
 
 def bare(item):
     return item[1] if item[0] in ("+", "?", "*") else item
 
 
-def merged(a, b):
-    """One slot or element for two of a key."""
+def merged(a, b, one_page: bool = False):
+    """One slot or element for two of a key, of one page or of different ones; the counts of a's slots are changed."""
     x, y = bare(a), bare(b)
-    return x if x == y else ["<", x[1], align(x[2], y[2])]
-
-
-def grouped(a, b):
+    if SLOT in (x, y):
+        return SLOT
+    if x[0] == SLOT:
+        if one_page:
+            x[2].update(y[2])
+            return x
+        for text, n in y[2].items():
+            x[2][text] = x[2].get(text, 0) + n
+        x[1] += y[1]
+        return x
+    return ["<", x[1], align(x[2], y[2], one_page)]
+
+
+def grouped(a, b, one_page: bool = False):
     """Two matching items as one: optional, repeated or both, as either is."""
     kinds = {a[0], b[0]}
     optional, repeated = bool(kinds & {"?", "*"}), bool(kinds & {"+", "*"})
-    inner = merged(a, b)
+    inner = merged(a, b, one_page)
     return [{(True, True): "*", (True, False): "?", (False, True): "+"}[optional, repeated], inner] if optional or repeated else inner
 
 
@@ -175,14 +202,14 @@ def optional(item):
     return item if item[0] in ("?", "*") else ["*", item[1]] if item[0] == "+" else ["?", item]
 
 
-def align(wrapper: list, sample: list) -> list:
+def align(wrapper: list, sample: list, one_page: bool = False) -> list:
     """The wrapper generalised so that it also covers the sample."""
     out: list = []
     i = j = 0
     while i < len(wrapper) and j < len(sample):
         w, s = key(wrapper[i]), key(sample[j])
         if w == s:
-            out.append(grouped(wrapper[i], sample[j]))
+            out.append(grouped(wrapper[i], sample[j], one_page))
             i, j = i + 1, j + 1
             continue
         ahead = next((k for k in range(j + 1, len(sample)) if key(sample[k]) == w), None)
@@ -203,10 +230,38 @@ def slots(wrapper: list, path: tuple[str, ...] = ()) -> set[tuple[str, ...]]:
     """Paths of all text slots of a wrapper."""
     found: set[tuple[str, ...]] = set()
     for item in map(bare, wrapper):
-        found |= {path} if item == SLOT else slots(item[2], (*path, item[1]))
+        found |= {path} if item[0] == SLOT else slots(item[2], (*path, item[1]))
     return found
 
 
+def template_texts(wrapper: list, path: tuple[str, ...] = ()) -> dict[str, list[str]]:
+    """Hashes of the texts that are template, by path."""
+    found: dict[str, list[str]] = {}
+    for item in map(bare, wrapper):
+        if item == SLOT:
+            continue
+        if item[0] == SLOT:
+            more = {"/".join(path): [t for t, n in item[2].items() if n >= 2 and n >= TEMPLATE_SHARE * item[1]]}
+        else:
+            more = template_texts(item[2], (*path, item[1]))
+        for place, texts in more.items():
+            if texts:
+                found[place] = sorted({*found.get(place, ()), *texts})
+    return found
+
+
+def pruned(wrapper: list) -> list:
+    """The wrapper with only those texts that stand on half of the streams that have their slot."""
+    for item in map(bare, wrapper):
+        if item == SLOT:
+            continue
+        if item[0] == SLOT:
+            item[2] = {t: n for t, n in item[2].items() if 2 * n >= item[1]}
+        else:
+            pruned(item[2])
+    return wrapper
+
+
 def main_slots(wrapper: list) -> list[str]:
     """Paths of the slots that hold main text."""
     def inside(path: tuple[str, ...]) -> bool:
@@ -221,10 +276,16 @@ def main_slots(wrapper: list) -> list[str]:
 
 def infer(streams: list[str]) -> list:
     wrapper: list | None = None
-    for text in sorted(set(streams)):
+    for text in sorted(streams):
         stream = json.loads(text)
         wrapper = stream if wrapper is None else align(wrapper, stream)
-    return wrapper or []
+    return pruned(wrapper or [])
+
+
+def rules(wrapper: str) -> str:
+    """What extract() needs of a wrapper."""
+    made = json.loads(wrapper)
+    return json.dumps([main_slots(made), template_texts(made)])
 
 
 def _column(function, kind: str):
@@ -238,31 +299,43 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def host_wrappers(pages: DataFrame, group: int = 2000) -> DataFrame:
-    """(host, wrapper) from pages (host, html); groups of about `group` different streams are aligned, then their results."""
-    stream = _column(lambda x: json.dumps(tree_stream(x)), "string")
+def host_wrappers(pages: DataFrame, group: int = GROUP) -> DataFrame:
+    """(host, rules) from pages (host, html); groups of different streams are aligned, then their wrappers."""
+    stream = _column(lambda x: json.dumps(tree_stream(x, True), separators=(",", ":")), "string")
     streams = stored(pages.select("host", stream("html").alias("stream")).distinct(), "streams")
-    spread = streams.join(streams.groupBy("host").agg(F.ceil(F.count("*") / group).alias("parts")), "host")
-    dealt = spread.select("host", "stream", F.pmod(F.xxhash64("stream"), F.col("parts")).alias("part"))
+    parts = F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum(F.length("stream")) / GROUP_BYTES))
+    spread = streams.join(streams.groupBy("host").agg(parts.alias("parts")), "host")
+    dealt = spread.select("host", "parts", F.pmod(F.xxhash64("stream"), F.col("parts")).alias("part"), "stream")
 
     def one(table: pa.Table) -> pa.Table:
-        return pa.table({"host": [table["host"][0].as_py()],
-                         "stream": [json.dumps(infer(table["stream"].to_pylist()))]})
+        return pa.table({"host": [table["host"][0].as_py()], "parts": [table["parts"][0].as_py()],
+                         "part": [table["part"][0].as_py()],
+                         "stream": [json.dumps(infer(table["stream"].to_pylist()), separators=(",", ":"))]})
+
+    def aligned(items: DataFrame) -> DataFrame:
+        return items.groupBy("host", "part").applyInArrow(one, "host string, parts bigint, part bigint, stream string")
 
-    kind = "host string, stream string"
-    first = dealt.groupBy("host", "part").applyInArrow(one, kind)
-    return first.groupBy("host").applyInArrow(one, kind).withColumnRenamed("stream", "wrapper")
+    first = stored(aligned(dealt), "wrappers_of_groups")
+    more = first.where("parts > 1")
+    for level in (1, 2, 3):
+        width = F.ceil(F.col("parts") / FAN_IN**level) if level < 3 else F.lit(1)
+        more = aligned(more.withColumn("part", F.pmod(F.col("part"), width).cast("long")))
+    return first.where("parts = 1").union(more).select("host", _column(rules, "string")("stream").alias("rules"))
 
 
-def extract(pages: pd.Series, wrappers: pd.Series) -> pd.Series:
-    known: dict[str, frozenset[str]] = {}
+def extract(pages: pd.Series, hosts: pd.Series) -> pd.Series:
+    known: dict[str, tuple[frozenset[str], dict[str, frozenset[str]]]] = {}
     out = []
-    for page, wrapper in zip(pages, wrappers):
-        wrapper = wrapper or "[]"
-        if wrapper not in known:
-            known[wrapper] = frozenset(main_slots(json.loads(wrapper)))
-        main = known[wrapper]
-        out.append(" ".join(t for p, t in blocks(page or "") if t is not None and not silent(p) and "/".join(p) in main))
+    for page, rule in zip(pages, hosts):
+        rule = rule or "[[], {}]"
+        if rule not in known:
+            main, template = json.loads(rule)
+            known[rule] = frozenset(main), {p: frozenset(t) for p, t in template.items()}
+        main, template = known[rule]
+        found = [(p, t) for p, t in (("/".join(p), t) for p, t in blocks(page or "") if t is not None and not silent(p))
+                 if p in main]
+        own = [t for p, t in found if p not in template or text_hash(t) not in template[p]]
+        out.append(" ".join(own or [t for _, t in found]))
     return pd.Series(out, dtype=object)
 
 
@@ -274,5 +347,5 @@ def extract_main_text(pages: DataFrame, url: str = "url", page: str = "html") ->
     rows = pages.select(packed(pages.select([F.col(f"`{c}`") for c in left])), host_of(pages[f"`{url}`"]).alias("host"),
                         pages[f"`{page}`"].alias("html"))
     joined = rows.join(wrappers, same(F.col("host"), F.col("its_host")), "left")
-    texts = joined.select("row", F.pandas_udf(extract, "string")("html", "wrapper").alias("text"))
+    texts = joined.select("row", F.pandas_udf(extract, "string")("html", "rules").alias("text"))
     return texts.select(*unpacked(left, replaced=set(RESULTS)), "text", F.char_length("text").cast("long").alias("n_chars"))

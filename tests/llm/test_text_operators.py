@@ -139,6 +139,26 @@ def test_wrapper_inference_folds_runs_and_options():
     assert len(wrappers.slots(wrappers.tree_stream(deep))) == 1
 
 
+def test_repeated_texts_of_a_host_are_template(spark):
+    def plain(i):
+        return (f"<body><div class='x7'>we value you</div><div>own {i}<p>more {i}</p></div><article><p>read our rules</p>"
+                f"<p>story {i}</p><p>end {i}</p></article></body>")
+
+    rows = [(i, f"https://a.org/{i}", plain(i)) for i in range(30)]
+    rows += [(100 + i, f"https://b.org/{i}", plain(i).replace("article", "section")) for i in range(30)]
+    rows += [(200 + i, f"https://c.org/{i}", plain(7)) for i in range(3)]  # copies of a page are no sign of a template
+    rows.append((300, "https://b.org/odd", "<body><div>odd</div></body>"))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract_main_text(df).collect()}
+    for i in range(30):
+        assert got[i] == f"story {i} end {i}"
+        assert got[100 + i] == f"own {i} more {i} story {i} end {i}"
+    assert {got[200 + i] for i in range(3)} == {"read our rules story 7 end 7"} and got[300] == "odd"
+    only = spark.createDataFrame([("a.org", r[2]) for r in rows[:30]], "host string, html string")
+    same = [wrappers.host_wrappers(only, group).collect()[0].rules for group in (2000, 7)]
+    assert same[0] == same[1] and len(wrappers.json.loads(same[0])[1]) == 2
+
+
 # Lines
 
 

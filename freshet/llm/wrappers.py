@@ -4,16 +4,16 @@ Method: every page becomes a stream of block tags and text slots in which runs o
 one repeated group. The different streams of a host are aligned one after the other with the wrapper so far; a mismatch
 becomes an optional group and a run a repeated group. A place of text carries the hashes of its texts and on how many of
 the streams each stands: a text that stands on nine of ten streams (two at least) that have the place is template, any
-other is content of a slot. The result is a union-free regular expression of the host's pages. Its slots carry their
-path of elements; the main slots are those inside the article (or main) element, or, on hosts without one, all that
-stand in no boilerplate element. Pages are then read again and give the texts of the main slots that are no template; a
-page with no other text in them keeps its template text.
+other is content of a slot. The result is a union-free regular expression of the host's pages; its places carry their
+path of elements. Pages are then read again, and each is judged by itself: it gives the texts that are no template
+inside its article (or main) element, or, if there are none, all those in no boilerplate element; a page with no such
+text keeps the template texts of these places.
 
 Bounds: a group of streams aligned in one task has about 2,000 streams or 16 MB; its wrapper keeps the texts of half of
 its streams, and wrappers are aligned 200 at a time. Equal streams of a host (copies of a page) count once.
 
-Defined cases: null html is an empty page with an empty text; pages without a usable url share the empty host; broken
-markup is read leniently (an unclosed paragraph ends at the next block); text inside a block keeps its order, white
+Defined cases: null html is an empty page with an empty text; a page without a usable url is compared with no other
+page; broken markup is read leniently (an unclosed paragraph ends at the next block); text inside a block keeps its order, white
 space becomes one space, blocks are joined by one space; rows are read one by one; an input column that bears a
 result's name is replaced.
 """
@@ -262,16 +262,25 @@ def pruned(wrapper: list) -> list:
     return wrapper
 
 
-def main_slots(wrapper: list) -> list[str]:
-    """Paths of the slots that hold main text."""
-    def inside(path: tuple[str, ...]) -> bool:
-        marks = [k for k, x in enumerate(path) if x.endswith("*")]
-        return bool(marks) and not any(x.endswith("!") and not (x == "header!" and k > marks[0])
-                                       for k, x in enumerate(path))
+def inside(path: tuple[str, ...]) -> bool:
+    """Whether a path leads into the main region and into no boilerplate; a header inside the region is part of it."""
+    marks = [k for k, x in enumerate(path) if x.endswith("*")]
+    return bool(marks) and not any(x.endswith("!") and not (x == "header!" and k > marks[0]) for k, x in enumerate(path))
 
-    every = slots(wrapper)
-    chosen = {p for p in every if inside(p)} or {p for p in every if not any(x.endswith("!") for x in p)}
-    return sorted("/".join(p) for p in chosen)
+
+def outside(path: tuple[str, ...]) -> bool:
+    return not any(x.endswith("!") for x in path)
+
+
+def main_texts(page: str, template: dict[str, frozenset[str]]) -> list[str]:
+    """Texts of the first kind that the page has: its own or template texts of the main region, or of no boilerplate."""
+    texts = [(p, t) for p, t in blocks(page) if t is not None and not silent(p)]
+    own = [(p, t) for p, t in texts if (known := template.get("/".join(p))) is None or text_hash(t) not in known]
+    for some in (own, texts):
+        for chosen in (inside, outside):
+            if found := [t for p, t in some if chosen(p)]:
+                return found
+    return []
 
 
 def infer(streams: list[str]) -> list:
@@ -284,8 +293,7 @@ def infer(streams: list[str]) -> list:
 
 def rules(wrapper: str) -> str:
     """What extract() needs of a wrapper."""
-    made = json.loads(wrapper)
-    return json.dumps([main_slots(made), template_texts(made)])
+    return json.dumps(template_texts(json.loads(wrapper)))
 
 
 def _column(function, kind: str):
@@ -324,18 +332,13 @@ def host_wrappers(pages: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def extract(pages: pd.Series, hosts: pd.Series) -> pd.Series:
-    known: dict[str, tuple[frozenset[str], dict[str, frozenset[str]]]] = {}
+    known: dict[str, dict[str, frozenset[str]]] = {}
     out = []
     for page, rule in zip(pages, hosts):
-        rule = rule or "[[], {}]"
+        rule = rule or "{}"
         if rule not in known:
-            main, template = json.loads(rule)
-            known[rule] = frozenset(main), {p: frozenset(t) for p, t in template.items()}
-        main, template = known[rule]
-        found = [(p, t) for p, t in (("/".join(p), t) for p, t in blocks(page or "") if t is not None and not silent(p))
-                 if p in main]
-        own = [t for p, t in found if p not in template or text_hash(t) not in template[p]]
-        out.append(" ".join(own or [t for _, t in found]))
+            known[rule] = {p: frozenset(t) for p, t in json.loads(rule).items()}
+        out.append(" ".join(main_texts(page or "", known[rule])))
     return pd.Series(out, dtype=object)
 
 
@@ -343,7 +346,7 @@ def extract_main_text(pages: DataFrame, url: str = "url", page: str = "html") ->
     """The input's columns without the html, with text and n_chars."""
     left = [c for c in pages.columns if c != page]
     only = pages.select(host_of(pages[f"`{url}`"]).alias("host"), pages[f"`{page}`"].alias("html"))
-    wrappers = stored(host_wrappers(only).withColumnRenamed("host", "its_host"), "wrappers")
+    wrappers = stored(host_wrappers(only.where("host <> ''")).withColumnRenamed("host", "its_host"), "wrappers")
     rows = pages.select(packed(pages.select([F.col(f"`{c}`") for c in left])), host_of(pages[f"`{url}`"]).alias("host"),
                         pages[f"`{page}`"].alias("html"))
     joined = rows.join(wrappers, same(F.col("host"), F.col("its_host")), "left")

@@ -156,7 +156,17 @@ def test_repeated_texts_of_a_host_are_template(spark):
     assert {got[200 + i] for i in range(3)} == {"read our rules story 7 end 7"} and got[300] == "odd"
     only = spark.createDataFrame([("a.org", r[2]) for r in rows[:30]], "host string, html string")
     same = [wrappers.host_wrappers(only, group).collect()[0].rules for group in (2000, 7)]
-    assert same[0] == same[1] and len(wrappers.json.loads(same[0])[1]) == 2
+    assert same[0] == same[1] and len(wrappers.json.loads(same[0])) == 2
+
+
+def test_each_page_chooses_its_main_region(spark):
+    rows = [(1, "https://a.org/1", page(["one"])), (2, "https://a.org/2", "<body><nav>m</nav><div>two<p>more</p></div></body>"),
+            (3, "https://a.org/3", "<article><nav>n</nav></article><div>three</div>"),
+            (4, None, "<div>shared</div><article>four</article>"), (5, "/x", "<div>shared</div><p>five</p>"),
+            (6, "", "<div>shared</div><p>six</p>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract_main_text(df).collect()}
+    assert got == {1: "h one", 2: "two more", 3: "three", 4: "four", 5: "shared five", 6: "shared six"}
 
 
 # Lines

@@ -13,7 +13,8 @@ Bounds: a group of streams aligned in one task has about 2,000 streams or 16 MB;
 its streams, and wrappers are aligned 200 at a time. Equal streams of a host (copies of a page) count once.
 
 Defined cases: null html is an empty page with an empty text; a page without a usable url is compared with no other
-page; broken markup is read leniently (an unclosed paragraph ends at the next block); text inside a block keeps its order, white
+page; broken markup is read leniently (an unclosed paragraph ends at the next block, an open head at the first element or text that
+cannot be in it); html, body, main and article are never boilerplate; text inside a block keeps its order, white
 space becomes one space, blocks are joined by one space; rows are read one by one; an input column that bears a
 result's name is replaced.
 """
@@ -41,9 +42,14 @@ SILENT = frozenset("script style noscript template svg math canvas object iframe
                    " button".split())
 BOILERPLATE = frozenset("nav footer aside form dialog menu".split())
 CLOSED_BY_BLOCK = frozenset(("p",))
-NAMES = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal"
-                   r"|comments?|repl(?:y|ies)|sidebar|menu|nav\w*|breadcrumbs?|share|social|related|footer|header"
-                   r"|masthead|newsletter|subscribe|login)(?:$|[^a-z])")
+#: Whole class and id tokens; a compound (site-footer) consists of such words and of words that say only where or how.
+NAMES = re.compile(r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal"
+                   r"|comments?|repl(?:y|ies)|sidebar|menu|nav|navbar|navigation|breadcrumbs?|share|social|related|footer|header"
+                   r"|masthead|newsletter|subscribe|login")
+BESIDE = frozenset("site page main top bottom list item area box bar block section widget post posts primary secondary"
+                   " links buttons".split())
+NEVER_BOILERPLATE = frozenset("html body main article".split())
+HEAD_CONTENT = frozenset("script style noscript template title".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in ("script", "style", "textarea", "title")}
@@ -53,11 +59,21 @@ DEEPEST = 150
 GROUP, GROUP_BYTES, FAN_IN, TEMPLATE_SHARE = 2000, 16 << 20, 200, 0.9
 
 
+def names_boilerplate(label: str) -> bool:
+    """Whether a token of the label is a boilerplate name, or a compound of such names and words of place."""
+    for token in label.split():
+        words = [w for w in re.split(r"[-_]+", token) if w]
+        known = [bool(NAMES.fullmatch(w)) for w in words]
+        if any(known) and all(k or w in BESIDE for k, w in zip(known, words)):
+            return True
+    return False
+
+
 def element(name: str, attributes: str) -> str:
     """An element's name in a path; ! marks boilerplate, * the main region."""
     said = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(attributes)} if attributes.strip() else {}
     label = f"{said.get('class', '')} {said.get('id', '')}".lower()
-    if name in BOILERPLATE or name == "header" or NAMES.search(label):
+    if name in BOILERPLATE or name == "header" or name not in NEVER_BOILERPLATE and names_boilerplate(label):
         return f"{name}!"
     if name in ("article", "main") or said.get("role", "").lower() == "main":
         return f"{name}*"
@@ -98,6 +114,17 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str | None]]:
         return [(tuple(path), text)] if text else []
 
     for kind, what in read(page):
+        if path and path[-1].rstrip("!*") == "head" and (
+                what.strip() if kind == "text" else kind == "open" and what.rstrip("!*") not in HEAD_CONTENT):
+            yield from flush()
+            path.pop()
+            yield tuple(path), None
+        elif kind == "open" and what.rstrip("!*") == "body":
+            heads = [k for k, x in enumerate(path) if x.rstrip("!*") == "head"]
+            if heads:
+                yield from flush()
+                del path[heads[0]:]
+                yield tuple(path), None
         if kind == "text":
             held.append(what)
             continue

@@ -169,6 +169,17 @@ def test_each_page_chooses_its_main_region(spark):
     assert got == {1: "h one", 2: "two more", 3: "three", 4: "four", 5: "shared five", 6: "shared six"}
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<html class='no-cookies'><body class='has-sidebar no-sidebar menu'><p>a</p></body></html>", "a"),
+    ("<div class='page with-menu'><article>a</article></div>", "a"), ("<main class='with-sidebar'>a</main>b", "a"),
+    ("<article class='promo-free promo'>a</article>b", "a"), ("<div class='site-footer'>f</div><p class='Footer x'>g</p>a", "a"),
+    ("<div class='comment-list'>c</div><div id='main_nav'>n</div>a", "a"),
+    ("<html><head><title>t</title><script>s</script><body><p>a</p>", "a"), ("<head><title>t</title><p>a</p><div>b</div>", "a b"),
+    ("<head><meta charset=x> a", "a"), ("<head><noscript>n<body>a", "a"), ("<head><noscript>n</noscript></head>a", "a")])
+def test_no_page_is_lost_by_names_or_an_open_head(html, want):
+    assert " ".join(wrappers.main_texts(html, {})) == want
+
+
 # Lines
 
 

@@ -1,9 +1,11 @@
 """Licence scan with a positional index of rare words.
 
-Method: the inverse document frequencies of the words of the licence notices are counted over all documents. In each
-file its licence words of the highest IDF are looked up in the index of the notices (word -> notice, position); places
-in the file minus places in the notice are intersected: a notice is proposed where several rare words agree on its
-beginning. The proposal is compared with the notice word by word and needs the notice's key phrase in place.
+Method: the inverse document frequencies of the words of the notices' key phrases are counted over all documents. In
+each file the words of the highest IDF of each notice's key phrase, however common, are looked up with their place in
+the notice; places in the file minus places in the notice are intersected: a notice is proposed where its rare words
+agree on its beginning. The proposal is compared with the notice word by word: half of them must match, and the key
+phrase must stand in place. Hence every notice that passes is also proposed, and IDF decides only what is looked up
+first: the labels of a file do not depend on the other files.
 
 Besides, every place of the base phrases is reported. Words are maximal runs of ASCII letters, digits and non-ASCII
 characters, A-Z lower-cased. Defined cases: null or empty text has no words and no labels; an empty table gives an
@@ -40,8 +42,8 @@ NOTICES = (
      " software and associated documentation files"),
     ("mpl", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
-#: Rarest licence words of a file that are looked up, how rare a word must be, and the share of a notice that must match.
-RAREST, MIN_IDF, MIN_SHARE = 12, 1.5, 0.5
+#: Rarest words of each notice's key phrase that are looked up, and the share of a notice that must match.
+RAREST, MIN_SHARE = 2, 0.5
 RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places")
 _CLEAN = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or chr(x).isalnum() else 32 for x in range(256))
 
@@ -55,16 +57,18 @@ def _words(text: str) -> tuple[bytes, ...]:
 
 
 class Index:
-    """Postings of the notices' words."""
+    """Places of the key phrases' words in the notices."""
 
     def __init__(self, notices=NOTICES, phrases=PHRASES) -> None:
         self.notices = [(label, _words(key), _words(text)) for label, key, text in notices]
         self.phrases = [(_words(p), label) for p, label in phrases]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for number, (_, _, text) in enumerate(self.notices):
-            for at, word in enumerate(text):
-                self.postings[word].append((number, at))
-        self.vocabulary = frozenset(self.postings) | {w for p, _ in self.phrases for w in p}
+        self.firsts = [next(k for k in range(len(text)) if text[k:k + len(key)] == key) for _, key, text in self.notices]
+        self.vocabulary = frozenset(w for key in (*(k for _, k, _ in self.notices), *(p for p, _ in self.phrases)) for w in key)
+
+    def rarest(self, idf: dict[bytes, float]) -> list[list[tuple[bytes, int]]]:
+        """(word, place in the notice) of the rarest key words of each notice."""
+        return [[(w, first + key.index(w)) for w in sorted(set(key), key=lambda w: (-idf[w], w))[:RAREST]]
+                for first, (_, key, _) in zip(self.firsts, self.notices)]
 
 
 def stands_at(words: list[bytes], at: int, phrase: tuple[bytes, ...]) -> bool:
@@ -77,25 +81,19 @@ def base_places(words: list[bytes], places: dict[bytes, list[int]], index: Index
             for at in places[phrase[0]] if stands_at(words, at, phrase)]
 
 
-def notice_places(words: list[bytes], places: dict[bytes, list[int]], idf: dict[bytes, float],
+def notice_places(words: list[bytes], places: dict[bytes, list[int]], rarest: list[list[tuple[bytes, int]]],
                   index: Index) -> list[tuple[str, int, float]]:
     """(label, first word, matching share) of the notices found."""
-    rare = sorted((w for w in places if w in index.postings and idf[w] >= MIN_IDF), key=lambda w: (-idf[w], w))[:RAREST]
-    votes: Counter = Counter()
-    for word in rare:
-        for number, offset in index.postings[word]:
-            for at in places[word]:
-                votes[number, at - offset] += 1
     found = []
-    for (number, shift), n in votes.items():
-        label, key, text = index.notices[number]
-        if n < min(2, len({w for w in text if idf[w] >= MIN_IDF})):
+    for (label, key, text), first, rare in zip(index.notices, index.firsts, rarest):
+        if not all(w in places for w in key):
             continue
-        inside = [k for k in range(len(text)) if 0 <= shift + k < len(words) and words[shift + k] == text[k]]
-        share = len(inside) / len(text)
-        first = next(k for k in range(len(text)) if text[k:k + len(key)] == key)
-        if share >= MIN_SHARE and shift + first >= 0 and stands_at(words, shift + first, key):
-            found.append((label, max(shift, 0), share))
+        for shift in set.intersection(*({at - offset for at in places[w]} for w, offset in rare)):
+            if shift + first < 0 or not stands_at(words, shift + first, key):
+                continue
+            share = sum(0 <= shift + k < len(words) and words[shift + k] == w for k, w in enumerate(text)) / len(text)
+            if share >= MIN_SHARE:
+                found.append((label, max(shift, 0), share))
     return sorted(found)
 
 
@@ -123,13 +121,13 @@ def scan_licences(docs: DataFrame, text: str = "text", notices=NOTICES, phrases=
     """The input's columns with the places of base phrases and notices, the labels and the best matching share."""
     index = Index(notices, phrases)
     n, counts = document_frequencies(docs.select(docs[f"`{text}`"].alias("text")), index.vocabulary)
-    idf = {w: math.log((n + 1) / (counts.get(w, 0) + 1)) if n > 20 else MIN_IDF for w in index.vocabulary}
+    rarest = index.rarest({w: math.log((n + 1) / (counts.get(w, 0) + 1)) for w in index.vocabulary})
 
     def scan(texts: pd.Series) -> pd.DataFrame:
         out = []
         for value in texts:
             words = words_of(value)
-            known = {w for w in index.vocabulary.intersection(words) if idf[w] >= MIN_IDF or w in phrase_words}
+            known = index.vocabulary.intersection(words)
             if not known:
                 out.append((len(words), 0, None, None, "", "", 0.0, []))
                 continue
@@ -138,7 +136,7 @@ def scan_licences(docs: DataFrame, text: str = "text", notices=NOTICES, phrases=
                 if word in known:
                     places[word].append(at)
             base = base_places(words, places, index)
-            more = notice_places(words, places, idf, index)
+            more = notice_places(words, places, rarest, index)
             own = sorted({label for _, label in base})
             out.append((len(words), len(base), min((a for a, _ in base), default=None), max((a for a, _ in base), default=None),
                         ",".join(own), ",".join(sorted({*own, *(label for label, _, _ in more)})),
@@ -147,6 +145,5 @@ def scan_licences(docs: DataFrame, text: str = "text", notices=NOTICES, phrases=
         frame = pd.DataFrame(out, columns=list(RESULTS))
         return frame.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    phrase_words = {w for p, _ in index.phrases for w in p}
     done = docs.select(packed(docs), F.pandas_udf(scan, KIND)(docs[f"`{text}`"]).alias("done"))
     return done.select(*unpacked(docs.columns, replaced=set(RESULTS)), "done.*")

@@ -374,6 +374,32 @@ def test_licences(spark, hard, empty):
     assert licences.scan_licences(hard).count() == len(HARD) and licences.scan_licences(empty).count() == 0
 
 
+def test_every_notice_is_found_however_common(spark):
+    def brute(text):
+        words, found = text.lower().replace("-", " ").replace(",", " ").replace(".", " ").split(), set()
+        for label, key, notice in licences.NOTICES:
+            key, notice = key.split(), notice.split()
+            first = next(k for k in range(len(notice)) if notice[k:k + len(key)] == key)
+            for at in range(len(words)):
+                if words[at:at + len(key)] == key:
+                    here = [at - first + k for k in range(len(notice))]
+                    same = sum(0 <= i < len(words) and words[i] == w for i, w in zip(here, notice))
+                    if same >= 0.5 * len(notice):
+                        found.add(label)
+        return found | {y for p, y in licences.PHRASES if p in " ".join(words)}
+
+    texts = {label: notice for label, _, notice in licences.NOTICES}
+    rows = [(i, f"file {i} " + texts[("bsd", "mpl", "cc-by-nc", "mit")[i % 4]]) for i in range(60)]
+    several = " ".join(f"{n} end" for n in (t for _, _, t in licences.NOTICES))
+    rows += [(100, several), (101, "compliance obtain except file copy " * 9 + texts["bsd"] + " then " + texts["mpl"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licences.scan_licences(docs).collect()}
+    assert {i: set(r.labels.split(",")) for i, r in got.items()} == {i: brute(t) for i, t in rows}
+    assert all(got[i].score == 1.0 for i in range(60)) and sum(x.share == 1.0 for x in got[100].places) == len(licences.NOTICES)
+    few = {r.doc_id: r for r in licences.scan_licences(docs.where("doc_id in (0, 1, 100)")).collect()}
+    assert all(few[i] == got[i] for i in (0, 1, 100))
+
+
 # Decontamination
 
 

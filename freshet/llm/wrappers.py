@@ -347,8 +347,8 @@ def host_wrappers(pages: DataFrame, group: int = GROUP) -> DataFrame:
                          "part": [table["part"][0].as_py()],
                          "stream": [json.dumps(infer(table["stream"].to_pylist()), separators=(",", ":"))]})
 
-    def aligned(items: DataFrame) -> DataFrame:
-        return items.groupBy("host", "part").applyInArrow(one, "host string, parts bigint, part bigint, stream string")
+    def aligned(items: DataFrame) -> DataFrame:  # dealt by both keys, else all groups of a host meet in one task
+        return items.repartition("host", "part").groupBy("host", "part").applyInArrow(one, "host string, parts bigint, part bigint, stream string")
 
     first = stored(aligned(dealt), "wrappers_of_groups")
     more = first.where("parts > 1")

@@ -164,3 +164,70 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     found = capture_history(spark, pages)
     return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                         F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+@query("op11_resampling", rf"""
+WITH table_ AS (SELECT list(v ORDER BY b) AS t FROM (
+  SELECT b, list_reduce(range(0, 8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, b) AS v
+  FROM (SELECT unnest(range(0, 256)) AS b))),
+d AS (SELECT doc_id, {ALNUM_WORDS} AS w FROM documents),
+dw AS (SELECT doc_id, unnest(w) AS f FROM d),
+bw AS (SELECT unnest(w) AS f FROM (SELECT {ALNUM_WORDS} AS w FROM benchmark)),
+vocabulary AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM dw UNION SELECT f FROM bw)),
+buckets AS (SELECT f, xor(4294967295, list_reduce(
+    list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+    lambda r, x: xor(t[(xor(r, x) & 255) + 1], r >> 8), CAST(4294967295 AS BIGINT))) % 10000 AS bucket
+  FROM vocabulary, table_),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN buckets USING (f) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN buckets USING (f) GROUP BY 1),
+sums AS (SELECT (SELECT count(*) FROM dw) AS all_s, (SELECT count(*) FROM bw) AS all_t),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * (all_s + 10000)
+            / (CAST(s + 1 AS DOUBLE) * (all_t + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), sums),
+weights AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN buckets USING (f) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+    (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))
+    AS BIGINT) AS score FROM d LEFT JOIN weights USING (doc_id)),
+places AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 10 * count(*) OVER () // 100 AS drawn
+           FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank
+FROM scored LEFT JOIN places USING (doc_id)""")
+def op11_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    from freshet.llm.resampling import resample
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    judged = resample(docs, table(spark, folder, "benchmark"), buckets=10_000, most_words=1, percent=10, min_words=20, seed=2024)
+    return judged.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from freshet.llm.whitening import whiten
+
+    return whiten(table(spark, folder, "embeddings"), components=4)
+
+
+#: Rules on hosts and paths of the url query.
+HOST_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+              ("block", "com", "/de/"))
+FITS = " UNION ALL ".join(
+    f"SELECT '{h}{p}' AS rule, '{a}' AS action, {len(h + p)} AS size, '{h}' AS h, '{p}' AS p" for a, h, p in HOST_RULES)
+
+
+@query("op13_url_filter", rf"""
+WITH parts AS (SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS raw_host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+                 regexp_extract(rest, '^[^?#]*((?:\?[^#]*)?)', 1) AS query, known
+  FROM (SELECT page_id, coalesce(position('://' IN url) > 0, false) AS known,
+          CASE WHEN known THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages)),
+seen AS (SELECT *, {LOWER.format('raw_host')} AS host FROM parts),
+rules AS ({FITS}),
+best AS (SELECT page_id, arg_max(rule, size) AS rule, arg_max(action, size) AS action
+         FROM seen JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1),
+own AS (SELECT *, '.' || host || path || query AS u FROM seen)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN known AND (contains(u, '/login') OR contains(u, '/cart/')
+  OR contains(u, '/wp-admin/') OR ends_with(u, '.exe') OR ends_with(u, '.zip') OR u LIKE '%_sessionid=%') THEN 'block' ELSE 'allow' END) AS verdict
+FROM own LEFT JOIN best USING (page_id)""")
+def op13_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from freshet.llm.url_filter import HostRule, filter_urls
+
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return filter_urls(pages, [HostRule(*r) for r in HOST_RULES]).select("page_id", "host", "path", "rule", "verdict")

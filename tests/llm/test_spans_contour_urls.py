@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from freshet.llm.contour import count_above, eigenpairs_inside, interval_of_largest, largest_eigenpairs
+from freshet.llm.contour import count_above, eigenpairs_inside, interval_of_largest, largest_eigenpairs, tridiagonal
 from freshet.llm.resampling import drawn_documents, resample, text_buckets
 from freshet.llm.spans import BLOCK, CHUNK, span_crc32, words
 from freshet.llm.url_filter import Automaton, GlobRule, HostRule, filter_urls
@@ -135,12 +135,22 @@ def test_eigenpairs_of_many_spectra():
         assert np.allclose(vectors.T @ vectors, np.eye(len(values)), atol=1e-12)
         assert np.allclose(matrix @ vectors, vectors * values, atol=1e-13)
         for shift in rng.uniform(-0.5, 2.5, 5):
-            assert count_above(matrix, shift) == (spectrum > shift).sum()
+            assert count_above(tridiagonal(matrix), shift) == (spectrum > shift).sum()
+
+
+def test_eigenpairs_of_a_nearly_even_spectrum():
+    """Hardly any gap between the last component and the next one."""
+    x = np.random.default_rng(7).standard_normal((40_000, 64))
+    matrix = np.cov(np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).T, bias=True)
+    for wanted in (1, 4, 11, 64):
+        values, vectors = largest_eigenpairs(matrix, wanted)
+        assert np.allclose(values, np.linalg.eigvalsh(matrix)[::-1][:wanted], rtol=1e-13)
+        assert np.abs(matrix @ vectors - vectors * values).max() < 1e-13 * values[0] * 64
 
 
 def test_inertia_counts_indefinite_pivots_and_missed_pairs_are_noticed():
-    assert count_above(np.array([[0.0, 1.0], [1.0, 0.0]]), 0.0) == 1
-    assert count_above(np.zeros((3, 3)), 0.0) == 0 and count_above(np.zeros((3, 3)), -1.0) == 3
+    assert count_above(tridiagonal(np.array([[0.0, 1.0], [1.0, 0.0]])), 0.0) == 1
+    assert count_above(tridiagonal(np.zeros((3, 3))), 0.0) == 0 and count_above(tridiagonal(np.zeros((3, 3))), -1.0) == 3
     matrix = np.diag([5.0, 4.0, 1.0, 0.5])
     low, high, count = interval_of_largest(matrix, 2)
     assert count == 2 and 1 < low < 4

@@ -40,3 +40,13 @@ def snow_cells(d: Inputs) -> DataFrame:
     return d.view("cells").withColumn(
         "swe_mm", F.when(F.col("swe_raw") != -9999, F.col("swe_raw").cast("double"))).withColumn(
         "elevation_m", F.col("elevation_m").cast("double"))
+
+
+def hourly_iv(d: Inputs) -> DataFrame:
+    """Hourly readings of three gauges: every order line reports through its day, with some hours left out."""
+    lines = d.table("lineitem").withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    value = (F.col("l_quantity") + (F.col("h") * 7 + F.col("l_linenumber")) % 11).cast("double")
+    return lines.filter((F.col("l_partkey") + F.col("h")) % 17 != 0).select(
+        (F.col("l_suppkey") % 3).alias("site"),
+        F.timestamp_add("HOUR", F.col("h"), F.to_date("l_shipdate").cast("timestamp")).alias("datetime"),
+        F.when((F.col("l_orderkey") + F.col("h")) % 29 != 0, value).alias("cfs"))

@@ -80,6 +80,11 @@ FROM iv_raw r JOIN (SELECT site_no, {_ZONE} AS zone FROM iv_raw GROUP BY site_no
     "flow_hourly": "SELECT site_no, ord, utc AS hour_updated, cfs FROM flow_utc WHERE substr(datetime, 15, 2) = '00'",
     "weather_january": _folded("asos_raw"),
     "weather_hourly": _folded("asos_fall"),
+    # Hourly readings of three gauges: every order line reports through its day, with some hours left out.
+    "hourly_iv": """SELECT l_suppkey % 3 AS site, CAST(l_shipdate AS TIMESTAMP) + to_hours(CAST(h AS INT)) AS datetime,
+  CASE WHEN (l_orderkey + h) % 29 <> 0 THEN CAST(l_quantity + (h * 7 + l_linenumber) % 11 AS DOUBLE) END AS cfs
+FROM (SELECT *, unnest(range(0, 24)) AS h FROM lineitem) WHERE (l_partkey + h) % 17 <> 0""",
+    "hours": "SELECT site, datetime AS t, avg(cfs) AS cfs FROM hourly_iv GROUP BY 1, 2",
     # Weather of site 100000nn comes from station K0nn.
     "weather_site": """SELECT lpad(CAST(10000000 + CAST(substr(station, 2) AS BIGINT) AS STRING), 8, '0') AS site_no, *
 FROM weather_hourly WHERE CAST(substr(station, 2) AS BIGINT) < 12""",

@@ -12,6 +12,7 @@ from freshet.catalog.registry import Inputs, query, rounded, stamp
 from freshet.catalog.views import JOINED
 from freshet.functions import text
 from freshet.operators import clean, joins, panels, scenes, series
+from freshet.session import stored
 
 # Panels over daily steps: 92-day slices, three years of readings at least.
 WIDTH, MIN_OBSERVED = 92, 3 * 365
@@ -43,6 +44,10 @@ def steps(d: Inputs) -> DataFrame:
     return panels.to_steps(d.view("daily_flow").withColumn("ts", F.col("date").cast("timestamp")), "ts", "cfs", "site", "day")
 
 
+def day_blocks(d: Inputs) -> DataFrame:
+    return panels.site_blocks(steps(d), WIDTH, "site")
+
+
 def day_text(column: str):
     return F.date_from_unix_date(F.col(column).cast("int")).cast("string")
 
@@ -83,52 +88,51 @@ def fill_mean_of_neighbours(d: Inputs) -> DataFrame:
 @query("rolling_coverage", f"""WITH {ROLLED}
 SELECT site, strftime(date, '%Y-%m-%d') AS date, CASE WHEN n = 92 THEN round(CAST(k AS DOUBLE) / 92, 6) END AS coverage FROM rolled""", ["daily_flow"])
 def rolling_coverage(d: Inputs) -> DataFrame:
-    out = series.rolling_coverage(panels.dense_steps(steps(d), "site"), ["site"], "step", "cfs", WIDTH)
+    out = series.rolling_coverage(steps(d), ["site"], "step", "cfs", WIDTH)
     return out.select("site", day_text("step").alias("date"), *rounded("coverage"))
 
 
 @query("rolling_log_mean", f"""WITH {ROLLED}
 SELECT site, strftime(date, '%Y-%m-%d') AS date, log_mean FROM rolled""", ["daily_flow"])
 def rolling_log_mean(d: Inputs) -> DataFrame:
-    out = series.rolling_log_mean(panels.dense_steps(steps(d), "site"), ["site"], "step", "cfs", WIDTH, WIDTH // 2)
+    out = series.rolling_log_mean(steps(d), ["site"], "step", "cfs", WIDTH, WIDTH // 2)
     return out.select("site", day_text("step").alias("date"), "log_mean")
 
 
 @query("season_topk", f"""WITH {DENSE}, {SEASONS}
 SELECT site, season, rank, year, strftime(start, '%Y-%m-%d') AS start, round(CAST(n AS DOUBLE) / 92, 6) AS coverage FROM seasons""", ["daily_flow"])
 def season_topk(d: Inputs) -> DataFrame:
-    s = steps(d)
-    out = panels.season_topk(s, panels.record_bounds(s, "site"), WIDTH, "day", key="site")
+    out = panels.season_topk(day_blocks(d), WIDTH, "day", key="site")
     return out.select("site", "season", "rank", "year", day_text("start").alias("start"), *rounded("coverage"))
 
 
 @query("flood_slice", f"""WITH {DENSE}, {FLOOD}
 SELECT site, strftime(peak, '%Y-%m-%d') AS peak, strftime(start, '%Y-%m-%d') AS start FROM flood""", ["daily_flow"])
 def flood_slice(d: Inputs) -> DataFrame:
-    return panels.flood_slice(steps(d), WIDTH, "site").select("site", day_text("peak").alias("peak"), day_text("start").alias("start"))
+    return panels.flood_slice(day_blocks(d), WIDTH, "site").select("site", day_text("peak").alias("peak"), day_text("start").alias("start"))
 
 
 @query("drought_slice", f"""WITH {ROLLED}, {DROUGHT}
 SELECT site, strftime(hit, '%Y-%m-%d') AS low_end, strftime(hit - 91, '%Y-%m-%d') AS start FROM drought""", ["daily_flow"])
 def drought_slice(d: Inputs) -> DataFrame:
-    return panels.drought_slice(steps(d), WIDTH, key="site").select("site", day_text("end").alias("low_end"), day_text("start").alias("start"))
+    return panels.drought_slice(day_blocks(d), WIDTH, key="site").select("site", day_text("end").alias("low_end"), day_text("start").alias("start"))
 
 
-def panel(d: Inputs, s: DataFrame) -> DataFrame:
-    return panels.select_panel(s, WIDTH, "day", MIN_OBSERVED, key="site")
+def panel(blocks: DataFrame) -> DataFrame:
+    return panels.select_panel(blocks, WIDTH, "day", MIN_OBSERVED, key="site")
 
 
 @query("select_panel", f"""WITH {PANEL} SELECT site, slice_order, slice_type, rank, strftime(start, '%Y-%m-%d') AS start FROM panel""", ["daily_flow"])
 def select_panel(d: Inputs) -> DataFrame:
-    return panel(d, steps(d)).select("site", "slice_order", "slice_type", "rank", day_text("start").alias("start"))
+    return panel(day_blocks(d)).select("site", "slice_order", "slice_type", "rank", day_text("start").alias("start"))
 
 
 @query("panel_slices", f"""WITH {PANEL}
 SELECT p.site, slice_order, strftime(p.start, '%Y-%m-%d') AS start, CAST(o.off AS INT) AS off, CAST(f.cfs AS FLOAT) AS cfs FROM panel p
 CROSS JOIN range(92) o(off) LEFT JOIN daily_flow f ON f.site = p.site AND f.date = p.start + CAST(o.off AS INT)""", ["daily_flow"])
 def panel_slices(d: Inputs) -> DataFrame:
-    s = steps(d)
-    out = panels.panel_slices(panel(d, s), s, WIDTH, "site")
+    blocks = stored(day_blocks(d), "day_blocks")
+    out = panels.panel_slices(panel(blocks), blocks, WIDTH, "site")
     return out.select("site", "slice_order", day_text("start").alias("start"), F.posexplode("values").alias("off", "cfs"))
 
 

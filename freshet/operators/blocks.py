@@ -78,20 +78,6 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
         F.coalesce(F.col("_a.p") + F.col("_offset"), F.col("_out.p")).alias("after_position"))
 
 
-def trailing(df: DataFrame, keys: Sequence[str], index: str, width: int, **aggregates: Column) -> DataFrame:
-    """Aggregates over the trailing `width` steps of an integer index.
-
-    Blocks are `width` steps long and every row is also copied into the next block, so each frame lies in
-    one block and no task holds more than two blocks of a key.
-    """
-    keys = list(keys)
-    home = F.floor(F.col(index) / F.lit(width)).cast("bigint")
-    copies = df.withColumn(BLOCK, F.explode(F.array(home, home + 1)))
-    frame = Window.partitionBy(*keys, BLOCK).orderBy(index).rangeBetween(-(width - 1), 0)
-    out = copies.withColumns({name: column.over(frame) for name, column in aggregates.items()})
-    return out.filter(F.col(BLOCK) == home).drop(BLOCK)
-
-
 def ends(df: DataFrame, keys: Sequence[str], order: Column, count: int) -> DataFrame:
     """Per key, the `count`-th smallest and largest order value (null when a key has fewer rows).
 

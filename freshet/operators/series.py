@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.operators import blocks
+from freshet.operators import blocks, records
 from freshet.operators.clean import season_days
 from freshet.operators.joins import union_tables
 
@@ -28,18 +28,30 @@ def fill_mean_of_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[
     return near.withColumn(name, (F.col("before_value") + F.col("after_value")) / F.lit(2.0)).select(*df.columns, name)
 
 
+def _frame_rows(df: DataFrame, keys: Sequence[str], index: str, value: str, width: int) -> DataFrame:
+    """Every step from a key's first to its last with its value, its place in the record and its trailing frame."""
+    framed = records.trailing_frames(records.record_blocks(df, keys, index, value, width), keys, width)
+    rows = framed.select(*keys, records.BLOCK, "lo", "hi", F.posexplode(F.arrays_zip("values", "_n", "_s")).alias("_i", "_f"))
+    step = F.col(records.BLOCK) * width + F.col("_i")
+    return rows.select(*keys, step.alias(index), F.col("_f.values").alias(value), F.col("_f._n").alias("_n"), F.col("_f._s").alias("_s"),
+                       (step - F.col("lo")).alias("_at"), "lo", "hi").filter(F.col(index).between(F.col("lo"), F.col("hi")))
+
+
 def rolling_coverage(df: DataFrame, keys: Sequence[str], index: str, value: str, width: int) -> DataFrame:
-    """Observed share of the trailing frame over a dense axis; null until the frame is full."""
-    out = blocks.trailing(df, keys, index, width, _n=F.count(F.lit(1)), _k=F.count(value))
-    return out.withColumn("coverage", F.when(F.col("_n") == width, F.col("_k") / F.lit(float(width)))).drop("_n", "_k")
+    """Observed share of the `width` steps that end at each step of a key's record; null until the frame is full.
+
+    Gaps of the integer index are filled in; the result has every step from a key's first to its last.
+    """
+    rows = _frame_rows(df, keys, index, value, width)
+    return rows.select(*keys, index, value, F.when(F.col("_at") >= width - 1, F.col("_n") / F.lit(float(width))).alias("coverage"))
 
 
 def rolling_log_mean(df: DataFrame, keys: Sequence[str], index: str, value: str, width: int,
                      min_observed: int) -> DataFrame:
-    """Mean log flow of the trailing frame, if enough of it is observed; rounded so that ties are exact."""
-    logged = F.log1p(F.when(F.col(value).isNotNull(), F.greatest(F.col(value), F.lit(0.0))))
-    out = blocks.trailing(df, keys, index, width, _m=F.avg(logged), _k=F.count(value))
-    return out.withColumn("log_mean", F.when(F.col("_k") >= min_observed, F.round("_m", 9))).drop("_m", "_k")
+    """Mean log flow of the trailing frame, if enough of it is observed; rounded to nine digits so that ties are exact."""
+    rows = _frame_rows(df, keys, index, value, width)
+    mean = records.whole_mean(F.col("_s"), F.col("_n")) / F.lit(float(records.MEAN_UNITS))
+    return rows.select(*keys, index, value, F.when((F.col("_n") >= max(min_observed, 1)), mean).alias("log_mean"))
 
 
 def dedupe_concat(frames: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str]) -> DataFrame:

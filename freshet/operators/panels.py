@@ -104,18 +104,11 @@ def flood_slice(steps: DataFrame, width: int = SLICE_HOURS, key: str = "site_no"
     return found.select(key, "peak", _flood_window(F.col("peak"), F.col("lo"), F.col("hi"), width).alias("start"))
 
 
-def _block_low(width: int, min_coverage: float) -> Column:
-    """(mean log flow, step) of the first lowest trailing frame that ends in a block; null without one."""
-    means = records.frame_means(F.col("_n"), F.col("_s"), F.col(records.BLOCK) * width, F.col("lo"), F.col("hi"),
-                                int(width * min_coverage))
-    return F.array_min(means)
-
-
 def drought_slice(steps: DataFrame, width: int = SLICE_HOURS, min_coverage: float = 0.5,
                   key: str = "site_no") -> DataFrame:
     """Window that ends at the first lowest rolling mean log flow; sites without one are left out."""
-    framed = records.trailing_frames(site_blocks(steps, width, key), [key], width)
-    low = framed.select(key, _block_low(width, min_coverage).alias("_low")).groupBy(key).agg(F.min("_low").alias("_low"))
+    framed = records.lowest_frames(site_blocks(steps, width, key), [key], width, int(width * min_coverage), "_low")
+    low = framed.groupBy(key).agg(F.min("_low").alias("_low"))
     end = F.col("_low.step")
     return low.filter(F.col("_low").isNotNull()).select(key, end.alias("end"), (end - (width - 1)).alias("start"))
 
@@ -124,10 +117,10 @@ def block_summary(blocks: DataFrame, width: int = SLICE_HOURS, step: str = "hour
                   key: str = "site_no") -> DataFrame:
     """What a panel needs to know of each block, in one pass over the hours: bounds, observed steps, first highest
     flow, first lowest trailing mean and its part of the season windows."""
-    framed = records.trailing_frames(blocks, [key], width)
+    framed = records.lowest_frames(blocks, [key], width, int(width * min_coverage), "low")
     return framed.select(
         key, "lo", "hi", F.size(F.filter("values", lambda v: v.isNotNull())).cast("bigint").alias("observed"),
-        _block_peak(width).alias("peak"), _block_low(width, min_coverage).alias("low"),
+        _block_peak(width).alias("peak"), "low",
         _overlapping_seasons(F.col(records.BLOCK) * width, width, step).alias("seasons"))
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.operators import blocks, clean, joins, nearby, panels, scenes, series, vectors
+from freshet.operators import blocks, clean, joins, nearby, panels, records, scenes, series, vectors
 
 
 @pytest.fixture(scope="module")
@@ -184,3 +184,91 @@ def test_dedupe_keeps_first_chunk(spark):
     b = spark.createDataFrame([("s", 1, 20, "x"), ("s", 2, 30, "y")], "site string, h int, v int, extra string")
     out = series.dedupe_concat([a, b], ["site", "h"], ["v"]).orderBy("h").collect()
     assert [(r.h, r.v, r.extra) for r in out] == [(1, 10, None), (2, 30, "y")]
+
+
+def test_block_records_and_trailing_frames(spark):
+    """Gaps of whole blocks, negative steps, a null key and one step only."""
+    rng, width = np.random.default_rng(5), 7
+    steps = [("a", s, None if rng.random() < 0.2 else float(rng.integers(-2, 9))) for s in range(-20, 90)
+             if rng.random() < 0.7 and not 20 < s < 45]
+    steps += [("b", 3, 1.0), (None, 100, 2.0), ("none", 5, None)]
+    known = {(k, s): v for k, s, v in steps}
+    frame = spark.createDataFrame(steps, "k string, step long, v double")
+    blocks = records.record_blocks(frame, ["k"], "step", "v", width)
+    framed = records.lowest_frames(records.trailing_frames(blocks, ["k"], width), ["k"], width, 3, "low").collect()
+    spans = {k: [s for x, s, _ in steps if x == k] for k in {x for x, _, _ in steps}}
+    assert sorted((str(r["k"]), r["_block"]) for r in framed) == sorted(
+        (str(k), b) for k, span in spans.items() for b in range(min(span) // width, max(span) // width + 1))
+
+    def frame_of(k, s):
+        return [v for v in (known.get((k, j)) for j in range(s - width + 1, s + 1)) if v is not None]
+
+    def mean_of(values):
+        return float(np.round(np.mean(np.log1p(np.maximum(values, 0))), 9))
+
+    for r in framed:
+        base, lo, hi = r["_block"] * width, min(spans[r["k"]]), max(spans[r["k"]])
+        assert (r["lo"], r["hi"]) == (lo, hi)
+        assert list(r["values"]) == [known.get((r["k"], base + i)) for i in range(width)]
+        means = []
+        for i, (n, s) in enumerate(zip(r["_n"], r["_s"])):
+            seen = frame_of(r["k"], base + i)
+            assert n == len(seen) and abs(s - sum(np.log1p(max(v, 0)) for v in seen) * records.LOG_UNITS) <= 2 * width
+            if n >= 3 and lo <= base + i <= hi:
+                means.append((mean_of(seen), base + i))
+        low = r["low"] and (r["low"]["m"] / records.MEAN_UNITS, r["low"]["step"])
+        assert low == (min(means) if means else None)
+    rolled = series.rolling_log_mean(frame, ["k"], "step", "v", width, 3).filter("k = 'a'").collect()
+    assert [r["step"] for r in sorted(rolled, key=lambda r: r["step"])] == list(range(min(spans["a"]), max(spans["a"]) + 1))
+    for r in rolled:
+        seen = frame_of("a", r["step"])
+        assert r["log_mean"] == (mean_of(seen) if len(seen) >= 3 else None)
+    covered = {r["step"]: r["coverage"] for r in series.rolling_coverage(frame, ["k"], "step", "v", width).filter("k = 'a'").collect()}
+    first = min(spans["a"])
+    assert covered == {s: None if s < first + width - 1 else len(frame_of("a", s)) / width for s in covered}
+
+
+def test_slices_are_cut_from_blocks(spark):
+    steps = [("a", s, float(s)) for s in range(10, 60) if s % 4]
+    blocks = records.record_blocks(spark.createDataFrame(steps, "k string, step long, v double"), ["k"], "step", "v", 8)
+    asked = spark.createDataFrame([("a", n, s) for n, s in enumerate((-40, 4, 8, 13, 55, 59, 400))] + [("b", 9, 16)], "k string, n int, start long")
+    got = {(r["k"], r["n"]): r["values"] for r in records.cut_slices(asked, blocks, ["k"], "start", 8, "values").collect()}
+    assert got == {(r["k"], r["n"]): [float(s) if r["k"] == "a" and 10 <= s < 60 and s % 4 else None for s in range(r["start"], r["start"] + 8)]
+                   for r in asked.collect()}
+
+
+def test_empty_records(spark):
+    steps = spark.createDataFrame([], "site_no string, step long, cfs double")
+    assert panels.select_panel(steps).count() == 0 and panels.flood_slice(steps).count() == 0
+    assert series.rolling_coverage(steps, ["site_no"], "step", "cfs", 5).count() == 0
+
+
+def test_hourly_panels(spark):
+    """Two years of hours with gaps, against pandas."""
+    rng = np.random.default_rng(8)
+    index = pd.date_range("2010-02-11 05:00", periods=17_000, freq="h")
+    flow = pd.Series(rng.integers(-3, 500, len(index)).astype(float), index)
+    flow[rng.random(len(flow)) > 0.7] = np.nan
+    flow["2010-07-01":"2010-11-20"] = np.nan
+    rows = pd.DataFrame({"site_no": "a", "t": flow.index, "cfs": flow.values}).dropna()
+    twice = pd.concat([rows, rows.assign(t=rows.t + pd.Timedelta(minutes=20))])  # two readings an hour
+    steps = panels.to_steps(spark.createDataFrame(twice), "t", "cfs")
+    chosen = panels.select_panel(steps, min_observed=6000)
+    got = chosen.withColumn("start", panels.step_time(F.col("start"), "hour")).orderBy("slice_order").toPandas()
+    flow = flow[flow.first_valid_index():flow.last_valid_index()]
+    width = pd.Timedelta(hours=2208)
+    want = []
+    for season, month in (("winter", 12), ("spring", 3), ("summer", 6), ("fall", 9)):
+        found = [(flow[s:s + width - pd.Timedelta(hours=1)].notna().mean(), s.year, s)
+                 for s in (pd.Timestamp(y, month, 1) for y in range(2010, 2013))
+                 if s >= flow.index[0] and s + width - pd.Timedelta(hours=1) <= flow.index[-1]]
+        want += [(season, s) for share, _, s in sorted(found, reverse=True)[:3] if share >= 0.5]
+    peak = flow.idxmax()
+    want.append(("flood", min(max(flow.index[0], peak - width / 2), flow.index[-1] - width + pd.Timedelta(hours=1))))
+    low = np.log1p(flow.clip(lower=0)).rolling(2208, min_periods=1104).mean().round(9)
+    want.append(("drought", low.idxmin() - width + pd.Timedelta(hours=1)))
+    assert list(zip(got.slice_type, got.start)) == want
+    for r in panels.panel_slices(chosen, steps).collect():
+        assert len(r["values"]) == 2208
+        start = pd.Timestamp("1970-01-01") + pd.Timedelta(hours=r["start"])
+        assert [None if np.isnan(x) else x for x in flow.reindex(pd.date_range(start, periods=2208, freq="h"))] == r["values"]

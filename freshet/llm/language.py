@@ -104,19 +104,36 @@ def counts(rows: DataFrame) -> DataFrame:
 
 
 class Table:
-    """Log frequencies per language, found by key; of two keys with one slot the more frequent is kept."""
+    """Log frequencies per language, found by key.
+
+    A key has one slot by its first bits; keys whose slot is taken are looked up among the sorted rest.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, total: np.ndarray) -> None:
-        order = np.argsort(total, kind="stable")
+        order = np.argsort(total, kind="stable")  # the most frequent key of a slot gets it
         self.key = np.zeros(SLOTS, np.uint64)
         self.at = np.full(SLOTS, -1, np.int32)
-        slot = (keys[order] >> np.uint64(44)).astype(np.int64)
+        slot = self.slot(keys[order])
         self.key[slot], self.at[slot] = keys[order], order
+        rest = np.flatnonzero(self.at[self.slot(keys)] != np.arange(len(keys)))
+        rest = rest[np.argsort(keys[rest])]
+        self.rest_key, self.rest_at = keys[rest], rest.astype(np.int32)
+        self.shared = np.zeros(SLOTS, bool)
+        self.shared[self.slot(self.rest_key)] = True
         self.values = values.astype(np.float32)
 
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(44)).astype(np.int64)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
-        slot = (keys >> np.uint64(44)).astype(np.int64)
-        return np.where(self.key[slot] == keys, self.at[slot], -1)
+        slot = self.slot(keys)
+        found = np.where(self.key[slot] == keys, self.at[slot], -1)
+        open_keys = np.flatnonzero((found < 0) & self.shared[slot])
+        if len(open_keys):
+            place = np.minimum(np.searchsorted(self.rest_key, keys[open_keys]), len(self.rest_key) - 1)
+            found[open_keys] = np.where(self.rest_key[place] == keys[open_keys], self.rest_at[place], -1)
+        return found
 
 
 def train(rows: DataFrame, max_rows: int, max_words: int, max_grams: int) -> dict | None:
@@ -127,7 +144,7 @@ def train(rows: DataFrame, max_rows: int, max_words: int, max_grams: int) -> dic
         return None
     share = math.ceil(min(1.0, max_rows / total) * (1 << 20))
     sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).select("text", "lang")
-    table = stored(counts(sample.coalesce(32)), "counts")
+    table = stored(counts(sample.repartition(32)), "counts")
     sums = {(r["kind"], r["lang"]): r["times"] for r in table.groupBy(
         (F.col("n") > 0).alias("kind"), "lang").agg(F.sum("times").alias("times")).collect()}
     langs = sorted({lang for _, lang in sums})

@@ -125,8 +125,8 @@ def crossing(cells: DataFrame, percent: int) -> DataFrame:
                     continue
                 common = len(np.intersect1d(own[i], own[j], assume_unique=True))
                 if common * 100 >= (len(own[i]) + len(own[j]) - common) * percent:
-                    out_a.append(int(min(rep[i], rep[j])))
-                    out_b.append(int(max(rep[i], rep[j])))
+                    out_a.append(min(rep[i], rep[j]))
+                    out_b.append(max(rep[i], rep[j]))
                     root[root == root[j]] = root[i]
         return out_a, out_b
 
@@ -136,6 +136,7 @@ def crossing(cells: DataFrame, percent: int) -> DataFrame:
 
         def made() -> pa.RecordBatch:
             a, b = links_of(held)
+            kind = held[0]["rep"].type
             return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
         for part in parts:
@@ -154,9 +155,8 @@ def crossing(cells: DataFrame, percent: int) -> DataFrame:
         if held:
             yield made()
 
-    of = cells.schema["rep"].dataType
-    kind = pa.int32() if of.typeName() == "integer" else pa.int64()
-    return cells.mapInArrow(batches, f"a {of.simpleString()}, b {of.simpleString()}")
+    of = cells.schema["rep"].dataType.simpleString()
+    return cells.mapInArrow(batches, f"a {of}, b {of}")
 
 
 def unresolved(keys: DataFrame, reps: DataFrame, docs: DataFrame, roots: DataFrame, size: int, cell: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Packing documents into sequences of a fixed number of tokens.
 
 Method: pieces are dealt at random into groups of about `group` pieces. In a group they are placed best-fit, longest
-first; then a local search works on the underfull bins: it takes the emptiest bin and moves a piece, exchanges one
-piece for one, or two for one, with a bin that is at least as full, whenever that raises the sum of squared fills, so
+first; then a local search works on the underfull bins, emptiest first: it moves a piece, exchanges one piece for one,
+or two for one, with a bin that is at least as full, whenever that raises the sum of squared fills, so
 that the emptiest bins run empty. Bins that stay underfull are dealt again into fewer groups, round by round, until
 one group holds them all or a round no longer helps. No step sees more than a group.
 
@@ -11,13 +11,15 @@ Ids are computed with the tiktoken form of the vocabulary, which gives the same
 sixth of the time (tests compare the two).
 
 Defined cases: null text is empty text (its only token is the end mark); documents longer than a sequence are cut, the
-first piece being the short one; repeated and null ids are separate documents; an empty table gives an empty table.
+first piece being the short one; repeated and null ids are separate documents; long runs of white space are encoded on
+their own; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +32,15 @@ from freshet.llm.common import pick, stored
 CAPACITY = 2048
 #: Pieces of a group, and the fill from which a bin counts as full.
 GROUP, FULL = 4096, 0.998
-#: Emptiest bins that the local search tries to empty before it gives up.
-TARGETS = 24
+#: Tries of the local search for each open piece of a group.
+TRIES = 2
+#: The number of a piece in the stored table.
+ROW = "_piece_row"
+#: Unicode white space, as the vocabulary's pattern sees it; runs of so many characters are encoded on their own,
+#: because the pattern goes back over a run step by step.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 4096
+RUNS = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
 
 
 def ranks_path() -> str:
@@ -51,6 +60,24 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_ids(coder, text: str) -> np.ndarray:
+    """The ids of a text, without special tokens.
+
+    The pattern always begins a token where white space begins, and makes one token of a run of white space but for
+    its last character if other text follows; so a long run is cut out there and encoded as the one token it is.
+    """
+    parts, at = [], 0
+    for run in RUNS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if run.start() > at:
+            parts.append(coder.encode_to_numpy(text[at:run.start()], disallowed_special=()))
+        parts.append(np.array(coder._encode_single_piece(text[run.start():end].encode()), np.uint32))
+        at = end
+    if at < len(text) or not parts:
+        parts.append(coder.encode_to_numpy(text[at:], disallowed_special=()))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
                  ranks: str | None = None, end: int = 0, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32 and, if asked for, ids) of every document's pieces."""
@@ -66,7 +93,7 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
         for part in parts:
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, value in enumerate(part.column(1).to_pylist()):
-                own = np.append(coder.encode_to_numpy(value or "", disallowed_special=()), end).astype("<u4")
+                own = np.append(token_ids(coder, value or ""), end).astype("<u4")
                 first = len(own) % capacity or capacity
                 for k, at in enumerate([0, *range(first, len(own), capacity)]):
                     cut = own[at:first if k == 0 else at + capacity]
@@ -108,8 +135,43 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, steps: int | None = None) -> list[list[int]]:
-    """Raise the sum of squared fills of the underfull bins by moves and exchanges; empty bins are left out."""
+def cheapest(size: np.ndarray, room: np.ndarray, capacity: int) -> np.ndarray:
+    """For every total, the piece of least size that makes room for so much when it goes; -1 if none does."""
+    order = np.lexsort((size, -np.minimum(room, capacity)))
+    ordered = np.minimum(room, capacity)[order]
+    best = np.minimum.accumulate(size[order] * len(size) + np.arange(len(size))) % max(len(size), 1)
+    last = np.searchsorted(-ordered, -np.arange(capacity + 1), "right") - 1
+    return np.where(last >= 0, order[best[np.maximum(last, 0)]] if len(size) else -1, -1)
+
+
+def exchange(own: np.ndarray, others: np.ndarray, size: np.ndarray, room: np.ndarray, capacity: int):
+    """The exchange of one or two own pieces for one other piece that moves most tokens; None if none moves any."""
+    if not len(others):
+        return None
+    taken = cheapest(size[others], room, capacity)
+    lengths, first = np.unique(size[own], return_index=True)
+    twice = np.array([np.flatnonzero(size[own] == x)[1] if (size[own] == x).sum() > 1 else -1 for x in lengths])
+    i, j = np.triu_indices(len(lengths))
+    able = (i != j) | (twice[i] >= 0)
+    given = [*((p, -1) for p in first), *zip(first[i[able]], np.where(i == j, twice[i], first[j])[able])]
+    totals = np.array([*lengths, *(lengths[i] + lengths[j])[able]])
+    fits = np.flatnonzero(totals <= capacity)
+    fits = fits[taken[totals[fits]] >= 0]
+    gain = totals[fits] - size[others[taken[totals[fits]]]]
+    if not len(fits) or gain.max() <= 0:
+        return None
+    k = fits[int(gain.argmax())]
+    return [int(own[p]) for p in given[k] if p >= 0], int(others[taken[totals[k]]])
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Raise the sum of squared fills of the underfull bins by moves and exchanges until no bin has one that does;
+    empty bins are left out.
+
+    Every step gives tokens to a bin that is at least as full. A bin that found no step is tried again only after a
+    bin that it could give to has changed. The search ends early after `TRIES` tries for each open piece: where nearly
+    all bins are open, more would take minutes for a group.
+    """
     fill = np.array([int(lengths[b].sum()) for b in bins])
     open_bins = np.flatnonzero(fill < capacity)
     if len(open_bins) < 2:
@@ -117,46 +179,35 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, step
     item = np.array([i for b in open_bins for i in bins[b]])
     home = np.repeat(np.arange(len(open_bins)), [len(bins[b]) for b in open_bins])
     size, full = lengths[item].astype(np.int64), fill[open_bins].astype(np.int64)
-    left = steps if steps is not None else 4 * len(item)
-    stuck: set[int] = set()
-    while left > 0:
-        live = np.flatnonzero(full > 0)
-        targets = [t for t in live[np.argsort(full[live], kind="stable")][:TARGETS].tolist() if t not in stuck]
-        if not targets or len(live) < 2:
+    stuck = np.zeros(len(full), bool)
+    for _ in range(TRIES * len(item)):
+        waiting = np.flatnonzero((full > 0) & (full < capacity) & ~stuck)
+        if not len(waiting):
             break
-        target = targets[0]
+        target = int(waiting[full[waiting].argmin()])
         own = np.flatnonzero(home == target)
         gap = capacity - full
-        fuller = (full >= full[target]) & (np.arange(len(full)) != target)
-        best = None
+        fuller = full >= full[target]
+        fuller[target] = False
         # Move the longest piece that fits anywhere to the fullest place for it.
-        for p in own[np.argsort(-size[own], kind="stable")].tolist():
-            fits = np.flatnonzero(fuller & (gap >= size[p]))
-            if len(fits):
-                best = ([p], [], int(fits[np.argmin(gap[fits])]))
-                break
-        if best is None:
+        most = gap[fuller].max(initial=0)
+        small = own[size[own] <= most]
+        if len(small):
+            piece = int(small[size[small].argmax()])
+            fits = np.flatnonzero(fuller & (gap >= size[piece]))
+            given, taken, to = [piece], [], int(fits[gap[fits].argmin()])
+        else:
             others = np.flatnonzero(fuller[home])
-            room = size[others] + gap[home[others]]
-            single = [[p] for p in own.tolist()]
-            double = [[p, q] for k, p in enumerate(own.tolist()) for q in own.tolist()[k + 1:]] if len(own) <= 32 else []
-            gained = 0
-            for given in single + double:
-                total = int(size[given].sum())
-                gain = np.where(total <= room, total - size[others], 0)
-                at = int(np.argmax(gain)) if len(gain) else 0
-                if len(gain) and gain[at] > gained:
-                    gained, best = int(gain[at]), (given, [int(others[at])], int(home[others[at]]))
-        if best is None:
-            stuck.add(target)
-            continue
-        given, taken, to = best
+            found = exchange(own, others, size, size[others] + gap[home[others]], capacity)
+            if found is None:
+                stuck[target] = True
+                continue
+            given, taken, to = found[0], [found[1]], int(home[found[1]])
         moved = int(size[given].sum() - size[taken].sum())
         home[given], home[taken] = to, target
         full[to] += moved
         full[target] -= moved
-        stuck.clear()
-        left -= 1
+        stuck[full <= full[to]] = False
     done = [b for k, b in enumerate(bins) if fill[k] == capacity]
     again: dict[int, list[int]] = {}
     for i, h in zip(item.tolist(), home.tolist()):
@@ -187,13 +238,16 @@ def packed_group(capacity: int, mark: int):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, full: float = FULL) -> DataFrame:
-    """The pieces (with a column length of 1 to capacity) with sequence_id and offset."""
-    rest, done, mark = stored(pieces, "pieces"), [], 0
+    """The pieces (with a column length of 1 to capacity) with sequence_id and offset.
+
+    Pieces are dealt by their number in the stored table, so equal rows come into different groups.
+    """
+    rest, done, mark = stored(pieces.withColumn(ROW, F.monotonically_increasing_id()), "pieces"), [], 0
     n = rest.count()
     while True:
         groups = max(1, -(-n // group))
-        dealt = rest.withColumn("group", F.pmod(F.xxhash64(*pieces.columns, F.lit(mark)), F.lit(groups)))
-        schema = T.StructType([*pieces.schema.fields, *[T.StructField(c, T.LongType())
+        dealt = rest.withColumn("group", F.pmod(F.xxhash64(ROW, F.lit(mark)), F.lit(groups)))
+        schema = T.StructType([*rest.schema.fields, *[T.StructField(c, T.LongType())
                                                         for c in ("sequence_id", "offset", "fill")]])
         placed = stored(dealt.groupBy("group").applyInArrow(packed_group(capacity, mark), schema), "packed")
         under = placed.where(F.col("fill") < capacity * full)
@@ -203,11 +257,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, full:
             done.append(placed)
             break
         done.append(placed.where(F.col("fill") >= capacity * full))
-        rest, n, mark = under.select(*pieces.columns), left, mark + 1
+        rest, n, mark = under.select(*pieces.columns, ROW), left, mark + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.drop("fill")
+    return out.drop("fill", ROW)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

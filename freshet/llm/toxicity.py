@@ -115,8 +115,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
     share = min(1.0, max_rows / max(total, 1))
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     # At most about max_rows short rows: safe to send to all tasks, so that the texts do not move.
-    rows = docs.join(F.broadcast(chosen), "id").select(F.col("text").cast("binary").alias("text"), "label")
-    rows = stored(rows.coalesce(16), "labelled")
+    # One text of each id, so that repeated ids do not enlarge the sample; only these rows move.
+    rows = docs.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    rows = stored(rows.select(F.col("text").cast("binary").alias("text"), "label").repartition(16), "labelled")
     sizes = {x["label"]: x["count"] for x in rows.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     model = {"base": toxic / max(toxic + clean, 1), "numbers": None}

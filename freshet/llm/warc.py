@@ -8,7 +8,8 @@ runs' sorted pieces, so that the whole index is in order.
 Archives are bounded by `archive_records`; an index range holds about `range_rows` rows. Defined cases: null html is an
 empty payload; payloads shorter than `min_bytes` are always responses; among equal payloads the least id is the
 response (rows of the same least id all are), a row with a null id refers to it like any other and is a response only
-if no id is there; line breaks in urls are dropped; an empty table gives an empty index.
+if no id is there; a null capture time is dated 1970-01-01; line breaks in urls are dropped; an empty table gives an
+empty index.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from freshet.llm.common import pick, remove_at_end, stored
 from freshet.session import scratch_dir
 
 BREAK = b"\r\n\r\n"
+#: The date of captures whose time is not known.
+NO_TIME = "1970-01-01 00:00:00"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = ("url_key string, captured string, page_id string, url string, payload_bytes bigint, payload_digest string,"
           " record_type string, refers_to string, archive string, record bigint")
@@ -48,7 +51,8 @@ def records(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     value = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(again, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: "), urn(F.col("id")),
-        F.lit("\r\nWARC-Date: "), F.date_format("captured", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit("\r\nWARC-Date: "), F.date_format(
+            F.coalesce("captured", F.lit(NO_TIME).cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         F.lit("\r\nWARC-Target-URI: "), F.translate(F.coalesce(F.col("url"), F.lit("")), "\r\n", ""),
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"),
         F.when(again, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), urn(F.col("first")))).otherwise(F.lit("")),

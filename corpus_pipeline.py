@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm.common import stored, table
+from freshet.llm.common import packed, stored, table
 from freshet.llm.decontaminate import decontaminate
 from freshet.llm.line_dedup import line_dedup
 from freshet.llm.minhash import keep_one_of_each
@@ -13,16 +13,22 @@ from freshet.llm.queries import fold, prepared
 from freshet.llm.toxicity import toxicity
 
 
+def held(docs: DataFrame) -> DataFrame:
+    """Id and text beside the whole row, so that no column of the documents can clash with a result's."""
+    return docs.select(packed(docs, "held"), "doc_id", "text")
+
+
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go."""
-    scored = toxicity(docs, table(spark, sf_dir, "labels"), learn_from=fold("doc_id", 5) != 0)
-    return scored.where(F.col("predicted") == 0).select(*docs.columns)
+    scored = toxicity(held(docs), table(spark, sf_dir, "labels"), learn_from=fold("doc_id", 5) != 0)
+    return scored.where(F.col("predicted") == 0).select("held.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten or more documents go; the documents stay with their other lines."""
-    kept = line_dedup(docs).withColumn("text", F.col("kept_text"))
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    kept = line_dedup(held(docs))
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return kept.select(*[new.get(c, F.col("held").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +38,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain too much of the benchmark go."""
-    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    judged = decontaminate(held(docs), table(spark, sf_dir, "benchmark"))
+    return judged.where(~F.col("contaminated")).select("held.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

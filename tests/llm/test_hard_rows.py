@@ -115,3 +115,25 @@ def test_text_ids_in_crossing_cells(spark, monkeypatch):
     assert {(number[r["id"]], number[r["component_id"]], r["kept"]) for r in as_text} == {(r["id"], r["component_id"], r["kept"]) for r in as_number}
     kept = minhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id string, text string"), shingle=3)
     assert kept.count() == sum(r["kept"] for r in as_text)
+
+
+def test_pipeline_with_clashing_columns_nulls_and_empty_tables(spark):
+    import os
+
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    docs = corpus_pipeline.table(corpus_pipeline.prepared(spark), folder, "documents")
+    empty = docs.limit(0)
+    names = ("score", "predicted", "n_lines", "n_words", "contaminated", "row", "id", "held", "kept_text", "key")
+    docs = docs.withColumns({c: F.lit("mine") for c in names})
+    docs = docs.unionByName(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string")))
+    for name, stage in corpus_pipeline.STAGES:
+        was, docs, empty = docs, *(corpus_pipeline.stored(stage(spark, x, folder), name) for x in (docs, empty))
+        assert empty.count() == 0 and docs.count() > 0
+        if name != "packing":
+            assert docs.columns == was.columns
+            assert all(r[c] == "mine" for r in docs.select(*names).distinct().collect() for c in names)
+            assert docs.where("doc_id IS NULL").count() == 1

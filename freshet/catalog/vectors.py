@@ -28,9 +28,33 @@ def cosine_neighbours(d: Inputs) -> DataFrame:
     return vectors.cosine_neighbours(d.table("embeddings"), 5, "vec_id")
 
 
-@query("kmeans_clusters")
+CLUSTERS, ROUNDS = 5, 10
+_APART = "list_sum(list_transform(list_zip(p.x, {}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _clusters_sql() -> str:
+    """The same start and the same rounds, one after the other."""
+    steps = ["""p AS (SELECT vec_id, list_transform(v, lambda e: CAST(floor(e / norm * 1000000 + 0.5) AS BIGINT)) AS x FROM (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)))""",
+             "c0 AS (SELECT [x] AS c FROM p ORDER BY vec_id LIMIT 1)"]
+    for i in range(1, CLUSTERS):
+        steps.append(f"c{i} AS (SELECT list_append(c, x) AS c FROM p, c{i - 1} ORDER BY list_min(list_transform(c, lambda y: {_APART.format('y')})) DESC, vec_id LIMIT 1)")
+    before = f"c{CLUSTERS - 1}"
+    for i in range(ROUNDS):
+        steps.append(f"""a{i} AS (SELECT vec_id, x, list_position(d, list_min(d)) AS cluster FROM (
+  SELECT vec_id, x, list_transform(c, lambda y: {_APART.format('y')}) AS d FROM p, {before})),
+s{i} AS (SELECT cluster, place, 2 * sum(v) + count(*) AS a, 2 * count(*) AS b FROM (SELECT cluster, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM a{i}) GROUP BY 1, 2),
+o{i} AS (SELECT unnest(c) AS was, generate_subscripts(c, 1) AS cluster FROM {before}),
+m{i} AS (SELECT list(coalesce(now, was) ORDER BY cluster) AS c FROM o{i} LEFT JOIN (
+  SELECT cluster, list(CAST((a - (a % b + b) % b) // b AS BIGINT) ORDER BY place) AS now FROM s{i} GROUP BY 1) USING (cluster))""")
+        before = f"m{i}"
+    return ("WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(list_position(d, list_min(d)) - 1 AS INT) AS cluster FROM (SELECT vec_id, list_transform(c, lambda y: {_APART.format('y')}) AS d FROM p, {before})""")
+
+
+@query("kmeans_clusters", _clusters_sql())
 def kmeans_clusters(d: Inputs) -> DataFrame:
-    return vectors.kmeans_clusters(d.table("embeddings"), 5, 0).select("vec_id", "cluster")
+    return vectors.kmeans_clusters(d.table("embeddings"), CLUSTERS, ROUNDS).select("vec_id", "cluster")
 
 
 @query("static_vectors", """

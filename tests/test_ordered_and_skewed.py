@@ -179,6 +179,54 @@ def test_clusters(spark):
     assert len(out) == 40 and set(out.cluster) <= {0, 1, 2}
 
 
+def brute_neighbours(bank, k):
+    unit = bank.astype(float) / np.linalg.norm(bank.astype(float), axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(sims, -2)
+    return [np.lexsort((np.arange(len(bank)), -row))[:k].tolist() for row in sims]
+
+
+def test_neighbours_of_clusters_and_copies_visit_few_pairs(spark):
+    """Forty tight clusters, and one vector that a third of all rows share."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16)) * 5
+    bank = np.concatenate([centres[rng.integers(0, 40, 1200)] + rng.normal(size=(1200, 16)) * 0.05, np.tile(centres[0], (600, 1))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(bank)] + [(9000, None), (9001, [0.0] * 16)], "site_no bigint, embedding array<double>")
+    out = vectors.cosine_neighbours(df, 4, block_rows=60, pivots=50).toPandas().sort_values(["site_no", "rank"])
+    assert out.groupby("site_no").neighbour.apply(list).tolist() == brute_neighbours(bank, 4)
+    rows, pairs = vectors.neighbour_plan(df, 4, "site_no", "embedding", 60, 50)
+    work = vectors.visited_pairs(rows, pairs).first()
+    assert work["all_pairs"] == 1800 ** 2 and work["visited"] < 0.25 * work["all_pairs"]
+    assert rows.groupBy("block").count().agg(F.max("count")).first()[0] < 130  # copies are dealt over many blocks
+
+
+def test_neighbours_of_few_or_no_rows(spark):
+    kinds = "site_no bigint, embedding array<double>"
+    assert vectors.cosine_neighbours(spark.createDataFrame([(1, None)], kinds)).count() == 0
+    assert vectors.cosine_neighbours(spark.createDataFrame([(1, [1.0, 0.0])], kinds)).count() == 0
+    two = vectors.cosine_neighbours(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], kinds), 5).collect()
+    assert sorted((r.site_no, r.rank, r.neighbour, r.sim) for r in two) == [(1, 1, 2, 0.0), (2, 1, 1, 0.0)]
+
+
+def test_clusters_equal_a_sequential_version(spark):
+    rng = np.random.default_rng(9)
+    bank = np.concatenate([rng.normal(size=(30, 5)) + 6 * np.eye(5)[i] for i in range(4)] + [np.tile(rng.normal(size=5), (50, 1))])
+    x = np.floor(bank / np.sqrt((bank * bank).sum(1, keepdims=True)) * 1_000_000 + 0.5).astype(np.int64)
+    centres = [x[0]]
+    while len(centres) < 4:
+        centres.append(x[np.min([((x - c) ** 2).sum(1) for c in centres], axis=0).argmax()])
+    for _ in range(6):
+        own = np.array([((x - c) ** 2).sum(1) for c in centres]).argmin(0)
+        centres = [(2 * x[own == i].sum(0) + (own == i).sum()) // (2 * (own == i).sum()) if (own == i).any() else centres[i] for i in range(4)]
+    own = np.array([((x - c) ** 2).sum(1) for c in centres]).argmin(0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(bank)], "site_no bigint, embedding array<double>").repartition(5)
+    out = vectors.kmeans_clusters(df, 4, 6, key="site_no").toPandas().sort_values("site_no")
+    assert out.cluster.tolist() == own.tolist()
+    same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(5)] + [(9, None)], "site_no bigint, embedding array<double>")
+    assert {r.cluster for r in vectors.kmeans_clusters(same, 3).collect()} == {0}
+    assert vectors.kmeans_clusters(same.limit(0), 3).count() == 0
+
+
 def test_dedupe_keeps_first_chunk(spark):
     a = spark.createDataFrame([("s", 1, 10)], "site string, h int, v int")
     b = spark.createDataFrame([("s", 1, 20, "x"), ("s", 2, 30, "y")], "site string, h int, v int, extra string")

@@ -3,18 +3,23 @@
 Method: every page becomes a stream of block tags and text slots in which runs of equal sibling groups are folded into
 one repeated group. The different streams of a host are aligned one after the other with the wrapper so far; a mismatch
 becomes an optional group and a run a repeated group. A place of text carries the hashes of its texts and on how many of
-the streams each stands: a text that stands on nine of ten streams (two at least) that have the place is template, any
+the streams each stands: a text that stands on nine of ten streams that have the place, five at least, is template, any
 other is content of a slot. The result is a union-free regular expression of the host's pages; its places carry their
-path of elements. Pages are then read again, and each is judged by itself: it gives the texts that are no template
-inside its article (or main) element, or, if there are none, all those in no boilerplate element; a page with no such
-text keeps the template texts of these places.
+path of elements (names and classes). Its slots also choose a region: the deepest element that holds four fifths of
+the varying text which stands on nearly all pages; headlines outside of it belong to it, optional groups do not.
+
+Pages are then read again, and each is judged by itself. It gives the texts inside its article (or main) element, or,
+if there are none, those in the region and in no boilerplate element, or those in no boilerplate element. Template
+texts among them go, unless they are more than half of the texts or two thirds of the characters: then the page is a
+near copy of others, and what it shares with them is its article.
 
 Bounds: a group of streams aligned in one task has about 2,000 streams or 16 MB; its wrapper keeps the texts of half of
 its streams, and wrappers are aligned 200 at a time. Equal streams of a host (copies of a page) count once.
 
 Defined cases: null html is an empty page with an empty text; a page without a usable url is compared with no other
-page; broken markup is read leniently (an unclosed paragraph ends at the next block, an open head at the first element or text that
-cannot be in it); html, body, main and article are never boilerplate; text inside a block keeps its order, white
+page; broken markup is read leniently (an unclosed paragraph ends at the next block, an open head at the first element or
+text that cannot be in it, a tag without an end is text) and forwards only, in a time that grows with its length; html,
+body and main are never boilerplate, an article only as a reader's comment; text inside a block keeps its order, white
 space becomes one space, blocks are joined by one space; rows are read one by one; an input column that bears a
 result's name is replaced.
 """
@@ -42,65 +47,116 @@ SILENT = frozenset("script style noscript template svg math canvas object iframe
                    " button".split())
 BOILERPLATE = frozenset("nav footer aside form dialog menu".split())
 CLOSED_BY_BLOCK = frozenset(("p",))
-#: Whole class and id tokens; a compound (site-footer) consists of such words and of words that say only where or how.
-NAMES = re.compile(r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal"
-                   r"|comments?|repl(?:y|ies)|sidebar|menu|nav|navbar|navigation|breadcrumbs?|share|social|related|footer|header"
-                   r"|masthead|newsletter|subscribe|login")
+#: Words of class and id names. A name is boilerplate if it begins or ends with a word of the first kind, or if it
+#: consists of words of either kind and words of place; names with a word of the last line say that something is missing.
+NAMES = re.compile(r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|popup|modal|comments?|commenters?"
+                   r"|repl(?:y|ies)|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|newsletter|subscribe|login")
+NARROW = re.compile(r"notices?|share|social|related|header")
 BESIDE = frozenset("site page main top bottom list item area box bar block section widget post posts primary secondary"
-                   " links buttons".split())
-NEVER_BOILERPLATE = frozenset("html body main article".split())
+                   " links buttons inner outer wrapper container content articles media icons".split())
+MISSING = frozenset("has have no not non with without is hide hidden free".split())
+NEVER_BOILERPLATE = frozenset("html body main".split())
 HEAD_CONTENT = frozenset("script style noscript template title".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+COMMENT = re.compile(r"comments?|repl(?:y|ies)")
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+TAG_STOP = re.compile("[>\"']")
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-RAW = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in ("script", "style", "textarea", "title")}
+RAW = {name: re.compile(rf"</{name}\b", re.I) for name in ("script", "style", "textarea", "title")}
+#: Elements that a region may be.
+REGIONS = frozenset("html body div section center table tbody tr td".split())
+HEADLINES = frozenset("h1 h2".split())
 SLOT = "#"
 DEEPEST = 150
-#: Streams and bytes of a group, wrappers aligned at a time, and the share of streams that makes a text template.
-GROUP, GROUP_BYTES, FAN_IN, TEMPLATE_SHARE = 2000, 16 << 20, 200, 0.9
+#: Streams and bytes of a group, wrappers aligned at a time.
+GROUP, GROUP_BYTES, FAN_IN = 2000, 16 << 20, 200
+#: The share of streams, and the least number of them, that make a text template or a place one of nearly all pages;
+#: the share of the varying text that a region holds.
+TEMPLATE_SHARE, LEAST_STREAMS, REGION_SHARE = 0.9, 5, 0.8
+
+
+def name_words(token: str) -> list[str]:
+    return [w.lower() for w in re.split(r"[-_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token)) if w]
 
 
 def names_boilerplate(label: str) -> bool:
-    """Whether a token of the label is a boilerplate name, or a compound of such names and words of place."""
+    """Whether a token of the label is a boilerplate name."""
     for token in label.split():
-        words = [w for w in re.split(r"[-_]+", token) if w]
-        known = [bool(NAMES.fullmatch(w)) for w in words]
+        words = name_words(token)
+        if not words or MISSING & set(words):
+            continue
+        if NAMES.fullmatch(words[0]) or NAMES.fullmatch(words[-1]):
+            return True
+        known = [bool(NAMES.fullmatch(w) or NARROW.fullmatch(w)) for w in words]
         if any(known) and all(k or w in BESIDE for k, w in zip(known, words)):
             return True
     return False
 
 
 def element(name: str, attributes: str) -> str:
-    """An element's name in a path; ! marks boilerplate, * the main region."""
+    """An element in a path: its name, a dot and its classes (or id) with digits alike; ! marks boilerplate, * the main
+    region."""
     said = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(attributes)} if attributes.strip() else {}
-    label = f"{said.get('class', '')} {said.get('id', '')}".lower()
+    label = f"{said.get('class', '')} {said.get('id', '')}"
+    plain = re.sub(r"[^a-z0-9 _-]", "", re.sub(r"\d+", "0", (said.get("class") or said.get("id") or "").lower())).split()
+    whole = ".".join([name, *plain])[:60].rstrip(".")
+    if name == "article":
+        said_by_reader = any(words and COMMENT.fullmatch(words[0]) for words in map(name_words, label.split()))
+        return f"{whole}!" if said_by_reader else f"{whole}*"
     if name in BOILERPLATE or name == "header" or name not in NEVER_BOILERPLATE and names_boilerplate(label):
-        return f"{name}!"
-    if name in ("article", "main") or said.get("role", "").lower() == "main":
-        return f"{name}*"
-    return name
+        return f"{whole}!"
+    return f"{whole}*" if name == "main" or said.get("role", "").lower() == "main" else whole
+
+
+def base(item: str) -> str:
+    """The element's name."""
+    return item.partition(".")[0].rstrip("!*")
 
 
 def read(page: str) -> Iterator[tuple[str, str]]:
-    """('open', element), ('close', name) and ('text', characters) of the body's blocks, in order."""
-    at = 0
-    while at < len(page):
-        found = TOKEN.search(page, at)
-        end = found.start() if found else len(page)
-        if end > at:
-            yield "text", page[at:end]
+    """('open', element), ('close', name) and ('text', characters) of the body's blocks, in order.
+
+    Every character is passed once: a quote is one only if it is closed later on, and where a tag has no end, no later
+    one has.
+    """
+    size, at = len(page), 0
+    last = {c: page.rfind(c) for c in "\"'"}
+    while at < size:
+        start = page.find("<", at)
+        if start < 0:
+            break
+        if start > at:
+            yield "text", page[at:start]
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        if page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            at = end + 1 if end >= 0 else size
+            continue
+        found = TAG_NAME.match(page, start + 1)
         if not found:
-            return
-        at = found.end()
-        name = (found[2] or "").lower()
-        if not name:
+            yield "text", "<"
+            at = start + 1
             continue
+        end = found.end()
+        while (stop := TAG_STOP.search(page, end)) and stop[0] != ">":
+            closed = last[stop[0]] > stop.start()
+            end = page.find(stop[0], stop.end()) + 1 if closed else stop.end()
+        if not stop:
+            at = start
+            break
+        attributes, at, name = page[found.end():stop.start()], stop.end(), found[2].lower()
         if name in RAW and not found[1]:
             over = RAW[name].search(page, at)
-            at = over.end() if over else len(page)
+            end = page.find(">", over.end()) if over else -1
+            at = end + 1 if end >= 0 else size
         elif name in ("br", "hr"):
             yield "text", "\n"
         elif name not in INLINE and name not in VOID:
-            yield ("close", name) if found[1] else ("open", element(name, found[3]))
+            yield ("close", name) if found[1] else ("open", element(name, attributes))
+    if at < size:
+        yield "text", page[at:]
 
 
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str | None]]:
@@ -114,13 +170,13 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str | None]]:
         return [(tuple(path), text)] if text else []
 
     for kind, what in read(page):
-        if path and path[-1].rstrip("!*") == "head" and (
-                what.strip() if kind == "text" else kind == "open" and what.rstrip("!*") not in HEAD_CONTENT):
+        if path and base(path[-1]) == "head" and (
+                what.strip() if kind == "text" else kind == "open" and base(what) not in HEAD_CONTENT):
             yield from flush()
             path.pop()
             yield tuple(path), None
-        elif kind == "open" and what.rstrip("!*") == "body":
-            heads = [k for k, x in enumerate(path) if x.rstrip("!*") == "head"]
+        elif kind == "open" and base(what) == "body":
+            heads = [k for k, x in enumerate(path) if base(x) == "head"]
             if heads:
                 yield from flush()
                 del path[heads[0]:]
@@ -130,14 +186,14 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str | None]]:
             continue
         yield from flush()
         if kind == "open":
-            if path and path[-1].rstrip("!*") in CLOSED_BY_BLOCK:
+            if path and base(path[-1]) in CLOSED_BY_BLOCK:
                 path.pop()
                 yield tuple(path), None
             if len(path) < DEEPEST:  # what is nested deeper counts as text of the last level
                 path.append(what)
             yield tuple(path), None
         else:
-            names = [x.rstrip("!*") for x in path]
+            names = [base(x) for x in path]
             if what in names:
                 del path[len(names) - 1 - names[::-1].index(what):]
                 yield tuple(path), None
@@ -145,17 +201,22 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str | None]]:
 
 
 def silent(path: tuple[str, ...]) -> bool:
-    return any(x.rstrip("!*") in SILENT for x in path)
+    return any(base(x) in SILENT for x in path)
 
 
 def text_hash(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+    """Sixteen digits of a hash, and the number of characters."""
+    return f"{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}{len(text):x}"
+
+
+def hashed_chars(known: str) -> int:
+    return int(known[16:], 16)
 
 
 def tree_stream(page: str, texts: bool = False) -> list:
     """The page as nested items: text slots, elements ["<", name, items] and groups, runs of like siblings folded.
 
-    With texts, a slot is ["#", streams that have it, {hash of a text: streams with this text}].
+    With texts, a slot is ["#", streams that have it, {hash of a text: streams with this text}, characters].
     """
     root: list = []
     stack: list[tuple[tuple[str, ...], list]] = [((), root)]
@@ -172,7 +233,7 @@ def tree_stream(page: str, texts: bool = False) -> list:
         if text is None:  # an element has opened or ended: the next one of this name is another one
             stack[:] = stack[:len(path) + 1]
         else:
-            stack[-1][1].append([SLOT, 1, {text_hash(text): 1}] if texts else SLOT)
+            stack[-1][1].append([SLOT, 1, {text_hash(text): 1}, len(text)] if texts else SLOT)
     return fold(root)
 
 
@@ -207,6 +268,7 @@ def merged(a, b, one_page: bool = False):
     if SLOT in (x, y):
         return SLOT
     if x[0] == SLOT:
+        x[3] += y[3]
         if one_page:
             x[2].update(y[2])
             return x
@@ -268,7 +330,7 @@ def template_texts(wrapper: list, path: tuple[str, ...] = ()) -> dict[str, list[
         if item == SLOT:
             continue
         if item[0] == SLOT:
-            more = {"/".join(path): [t for t, n in item[2].items() if n >= 2 and n >= TEMPLATE_SHARE * item[1]]}
+            more = {"/".join(path): [t for t, n in item[2].items() if n >= max(LEAST_STREAMS, TEMPLATE_SHARE * item[1])]}
         else:
             more = template_texts(item[2], (*path, item[1]))
         for place, texts in more.items():
@@ -289,24 +351,72 @@ def pruned(wrapper: list) -> list:
     return wrapper
 
 
+def places(wrapper: list, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], int, int]]:
+    """(path, streams that have it, characters that vary) of every slot."""
+    for item in map(bare, wrapper):
+        if item[0] == SLOT:
+            steady = sum(n * hashed_chars(t) for t, n in item[2].items() if n >= TEMPLATE_SHARE * item[1])
+            yield path, item[1], item[3] - steady
+        else:
+            yield from places(item[2], (*path, item[1]))
+
+
+def region(wrapper: list) -> dict | None:
+    """The element that holds most of the varying text of nearly all pages, and the headlines beside it.
+
+    None if the host has too few streams to tell, or if no element below the body holds so much.
+    """
+    found = [x for x in places(wrapper) if outside(x[0])]
+    streams = max((n for _, n, _ in found), default=0)
+    if streams < LEAST_STREAMS:
+        return None
+    steady = [(path, varying) for path, n, varying in found if n >= TEMPLATE_SHARE * streams and varying > 0]
+    total = sum(v for _, v in steady)
+    held: dict[tuple[str, ...], int] = {}
+    for path, varying in steady:
+        for depth in range(1, len(path) + 1):
+            held[path[:depth]] = held.get(path[:depth], 0) + varying
+    chosen: tuple[str, ...] = ()
+    while deeper := [p for p, v in held.items() if p[:-1] == chosen and v >= REGION_SHARE * total and base(p[-1]) in REGIONS]:
+        chosen = deeper[0]
+    if not chosen or base(chosen[-1]) in NEVER_BOILERPLATE:
+        return None
+    heads = sorted({"/".join(p) for p, _ in steady if p and base(p[-1]) in HEADLINES and p[:len(chosen)] != chosen})
+    return {"element": list(chosen), "heads": heads}
+
+
 def inside(path: tuple[str, ...]) -> bool:
     """Whether a path leads into the main region and into no boilerplate; a header inside the region is part of it."""
     marks = [k for k, x in enumerate(path) if x.endswith("*")]
-    return bool(marks) and not any(x.endswith("!") and not (x == "header!" and k > marks[0]) for k, x in enumerate(path))
+    return bool(marks) and not any(
+        x.endswith("!") and not (base(x) == "header" and k > marks[0]) for k, x in enumerate(path))
 
 
 def outside(path: tuple[str, ...]) -> bool:
     return not any(x.endswith("!") for x in path)
 
 
-def main_texts(page: str, template: dict[str, frozenset[str]]) -> list[str]:
-    """Texts of the first kind that the page has: its own or template texts of the main region, or of no boilerplate."""
+def main_texts(page: str, known: dict) -> list[str]:
+    """Texts of the first region that the page has: its article, the host's region, or all that is no boilerplate.
+
+    Template texts go, unless they are most of the page.
+    """
+    template, chosen = known.get("template", {}), known.get("region")
     texts = [(p, t) for p, t in blocks(page) if t is not None and not silent(p)]
-    own = [(p, t) for p, t in texts if (known := template.get("/".join(p))) is None or text_hash(t) not in known]
-    for some in (own, texts):
-        for chosen in (inside, outside):
-            if found := [t for p, t in some if chosen(p)]:
-                return found
+
+    def of_host(path: tuple[str, ...]) -> bool:
+        element_ = tuple(chosen["element"])
+        return outside(path) and (path[:len(element_)] == element_ or "/".join(path) in chosen["heads"])
+
+    for choice in (inside, *([of_host] if chosen else []), outside):
+        found = [(p, t) for p, t in texts if choice(p)]
+        if not found:
+            continue
+        own = [t for p, t in found if text_hash(t) not in template.get("/".join(p), ())]
+        size = sum(len(t) for _, t in found)
+        if 2 * len(own) >= len(found) and 3 * sum(map(len, own)) >= size:
+            return own
+        return [t for _, t in found]
     return []
 
 
@@ -319,8 +429,9 @@ def infer(streams: list[str]) -> list:
 
 
 def rules(wrapper: str) -> str:
-    """What extract() needs of a wrapper."""
-    return json.dumps(template_texts(json.loads(wrapper)))
+    """What extract() needs of a wrapper: template texts by place, and the region."""
+    inferred = json.loads(wrapper)
+    return json.dumps({"template": template_texts(inferred), "region": region(inferred)})
 
 
 def _column(function, kind: str):
@@ -359,12 +470,13 @@ def host_wrappers(pages: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def extract(pages: pd.Series, hosts: pd.Series) -> pd.Series:
-    known: dict[str, dict[str, frozenset[str]]] = {}
+    known: dict[str, dict] = {}
     out = []
     for page, rule in zip(pages, hosts):
         rule = rule or "{}"
         if rule not in known:
-            known[rule] = {p: frozenset(t) for p, t in json.loads(rule).items()}
+            said = json.loads(rule)
+            known[rule] = said | {"template": {p: frozenset(t) for p, t in said.get("template", {}).items()}}
         out.append(" ".join(main_texts(page or "", known[rule])))
     return pd.Series(out, dtype=object)
 

@@ -63,11 +63,12 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
         *keys, BLOCK, "_offset",
         F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_in"),
         F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_out"))
+    # Running backwards, because a frame up to the end would be read again for every row.
+    backwards = Window.partitionBy(*keys, BLOCK).orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = _null_safe_join(
         ranked.withColumn("_b", F.last("_seen", ignorenulls=True).over(
             inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("_a", F.first("_seen", ignorenulls=True).over(
-            inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))),
+        .withColumn("_a", F.last("_seen", ignorenulls=True).over(backwards)),
         carried, [*keys, BLOCK])
     return joined.select(
         *df.columns,

@@ -228,7 +228,7 @@ def _pack(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
             info = tarfile.TarInfo(name)
             info.size = len(packed)
             archive.addfile(info, io.BytesIO(packed))
-    return pd.DataFrame({"content": [out.getvalue()]})
+    return pd.DataFrame({"name": [f"SNODAS_{day:%Y%m%d}_strip{strip}.tar"], "content": [out.getvalue()]})
 
 
 @query("snow_tars_to_cells", """
@@ -237,8 +237,9 @@ def snow_tars_to_cells(d: Inputs) -> DataFrame:
     days = d.view("cells").withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     strips = days.select(F.date_add(F.lit("2024-02-01").cast("date"), F.col("n")).alias("day"), F.floor(F.col("row") / _ROWS).alias("strip"), "row", "col",
                          F.when(F.col("swe_raw") == -9999, -9999).otherwise(F.col("swe_raw") + F.col("n")).alias("raw"))
-    archives = strips.groupBy("day", "strip").applyInPandas(_pack, "content binary")
-    cells = grids.check_grid(grids.archives_to_cells(archives), (_ROWS, _COLS))
+    path = d.scratch("archives")
+    sinks.write_files(strips.groupBy("day", "strip").applyInPandas(_pack, "name string, content binary"), path)
+    cells = grids.check_grid(grids.snow_tars_to_cells(d.spark, path), (_ROWS, _COLS))
     # The last strip may reach below the grid; those cells hold only fill.
     rows = d.view("cells").select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
     out = cells.select(F.datediff("date", F.lit("2024-02-01").cast("date")).cast("bigint").alias("day"), *rounded("lat", "lon"), "swe_mm")
@@ -254,7 +255,9 @@ def read_day_maps(d: Inputs) -> DataFrame:
     docs = best.groupBy("t").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("body"))
     texts = docs.select(F.concat(F.date_format("t", "yyyyMMdd"), F.lit(".json")).alias("file"),
                         F.when(F.dayofmonth("t") == 13, '{"missing": true}').otherwise(F.col("body")).alias("value"))
-    out = grids.day_maps_to_rows(texts)
+    path = d.scratch("maps")
+    sinks.write_files(texts.select(F.col("file").alias("name"), F.encode("value", "UTF-8").alias("content")), path)
+    out = grids.read_day_maps(d.spark, path)
     return out.select("site_no", F.col("datetime").cast("string").alias("datetime"), "snodas_swe_mm")
 
 
@@ -307,6 +310,20 @@ def read_basins(d: Inputs) -> DataFrame:
     return read.select("site_no", F.inline(F.array(bbox(F.col("polygons"))))).select("site_no", *rounded("min_lon", "min_lat", "max_lon", "max_lat"))
 
 
+def _png(pixels: bytes, side: int = 16) -> bytes:
+    """A small image file of bytes in the order blue, green, red."""
+    import struct
+    import zlib
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    rgb = b"".join(pixels[i:i + 3][::-1] for i in range(0, len(pixels), 3))
+    lines = b"".join(b"\0" + rgb[i:i + 3 * side] for i in range(0, len(rgb), 3 * side))
+    return (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", side, side, 8, 2, 0, 0, 0))
+            + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b""))
+
+
 @query("dem_tiles_to_pixels", """
 WITH k AS (SELECT unnest(range((max(p_partkey) // 256 + 1) * 256)) AS k FROM part)
 SELECT CAST(190 * 16 + (k % 256) // 16 AS BIGINT) AS row, CAST((k // 256 + 100) * 16 + k % 16 AS BIGINT) AS col,
@@ -318,10 +335,11 @@ def dem_tiles_to_pixels(d: Inputs) -> DataFrame:
     pixel = F.concat(*[F.lpad(F.hex(c), 2, "0") for c in (k % 128, F.col("p_size").cast("bigint"), k % 200)])
     tiles = d.table("part").groupBy(F.floor(k / 256).alias("t")).agg(F.map_from_entries(F.collect_list(F.struct((k % 256).alias("k"), pixel.alias("b")))).alias("px"))
     places = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(255).cast("bigint")), lambda i: F.coalesce(F.try_element_at("px", i), F.lit("000000")))
-    images = tiles.select(
-        F.concat(F.lit("file:/9/"), (F.col("t") + 100).cast("string"), F.lit("/190.png")).alias("origin"), F.lit(16).alias("height"), F.lit(16).alias("width"),
-        F.lit(3).alias("nChannels"), F.unhex(F.array_join(places, "")).alias("data"))
-    out = grids.tiles_to_pixels(images, 9, (-180.0, -90.0, 180.0, 90.0), tile_size=16)
+    path = d.scratch("tiles")
+    png = F.udf(_png, "binary")
+    sinks.write_files(tiles.select(F.concat(F.lit("9/"), (F.col("t") + 100).cast("string"), F.lit("/190.png")).alias("name"),
+                                   png(F.unhex(F.array_join(places, ""))).alias("content")), path)
+    out = grids.dem_tiles_to_pixels(d.spark, path, 9, (-180.0, -90.0, 180.0, 90.0), tile_size=16)
     return out.select("row", "col", "elevation_m")
 
 

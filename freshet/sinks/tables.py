@@ -92,3 +92,25 @@ def read_registry(spark: SparkSession, path: str, schema: str = REGISTRY_SCHEMA)
             raise
         return spark.createDataFrame([], schema)
     return latest_per_key(rows)
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """One file per row (name, content) below a folder that all executors reach.
+
+    A file appears under its name when it is whole; a repeated task writes the same file again.
+    """
+    def put(rows) -> None:
+        import uuid
+
+        from freshet.sources.dated import file_system
+
+        system, base = file_system(folder)
+        for row in rows:
+            place = f"{base.rstrip('/')}/{row['name']}"
+            system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+            part = f"{place.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+            with system.open_output_stream(part) as out:
+                out.write(bytes(row["content"]))
+            system.move(part, place)
+
+    files.select("name", "content").foreachPartition(put)

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 import tarfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from freshet import constants as K
 from freshet.functions import geo
 from freshet.operators.spatial import geometry_polygons
+from freshet.sources import dated
 
 Paths = str | Sequence[str]
 
@@ -64,6 +67,8 @@ def _day_cells(content: bytes, product: str) -> Iterator[pd.DataFrame]:
             "grid_rows": rows, "grid_cols": cols})
 
 
+CELL_ARROW = pa.schema([("date", pa.date32()), ("cell_id", pa.int64()), ("row", pa.int32()), ("col", pa.int32()), ("lat", pa.float64()),
+                        ("lon", pa.float64()), ("swe_mm", pa.float64()), ("grid_rows", pa.int32()), ("grid_cols", pa.int32())])
 CELL_SCHEMA = ("date date, cell_id bigint, row int, col int, lat double, lon double, swe_mm double,"
                " grid_rows int, grid_cols int")
 
@@ -86,10 +91,20 @@ def archives_to_cells(archives: DataFrame, product: str = K.SNOW_PRODUCT, box: S
     return cells.withColumn("swe_mm", F.when(~F.isnan("swe_mm"), F.col("swe_mm")))
 
 
-def snow_tars_to_cells(spark: SparkSession, paths: Paths, product: str = K.SNOW_PRODUCT,
-                       box: Sequence[float] | None = None) -> DataFrame:
-    """Cells of daily snow archives on disk, one task per day."""
-    return archives_to_cells(spark.read.format("binaryFile").load(_paths(paths)), product, box)
+def cell_batches(content: bytes, product: str, box: Sequence[float] | None) -> Iterator[pa.RecordBatch]:
+    """The cells of one archive as Arrow batches; fill values are null."""
+    for part in _day_cells(content, product):
+        if box is not None:
+            part = part[part["lon"].between(box[0], box[2]) & part["lat"].between(box[1], box[3])]
+        yield pa.RecordBatch.from_pandas(part, schema=CELL_ARROW, preserve_index=False)
+
+
+def snow_tars_to_cells(spark: SparkSession, folder: str, product: str = K.SNOW_PRODUCT, box: Sequence[float] | None = None,
+                       start: str | None = None, end: str | None = None) -> DataFrame:
+    """Cells of a folder's daily snow archives, one task per archive; only files named by days from `start` to `end` are
+    opened."""
+    return dated.load(spark, dated.SnowArchive, folder, product=product, start=start, end=end,
+                      box=None if box is None else json.dumps(list(box)))
 
 
 def check_grid(cells: DataFrame, shape: tuple[int, int]) -> DataFrame:
@@ -110,9 +125,10 @@ def day_maps_to_rows(docs: DataFrame, name: str = "snodas_swe_mm") -> DataFrame:
     return rows.select("site_no", "datetime", name)
 
 
-def read_day_maps(spark: SparkSession, paths: Paths, name: str = "snodas_swe_mm") -> DataFrame:
-    """Daily maps on disk, one small file per day."""
-    docs = spark.read.text(_paths(paths), wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
+def read_day_maps(spark: SparkSession, folder: str, name: str = "snodas_swe_mm", start: str | None = None,
+                  end: str | None = None) -> DataFrame:
+    """Daily maps of a folder, one small file per day; only files from `start` to `end` are read."""
+    docs = dated.load(spark, dated.DayMap, folder, start=start, end=end)
     return day_maps_to_rows(docs, name)
 
 

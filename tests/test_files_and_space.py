@@ -132,6 +132,35 @@ def test_snow_archives(spark, tmp_path):
         grids.snow_tars_to_cells(spark, str(tmp_path / "one.tar"), product="9999").collect()
 
 
+def test_days_choose_the_archives(spark, tmp_path):
+    """No other day's file is opened: the others are broken."""
+    for day in range(1, 6):
+        good = day in (2, 3)
+        (tmp_path / f"SNODAS_2024060{day}.tar").write_bytes(archive([day] * 6, day) if good else b"broken")
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    some = grids.snow_tars_to_cells(spark, str(tmp_path), start="2024-06-02", end="2024-06-03")
+    assert some.rdd.getNumPartitions() == 2 and {str(r.date) for r in some.filter("swe_mm > 5").collect()} == {"2024-06-03"}
+    assert some.count() == 12 and grids.snow_tars_to_cells(spark, str(tmp_path), start="2030-01-01").count() == 0
+    with pytest.raises(PySparkException):
+        grids.snow_tars_to_cells(spark, str(tmp_path)).collect()
+
+
+def test_day_maps_of_a_period(spark, tmp_path):
+    for day in range(1, 8):
+        (tmp_path / f"2024010{day}.json").write_bytes(b'{"a": %d}' % day if day in (3, 4) else b"\xff broken")
+    out = grids.read_day_maps(spark, str(tmp_path), start="2024-01-03", end="2024-01-04").collect()
+    assert sorted((str(r.datetime), r.snodas_swe_mm) for r in out) == [("2024-01-03", 3.0), ("2024-01-04", 4.0)]
+
+
+def test_files_are_written_whole(spark, tmp_path):
+    from freshet.sinks import write_files
+
+    rows = spark.createDataFrame([(f"a/{i}.bin", bytes([i]) * i) for i in range(20)], "name string, content binary").repartition(4)
+    for _ in range(2):  # a repeated task leaves one copy
+        write_files(rows, f"file:{tmp_path}")
+    assert {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()} == {f"a/{i}.bin": bytes([i]) * i for i in range(20)}
+
+
 def png(pixels):
     height, width, _ = pixels.shape
     raw = b"".join(b"\0" + pixels[r].tobytes() for r in range(height))

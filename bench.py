@@ -16,7 +16,7 @@ HEADLINE = [
     "period_of_record", "daily_temp_pet", "hourly_bundle", "merge_series_outer", "static_matrix", "bbox_join", "polygon_join",
     "nearest_station", "best_station", "k_nearest_stations", "basin_mean_mask", "band_means", "snow_profile_fit", "dem_sample_nn",
     "fill_nearest", "rolling_coverage", "rolling_log_mean", "season_topk", "drought_slice", "select_panel", "panel_slices", "build_panels",
-    "daily_history", "clearest_scene", "dedupe_concat", "thin_by_gap", "calendar_chunks", "incremental_delta", "pending_work",
+    "select_panel_hours", "panel_slices_hours", "daily_history", "clearest_scene", "dedupe_concat", "thin_by_gap", "calendar_chunks", "incremental_delta", "pending_work",
     "camera_pattern_match", "cosine_neighbours", "discover_catchment", "build_catchment_bundle", "long_term_series", "hydro_frame",
     "basin_swe_series", "snow_state", "collect_gauge_record", "read_rdb_iv", "snow_tars_to_cells", "write_hourly",
 ]

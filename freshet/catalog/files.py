@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet import sinks
 from freshet.catalog.aggregates import SERIES, series_rows
-from freshet.catalog.frames import flow_hourly
+from freshet.catalog.frames import flow_hourly, weather_site
 from freshet.catalog.registry import Inputs, query, rounded, stamp
-from freshet.catalog.views import FLOW
+from freshet.catalog.views import FLOW, JOINED
 from freshet.catalog.windows import MIN_OBSERVED, PANEL, WIDTH, panel, steps
-from freshet.operators import clean, panels
+from freshet.operators import clean, joins, panels
 from freshet.operators.spatial import bbox
+from freshet.plans.catchments import usgs_to_hourly_utc
 from freshet.sources import gauges as gauge_files, grids, weather as weather_files
 
 
@@ -36,13 +37,29 @@ def write_tab_files(d: Inputs, rows: DataFrame, header: list[str], label: str) -
 IV_HEADER = ["agency_cd", "site_no", "datetime", "tz_cd", "31_00060", "31_00060_cd", "32_00065", "32_00065_cd"]
 
 
-@query("read_rdb_iv", """SELECT site_no, datetime, tz_cd, cfs, CAST(ord AS STRING) AS height, 'A' AS code FROM iv_raw""", ["iv_raw"])
-def read_rdb_iv(d: Inputs) -> DataFrame:
+def gauge_readings(d: Inputs) -> DataFrame:
+    """All readings, written as gauge files and read back; the second series holds the order of the rows."""
     rows = d.view("iv_raw").select(F.concat_ws("-", "site_no", (F.col("ord") % 4).cast("string")).alias("part"), _tab(
         F.lit("USGS"), "site_no", "datetime", "tz_cd", "cfs", F.lit("A"), F.col("ord").cast("string"), F.lit("A")).alias("value"))
-    read = gauge_files.read_rdb_iv(d.spark, write_tab_files(d, rows, IV_HEADER, "iv"))
+    return gauge_files.read_rdb_iv(d.spark, write_tab_files(d, rows, IV_HEADER, "iv"))
+
+
+@query("read_rdb_iv", """SELECT site_no, datetime, tz_cd, cfs, CAST(ord AS STRING) AS height, 'A' AS code FROM iv_raw""", ["iv_raw"])
+def read_rdb_iv(d: Inputs) -> DataFrame:
     code = F.try_element_at("values", F.lit("31_00060_cd"))
-    return clean.rename_by_param(read.withColumn("code", code)).select("site_no", "datetime", "tz_cd", "cfs", "height", "code")
+    return clean.rename_by_param(gauge_readings(d).withColumn("code", code)).select("site_no", "datetime", "tz_cd", "cfs", "height", "code")
+
+
+@query("files_to_bundle", """
+SELECT site_no, strftime(hour_updated, '%Y-%m-%d %H:%M:%S') AS hour_updated, ord, cfs, round(p01m, 6) AS p01m, round(tmpf, 6) AS tmpf FROM joined""", JOINED)
+def files_to_bundle(d: Inputs) -> DataFrame:
+    """From gauge files to the written bundle: read, rename, UTC hours, weather of the hour, hourly files."""
+    raw = clean.rename_by_param(gauge_readings(d)).withColumn("ord", F.col("height").cast("bigint"))
+    bundle = joins.weather_flow_inner(weather_site(d), usgs_to_hourly_utc(raw))
+    path = d.scratch("bundle")
+    sinks.write_hourly(bundle, path)
+    back = d.spark.read.parquet(path)
+    return back.select(F.lpad(F.col("site_no").cast("string"), 8, "0").alias("site_no"), stamp("hour_updated").alias("hour_updated"), "ord", "cfs", *rounded("p01m", "tmpf"))
 
 
 SITE_HEADER = ["agency_cd", "site_no", "station_nm", "dec_lat_va", "dec_long_va", "alt_va", "drain_area_va",

@@ -137,3 +137,28 @@ def test_pipeline_with_clashing_columns_nulls_and_empty_tables(spark):
             assert docs.columns == was.columns
             assert all(r[c] == "mine" for r in docs.select(*names).distinct().collect() for c in names)
             assert docs.where("doc_id IS NULL").count() == 1
+
+
+def test_host_rates_are_shrunk_by_a_beta_prior(spark):
+    """Rates of the short-text rule against the method of moments, written out."""
+    from freshet.llm import quality
+
+    rng = random.Random(6)
+    sizes = {"a": 60, "b": 40, "c": 3, "d": 1, None: 20}
+    bad = {"a": 0.1, "b": 0.95, "c": 1.0, "d": 1.0, None: 0.3}
+    rows = []
+    for host, n in sizes.items():
+        for _ in range(n):
+            words = 5 if rng.random() < bad[host] else 60
+            rows.append((len(rows), host, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(words))))
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(3)).collect()
+    failures = {h: sum(len(t.split()) < 50 for _, s, t in rows if s == h) for h in sizes}
+    total, all_failed = sum(sizes.values()), sum(failures.values())
+    mean = all_failed / total
+    spread = sum(f * f / sizes[h] for h, f in failures.items()) / total - mean ** 2 - mean * (1 - mean) * len(sizes) / total
+    weight = min(max(mean * (1 - mean) / spread - 1, 1.0), total)
+    rates = {h: (failures[h] + mean * weight) / (sizes[h] + weight) for h in sizes}
+    for r in got:
+        assert abs(r["host_rate"] - rates[r["source"]]) < 1e-9
+        assert r["host_rejected"] == (rates[r["source"]] > 0.5) and r["kept"] == (not r["base_failed"] and not r["host_rejected"])
+    assert rates["d"] < 1.0  # one document does not make a rate of one

@@ -12,6 +12,7 @@ from freshet.catalog.views import FLOW, JOINED
 from freshet.catalog.windows import CHUNKS, CLEAREST, periods
 from freshet.operators import rollups, spatial
 from freshet.plans import catchments, snow
+from freshet.session import stored
 
 
 @query("usgs_to_hourly_utc", "SELECT site_no, ord, strftime(hour_updated, '%Y-%m-%d %H:%M:%S') AS hour_updated, cfs FROM flow_hourly", FLOW)
@@ -118,8 +119,8 @@ def hydro_frame(d: Inputs) -> DataFrame:
     hours = rollups.images_per_hour(camera_images(d), ["camera_id"], "datetime", "key")
     images = hours.select(F.lpad((F.expr("substring(camera_id, 8)").cast("bigint") + 10000000).cast("string"), 8, "0").alias("site_no"), "image_path",
                           (F.col("hour_updated") + F.expr("INTERVAL '290' DAY")).alias("hour_updated"))
-    flow = flow_hourly(d)
-    out = catchments.hydro_frame(d.view("iv_raw"), d.view("asos_fall"), wanted, daily_snow(flow), sensed_scenes(flow), images, block=F.to_date("hour_updated"))
+    flow = stored(flow_hourly(d), "flow_hours")  # derived once; snow, scenes and the frame read it
+    out = catchments.hydro_frame(d.view("iv_raw"), d.view("asos_fall"), wanted, daily_snow(flow), sensed_scenes(flow), images, block=F.to_date("hour_updated"), hours=flow)
     return out.select("site_no", stamp("hour_updated").alias("hour_updated"), "ord", "cfs", *rounded("p01m"), "station", "filled_snow", "scene",
                       F.when(F.col("image_path").isNotNull(), F.size("image_path")).cast("bigint").alias("images"))
 

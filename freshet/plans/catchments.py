@@ -80,12 +80,14 @@ def fleet_report(registry: DataFrame, key: str = "site_no") -> DataFrame:
 
 
 def hydro_frame(flow: DataFrame, weather: DataFrame, preferences: DataFrame, snow: DataFrame, scene_rows: DataFrame,
-                images: DataFrame, key: str = "site_no", block: Column | None = None) -> DataFrame:
+                images: DataFrame, key: str = "site_no", block: Column | None = None,
+                hours: DataFrame | None = None) -> DataFrame:
     """Flow with the first station that has data, then snow (filled), scenes and images of the hour.
 
-    `preferences` lists stations per site by rank; flow is raw, weather is raw per station.
+    `preferences` lists stations per site by rank; flow is raw, weather is raw per station. `hours` is the flow of UTC
+    hours where it is known already.
     """
-    hours = usgs_to_hourly_utc(flow, key)
+    hours = usgs_to_hourly_utc(flow, key) if hours is None else hours
     folded = rollups.hourly_weather(weather, ["station"], "ord" if "ord" in weather.columns else None)
     chosen = joins.station_fallback(preferences, weather, key)
     joined = joins.weather_flow_inner(folded.join(chosen, "station"), hours, [key])

@@ -70,16 +70,32 @@ own AS (SELECT doc_id, size, unnest(range(0, len(w) - size + 1)) AS s,
 hits AS (SELECT doc_id, s, own.size, item_id FROM own JOIN wins ON own.win = wins.win AND own.size = wins.size),
 n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hits) GROUP BY 1),
 names AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1),
+numbered AS (SELECT row_number() OVER () AS k, item, w, len(w) AS n, least(13, len(w)) AS size
+             FROM (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, w FROM i WHERE len(w) > 0)),
+terms AS (SELECT k, size, unnest(range(0, n)) AS o, unnest(w) AS term FROM numbered),
+starts AS (SELECT k, unnest(range(0, n - size + 1)) AS s FROM numbered),
+own_words AS (SELECT doc_id, unnest(range(0, len(w))) AS p, unnest(w) AS term FROM d),
+df AS (SELECT term, count(*) AS df FROM own_words GROUP BY 1),
+ranked AS (SELECT k, o, term, row_number() OVER (PARTITION BY k, s ORDER BY coalesce(df, 0), o) AS r
+           FROM terms JOIN starts USING (k) LEFT JOIN df USING (term) WHERE o >= s AND o < s + size),
+places AS (SELECT DISTINCT k, o, term FROM ranked WHERE r <= 2),
+rare AS (SELECT k, count(*) AS rare FROM places GROUP BY 1),
+bands AS (SELECT doc_id, k, o, unnest([floor((p - o) / 5.0), floor((p - o) / 5.0) - 1]) AS band
+          FROM own_words JOIN places USING (term)),
+agreed AS (SELECT doc_id, k, band, count(DISTINCT o) AS c FROM bands GROUP BY 1, 2, 3),
+near AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM agreed JOIN rare USING (k) JOIN numbered USING (k)
+         WHERE c >= 2 AND 2 * c >= rare GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN names USING (doc_id)""")
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN near USING (doc_id)""")
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     from freshet.llm.decontaminate import RESULTS, decontaminate
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return decontaminate(docs, table(spark, folder, "benchmark")).select("doc_id", *RESULTS)
+    found = decontaminate(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", *RESULTS, F.size("near_items").cast("long").alias("n_near"))
 
 
 @query("op10_quality_rules")

@@ -436,13 +436,57 @@ def test_decontamination_by_brute_force(spark, hard, empty):
     assert decontaminate.decontaminate(empty, bench).count() == 0
 
 
-def test_proximity(spark):
-    docs = decontaminate.row_key(spark.createDataFrame([(1, "alpha x beta"), (2, "alpha y y y y beta")], "id int, text string"))
-    items = decontaminate.item_words(spark.createDataFrame([(7, "alpha beta")], "id int, text string"))
-    tokens = decontaminate.doc_tokens(docs)
-    places = decontaminate.anchors(items, decontaminate.term_frequencies(tokens.select("term"), items), 13)
-    index = decontaminate.postings(tokens, places.select("term").distinct())
-    assert [(r.id, r.pos, r.pos2) for r in decontaminate.proximity_matches(index, places, 1).collect()] == [(1, 0, 2)]
+def test_proximity_by_brute_force(spark, hard):
+    rng = random.Random(3)
+    word = lambda: rng.choice("the of a".split()) if rng.random() < 0.4 else f"w{rng.randint(0, 90)}"
+    items = [[word() for _ in range(n)] for n in (1, 2, 8, 13, 20, 40)]
+    texts = []
+    for d in range(60):
+        own = list(rng.choice(items))
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(own) + 1)
+            own[at:at + rng.randint(0, 1)] = [word()] * rng.randint(0, 2)
+        texts.append([word() for _ in range(rng.randint(0, 30))] + own + [word() for _ in range(rng.randint(0, 30))])
+    df = Counter(w for t in texts for w in t)
+
+    def near(text: list[str], own: list[str]) -> bool:
+        size = min(13, len(own))
+        rare = {at for s in range(len(own) - size + 1) for at in sorted(range(s, s + size), key=lambda k: (df[own[k]], k))[:2]}
+        bands = defaultdict(set)
+        for at in rare:
+            for p, w in enumerate(text):
+                if w == own[at]:
+                    bands[(p - at) // 5].add(at)
+                    bands[(p - at) // 5 - 1].add(at)
+        most = max((len(b) for b in bands.values()), default=0)
+        return most >= 2 and 2 * most >= len(rare)
+
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id int, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id int, text string")
+    got = {r.doc_id: r.near_items for r in decontaminate.decontaminate(docs, bench).collect()}
+    want = {d: [str(i) for i, own in enumerate(items) if near(t, own)] for d, t in enumerate(texts)}
+    assert got == want and any(want.values()) and not all(want.values())
+    assert "near_items" not in decontaminate.decontaminate(hard, bench, play=None).columns
+
+
+def test_passage_changed_inside_every_window_is_near(spark):
+    own = [f"t{k}" for k in range(60)]
+    changed = [w for k, w in enumerate(own) for w in ([w, "and"] if k % 9 == 5 else [w])]
+    docs = spark.createDataFrame([(1, " ".join(["x"] * 20 + changed)), (2, " ".join(own[::-1]))], "doc_id int, text string")
+    bench = spark.createDataFrame([(7, " ".join(own))], "item_id int, text string")
+    got = {r.doc_id: (r.n_hit, r.near_items) for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert got == {1: (0, ["7"]), 2: (0, [])}
+
+
+def test_long_benchmark_item(spark):
+    """An item of 100,000 words; one document holds 5,000 of them, one all, one repeats a single word."""
+    rng = random.Random(5)
+    own = [f"q{rng.randint(0, 3000)}" for _ in range(100_000)]
+    docs = spark.createDataFrame([(1, " ".join(["x"] * 7 + own[40_000:45_000])), (2, " ".join(own)), (3, "q5 " * 20_000)],
+                                 "doc_id int, text string")
+    bench = spark.createDataFrame([(7, " ".join(own)), (8, "q5 " * 14)], "item_id int, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.decontaminate(docs, bench, play=None).collect()}
+    assert got == {1: (5_000, 1), 2: (100_000, 1), 3: (20_000, 1)}
 
 
 # Quality

@@ -112,10 +112,19 @@ def empty_basins(basins: DataFrame, mask: DataFrame, key: str = "site_no") -> Da
     return basins.select(key).join(mask, key, "left_anti")
 
 
+def _masked(cells: DataFrame, mask: DataFrame, cell: str) -> DataFrame:
+    """Cells of each basin, once per date.
+
+    Spark takes the grid for as large as its file, however many days were made of it, and would send all of them to
+    every task; the hint has both sides meet in a shuffle.
+    """
+    return mask.join(cells.hint("merge"), cell)
+
+
 def basin_mean(cells: DataFrame, mask: DataFrame, keys: Sequence[str] = ("site_no",), by: Sequence[str] = (),
                value: str = "swe_mm", cell: str = "cell_id") -> DataFrame:
     """Mean of the known cells of each basin (and date); a basin without a known cell gets null."""
-    return mask.join(cells, cell).groupBy(*keys, *by).agg(F.avg(value).alias(f"mean_{value}"),
+    return _masked(cells, mask, cell).groupBy(*keys, *by).agg(F.avg(value).alias(f"mean_{value}"),
                                                            F.count(value).alias("cells"))
 
 
@@ -187,7 +196,7 @@ def band_means(cells: DataFrame, mask: DataFrame, bands: DataFrame, key: str = "
 
     `bands` has one row per basin with the ascending array `bands`.
     """
-    known = mask.join(cells.filter(F.col(value).isNotNull()), cell).join(bands, key)
+    known = _masked(cells.filter(F.col(value).isNotNull()), mask, cell).join(bands, key)
     banded = (known.withColumn("band", band_index(F.col(elevation), F.col("bands")))
               .groupBy(key, "band").agg(F.sum(value).alias("_s"), F.count(value).alias("cells")))
     totals = banded.groupBy(key).agg((F.sum("_s") / F.sum("cells")).alias(f"basin_mean_{value}"))

@@ -38,6 +38,24 @@ def densify_hours(df: DataFrame, keys: Sequence[str], hour: str = "hour", step:
     return axis.join(df, [*keys, hour], "left")
 
 
+#: Rows of a part of `dealt_join`; a task walks through one part in memory.
+PART_ROWS = 2048
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """Inner join on keys that hold many rows on both sides, so that the pairs of one key are the work of many tasks.
+
+    The right rows of a key are dealt into parts of about `part_rows`, by a hash of the whole row, and each left row
+    meets every part of its key.
+    """
+    keys = list(keys)
+    parts = right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("_parts"))
+    row = [c for c, kind in right.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = (right.join(parts, keys).withColumn("_part", F.pmod(F.xxhash64(*row), F.col("_parts")).cast("int")).drop("_parts"))
+    asking = left.hint("merge").join(parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return asking.join(dealt.hint("merge"), [*keys, "_part"]).drop("_part")
+
+
 def weather_flow_inner(weather: DataFrame, flow: DataFrame, keys: Sequence[str] = ("site_no",)) -> DataFrame:
     """Weather and flow of the same UTC hour; identifier and quality columns of the flow are dropped."""
     kept = flow.select(*[c for c in flow.columns if c in keys or not (c == "site_no" or c.endswith("_cd"))])

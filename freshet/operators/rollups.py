@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet import constants as K
 from freshet.functions import clock, evaporation, numbers
+from freshet.session import stored
 
 
 def first_known(column: str, order: Column) -> Column:
@@ -114,7 +115,8 @@ def snow_profile_fit(df: DataFrame, keys: Sequence[str], elevation: str = "eleva
     """Snow line and slope of snow against height, per key.
 
     The line lies between the highest dry and the lowest snowy site; the slope is least squares through it.
-    Keys without a snowy site get slope 0.
+    Keys without a snowy site get slope 0. The lines, one row per key, are written to the shared folder: their true
+    size then decides whether the samples have to be shuffled to meet them.
     """
     keys = list(keys)
     z, s = F.col(elevation), F.col(swe)
@@ -122,7 +124,7 @@ def snow_profile_fit(df: DataFrame, keys: Sequence[str], elevation: str = "eleva
     middle = (F.col("dry") + F.least(F.col("snowy"), F.col("dry") + 400.0)) / F.lit(2.0)
     line = (F.when(F.col("snowy").isNull(), F.lit(0.0)).when(F.col("dry").isNull(), F.col("snowy") - 200.0)
             .when(F.col("snowy") > F.col("dry"), middle).otherwise(F.col("dry")))
-    lines = lines.select(*keys, line.alias("snow_line"))
+    lines = stored(lines.select(*keys, line.alias("snow_line")), "snow_lines")
     above = F.greatest(z - F.col("snow_line"), F.lit(1.0))
     snowy = F.when(s > 1.0, above)
     slope = F.greatest(F.coalesce(F.sum(snowy * s) / F.sum(snowy * snowy), F.lit(0.0)), F.lit(0.0))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from freshet.functions.geo import band_index
+from freshet.operators import joins
 
 POLYGON_TYPE = "array<array<array<array<double>>>>"
 
@@ -55,13 +56,14 @@ def _bucket(value: Column, size: float) -> Column:
 def bbox_join(points: DataFrame, boxes: DataFrame, size: float = 0.5) -> DataFrame:
     """Points inside boxes, bounds included, by an equality join on grid buckets.
 
-    Boxes carry min_lon, min_lat, max_lon, max_lat; points carry lat and lon.
+    Boxes carry min_lon, min_lat, max_lon, max_lat; points carry lat and lon. The points of a full bucket are dealt
+    into parts (`joins.dealt_join`).
     """
     spread = boxes.withColumn("_bi", F.explode(F.sequence(_bucket(F.col("min_lat"), size), _bucket(F.col("max_lat"), size))))
     spread = spread.withColumn("_bj", F.explode(F.sequence(_bucket(F.col("min_lon"), size), _bucket(F.col("max_lon"), size))))
     placed = points.withColumns({"_bi": _bucket(F.col("lat"), size), "_bj": _bucket(F.col("lon"), size)})
     inside = F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lon").between(F.col("min_lon"), F.col("max_lon"))
-    return placed.join(spread, ["_bi", "_bj"]).filter(inside).drop("_bi", "_bj")
+    return joins.dealt_join(spread, placed, ["_bi", "_bj"]).filter(inside).drop("_bi", "_bj")
 
 
 def _ring_edges(ring: Column) -> Column:
@@ -99,7 +101,7 @@ def polygon_join(points: DataFrame, basins: DataFrame, key: str = "site_no", poi
     """(basin, point) pairs whose point lies inside: even-odd per ring, holes cut out, parts united."""
     placed = points.select(point_key, "lat", "lon", _bucket(F.col("lat"), size).alias("_bi"),
                            _bucket(F.col("lon"), size).alias("_bj"))
-    pairs = placed.join(polygon_buckets(basins, key, size), ["_bi", "_bj"])
+    pairs = placed.hint("merge").join(polygon_buckets(basins, key, size), ["_bi", "_bj"])
     near = (F.col("lon").between(F.col("_box.min_lon"), F.col("_box.max_lon"))
             & F.col("lat").between(F.col("_box.min_lat"), F.col("_box.max_lat")))
     outline = _odd_crossings(F.get("edges", F.lit(0)), F.col("lon"), F.col("lat"))

@@ -29,3 +29,30 @@ def test_grid_of_many_days_is_not_sent_to_all_tasks(spark, tmp_path):
         assert "BroadcastHashJoin" not in plan(means)
     got = {(r.site_no, r.date.day): (r.mean_swe_mm, r.cells) for r in spatial.basin_mean_mask(dated, mask).collect()}
     assert got == {(s, d): v for d in range(1, 10) for s, v in (("a", (17 / 3, 3)), ("b", (7.0, 1)))}
+
+
+def test_pairs_of_one_key_are_the_work_of_many_tasks(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(7)] + [("cold", 9), ("alone", 10), (None, 11)], "k string, a int")
+    right = spark.createDataFrame([("hot", i // 2) for i in range(60)] + [("cold", 1), (None, 2), ("other", 3)], "k string, b int")
+    out = joins.dealt_join(left, right, ["k"], part_rows=5)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    assert out.columns == ["k", "a", "b"] and "_part" in plan(out)
+
+
+def test_distances_of_a_state_are_dealt_out(spark):
+    from freshet.catalog import QUERIES
+
+    for name in ("bbox_join", "sample_basin_snotel"):
+        assert "_part" in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_readings_meet_stations_before_boxes(spark):
+    stations = spark.createDataFrame([("s1", 0.1, 0.1, 100.0), ("s2", 0.2, 0.2, 200.0), ("s2", 0.2, 0.2, 200.0), ("s3", 5.0, 5.0, 1.0), (None, 0.1, 0.1, 1.0)],
+                                     "station_id string, lat double, lon double, elevation double")
+    readings = spark.createDataFrame([("s1", 1.0), ("s1", 2.0), ("s2", 3.0), ("s3", 4.0), (None, 5.0), ("s2", None)], "station_id string, WTEQ double").withColumn("date", F.lit(date(2024, 6, 5)))
+    boxes = spark.createDataFrame([("a", 0.0, 0.0, 1.0, 1.0), ("b", 0.15, 0.15, 0.2, 0.2)], "site_no string, min_lon double, min_lat double, max_lon double, max_lat double")
+    out = snow.sample_basin_snotel(boxes, stations, readings, "2024-06-05")
+    got = sorted((r.site_no, r.station_id, round(r.swe_mm / 25.4, 6)) for r in out.collect())
+    assert got == [("a", "s1", 1.0), ("a", "s1", 2.0), ("a", "s2", 3.0), ("a", "s2", 3.0), ("b", "s2", 3.0), ("b", "s2", 3.0)]
+    tree = plan(out)
+    assert tree.index("_part") < tree.index("WTEQ IS NOT NULL" if "WTEQ IS NOT NULL" in tree else "isnotnull(WTEQ")

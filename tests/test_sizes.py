@@ -42,7 +42,7 @@ def test_pairs_of_one_key_are_the_work_of_many_tasks(spark):
 def test_distances_of_a_state_are_dealt_out(spark):
     from freshet.catalog import QUERIES
 
-    for name in ("bbox_join", "sample_basin_snotel"):
+    for name in ("haversine_km", "bbox_join", "sample_basin_snotel"):
         assert "_part" in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
 
 

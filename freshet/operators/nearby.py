@@ -1,7 +1,7 @@
 """Nearest and best stations without comparing every gauge with every station.
 
 Places are put into cells of the globe. The search starts from cells of 22.5 degrees, of which the globe has a fixed
-number, and goes down by levels: every surviving pair of cells is divided into sixteen by sixteen on both sides and judged
+number, and goes down by levels: every surviving pair of cells is divided into four by four on both sides and judged
 again, so a gauge cell only ever meets the station cells that can hold its answer, a number that geometry bounds.
 Exact distances decide between what remains. Places beyond 90 degrees of latitude or 360 of longitude match nothing.
 """
@@ -21,8 +21,8 @@ _KM_PER_DEGREE = EARTH_RADIUS_KM * math.pi / 180.0
 # Distances compare after rounding, so that equal places tie on every engine.
 DISTANCE_DIGITS = 6
 WIDEST_CELL = 22.5  # 9 by 33 cells hold every place; halving it stays exact in binary
-SPLIT_BITS = 4  # sixteen by sixteen finer cells in each cell
-LEVELS = 3  # the finest cells span 0.088 degrees
+SPLIT_BITS = 2  # four by four finer cells in each cell
+LEVELS = 6  # the finest cells span 0.022 degrees
 
 
 def _cells(df: DataFrame, size: float, prefix: str) -> DataFrame:
@@ -72,11 +72,11 @@ def candidate_cells(gauges: DataFrame, stations: DataFrame, k: int, on: Sequence
                     levels: int = LEVELS) -> tuple[DataFrame, float]:
     """Pairs of gauge cell and station cell that may hold one of the k nearest stations, and their cell size.
 
-    Each side is reduced to its finest cells once; coarser ones are read off their numbers.
+    Each side is reduced to its finest cells once, in the shared folder; coarser ones are read off their numbers.
     """
     on, fine = list(on), WIDEST_CELL / 2 ** (SPLIT_BITS * (levels - 1))
-    counted = _cells(stations, fine, "s").groupBy(*on, "s_i", "s_j").agg(F.count(F.lit(1)).alias("n"))
-    asking = _cells(gauges, fine, "g").select(*on, "g_i", "g_j").distinct()
+    counted = stored(_cells(stations, fine, "s").groupBy(*on, "s_i", "s_j").agg(F.count(F.lit(1)).alias("n")), "station_cells")
+    asking = stored(_cells(gauges, fine, "g").select(*on, "g_i", "g_j").distinct(), "gauge_cells")
 
     def station_cells(up: int) -> DataFrame:
         keys = [*on, *_lifted("s", up + 1, "s_p"), *_lifted("s", up, "s_")]

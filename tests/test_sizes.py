@@ -56,3 +56,17 @@ def test_readings_meet_stations_before_boxes(spark):
     assert got == [("a", "s1", 1.0), ("a", "s1", 2.0), ("a", "s2", 3.0), ("a", "s2", 3.0), ("b", "s2", 3.0), ("b", "s2", 3.0)]
     tree = plan(out)
     assert tree.index("_part") < tree.index("WTEQ IS NOT NULL" if "WTEQ IS NOT NULL" in tree else "isnotnull(WTEQ")
+
+
+def test_dense_places_give_few_candidates(spark):
+    rng = np.random.default_rng(5)
+    at = lambda n: pd.DataFrame({"lat": 40 + rng.random(n) / 3, "lon": -105 + rng.random(n) / 3})
+    g, s = at(300).assign(site_no=np.arange(300).astype(str)), at(1500).assign(station_id=np.arange(1500).astype(str), ord=np.arange(1500))
+    left, right = spark.createDataFrame(g), spark.createDataFrame(s)
+    met = nearby._ranked_candidates(left, right, 3, [], nearby.LEVELS, "site_no")
+    assert met.count() < 300 * 1500 / 2
+    ranked = {(r.site_no, r["rank"]): r.distance_km for r in nearby.k_nearest_stations(left, right, 3).collect()}
+    a, b = np.radians(g[["lat", "lon"]].to_numpy()), np.radians(s[["lat", "lon"]].to_numpy())
+    h = np.sin((b[None, :, 0] - a[:, None, 0]) / 2) ** 2 + np.cos(a[:, None, 0]) * np.cos(b[None, :, 0]) * np.sin((b[None, :, 1] - a[:, None, 1]) / 2) ** 2
+    want = np.sort(2 * 6371.0 * np.arcsin(np.sqrt(h)), 1)[:, :3]
+    assert all(abs(ranked[str(i), k + 1] - want[i, k]) < 2e-6 for i in range(300) for k in range(3)) and len(ranked) == 900

@@ -68,22 +68,40 @@ def _blocks(rings: list, block_rows: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def _top(sims: np.ndarray, own: np.ndarray, ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) of the k best of each row from `floor` on, by rounded similarity, then id.
+
+    Only what may be among the k best is rounded and sorted: values below the k-th one of a row, less rounding, are not.
+    """
+    if np.isin(own, ids).any():
+        sims[own[:, None] == ids[None, :]] = -np.inf
+    floor, m = floor - 2 * ROUNDED, sims.shape[1]
+    crowded = np.flatnonzero((sims >= floor[:, None]).sum(1) > k)
+    if len(crowded):
+        floor[crowded] = np.maximum(floor[crowded], np.partition(sims[crowded], m - k, axis=1)[:, m - k] - 2 * ROUNDED)
+    row, column = np.nonzero((sims >= floor[:, None]) & np.isfinite(sims))
+    sim = np.round(sims[row, column], 9)
+    order = np.lexsort((ids[column], -sim, row))
+    row, column, sim = row[order], column[order], sim[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k], sim[place < k]
+
+
 def _block_best(k: int, name: str):
-    """The k best of the right rows for each left row, itself left out; fewer if there are fewer."""
+    """The k best of the right rows for each left row, itself left out; fewer if there are fewer, or if the row's own
+    block holds nearer ones."""
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "sim": []})
         a, b = np.stack(left["unit"].to_numpy()), np.stack(right["unit"].to_numpy())
-        ids, found = right["id"].to_numpy(), []
+        own, ids, found = left["id"].to_numpy(), right["id"].to_numpy(), []
+        # Nothing below the k-th similarity of the own block, which `reach` was made of, can be among the k best.
+        floor = 1.0 - left["reach"].to_numpy() ** 2 / 2.0 if "reach" in left else np.full(len(a), -2.0)
         for at in range(0, len(a), 1024):
-            sims = np.round(a[at:at + 1024] @ b.T, 9)
-            own = left["id"].to_numpy()[at:at + 1024]
-            sims[own[:, None] == ids[None, :]] = -np.inf
-            take = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
-            found.append(pd.DataFrame({"id": np.repeat(own, take.shape[1]), "neighbour": ids[take].ravel(),
-                                       "sim": np.take_along_axis(sims, take, 1).ravel()}))
-        out = pd.concat(found)
-        return out[np.isfinite(out["sim"])]
+            part = slice(at, at + 1024)
+            row, column, sim = _top(a[part] @ b.T, own[part], ids, floor[part], k)
+            found.append(pd.DataFrame({"id": own[part][row], "neighbour": ids[column], "sim": sim}))
+        return pd.concat(found)
 
     if name == "own":
         def reach(rows: pd.DataFrame) -> pd.DataFrame:
@@ -93,7 +111,7 @@ def _block_best(k: int, name: str):
             return rows.assign(reach=np.sqrt(np.maximum(2.0 - 2.0 * (limit - ROUNDED), 0.0)) + SLACK)
 
         return reach
-    return lambda key, left, right: best(left, right.set_axis(left.columns, axis=1))
+    return lambda key, left, right: best(left, right.rename(columns={"near_id": "id", "near_unit": "unit"}))
 
 
 def _needs(rows: DataFrame, pivots: np.ndarray, rings: list) -> DataFrame:
@@ -142,7 +160,7 @@ def neighbour_plan(df: DataFrame, k: int = 5, key: str = "site_no", vector: str
     pivots = max(1, min(pivots, -(-2 * unit.count() // block_rows)))
     chosen = unit.groupBy("unit").agg(F.min(F.xxhash64("unit")).alias("h")).orderBy("h", "unit").limit(pivots).collect()
     if not chosen:
-        nothing = unit.select("id", "unit", F.lit(0).alias("block"))
+        nothing = unit.select("id", "unit", F.lit(0).alias("block"), F.lit(0.0).alias("reach"))
         return nothing, nothing.select("block", F.col("block").alias("other"))
     points = np.array([r["unit"] for r in chosen])
     placed = stored(_placed(unit, points), "placed_vectors")
@@ -173,15 +191,14 @@ def cosine_neighbours(df: DataFrame, k: int = 5, key: str = "site_no", vector: s
     """Exact k most similar other rows by cosine; the lower id wins ties. `blocks` asks for so many blocks or more.
 
     Only pairs of blocks that may hold a match are compared (`neighbour_plan`). Each is one task-sized matrix product
-    that returns k rows per left row, and the ranks over these are limited before their shuffle too.
+    that returns up to k rows per left row, those as near as the k-th one of its own block, and the ranks over these are limited before their shuffle too.
     """
     if blocks:
         block_rows = max(1, -(-df.count() // blocks))
     rows, pairs = neighbour_plan(df, k, key, vector, block_rows, pivots)
     kind = dict(df.dtypes)[key]
-    lean = rows.select("id", "unit", "block")
-    left = lean.join(pairs, "block").select("id", "unit", "block", "other")
-    right = lean.select(F.col("id").alias("near_id"), F.col("unit").alias("near_unit"), F.col("block").alias("near")).join(
+    left = rows.join(pairs, "block").select("id", "unit", "reach", "block", "other")
+    right = rows.select(F.col("id").alias("near_id"), F.col("unit").alias("near_unit"), F.col("block").alias("near")).join(
         pairs.select(F.col("other").alias("near"), F.col("block").alias("of")), "near").select("near_id", "near_unit", "of", "near")
     near = left.groupBy("block", "other").cogroup(right.groupBy("of", "near")).applyInPandas(
         _block_best(k, "pair"), f"id {kind}, neighbour {kind}, sim double")

@@ -70,3 +70,20 @@ def test_dense_places_give_few_candidates(spark):
     h = np.sin((b[None, :, 0] - a[:, None, 0]) / 2) ** 2 + np.cos(a[:, None, 0]) * np.cos(b[None, :, 0]) * np.sin((b[None, :, 1] - a[:, None, 1]) / 2) ** 2
     want = np.sort(2 * 6371.0 * np.arcsin(np.sqrt(h)), 1)[:, :3]
     assert all(abs(ranked[str(i), k + 1] - want[i, k]) < 2e-6 for i in range(300) for k in range(3)) and len(ranked) == 900
+
+
+def test_block_gives_only_rows_within_reach(spark):
+    rng = np.random.default_rng(2)
+    unit = rng.normal(size=(40, 8))
+    unit = unit / np.linalg.norm(unit, axis=1)[:, None]
+    unit[30:] = unit[0]  # copies
+    rows = pd.DataFrame({"id": [f"v{i}" for i in range(40)], "unit": list(unit)})
+    own, pair = vectors._block_best(5, "own"), vectors._block_best(5, "pair")
+    bounded = own(rows.iloc[:20])
+    right = rows.rename(columns={"id": "near_id", "unit": "near_unit"})
+    found = pair(None, bounded, right.iloc[20:])
+    assert len(found) < 20 * 5
+    both = pd.concat([found, pair(None, bounded, right.iloc[:20])]).sort_values(["id", "sim", "neighbour"], ascending=[True, False, True]).groupby("id").head(5)
+    for i in range(20):
+        sims = sorted((-round(float(unit[i] @ unit[j]), 9), f"v{j}") for j in range(40) if j != i)[:5]
+        assert both[both["id"] == f"v{i}"]["neighbour"].tolist() == [v for _, v in sims]

@@ -87,3 +87,26 @@ def test_block_gives_only_rows_within_reach(spark):
     for i in range(20):
         sims = sorted((-round(float(unit[i] @ unit[j]), 9), f"v{j}") for j in range(40) if j != i)[:5]
         assert both[both["id"] == f"v{i}"]["neighbour"].tolist() == [v for _, v in sims]
+
+
+def test_waiting_rows_are_reduced_as_they_come(monkeypatch):
+    monkeypatch.setattr(jobs, "GATHERED_ROWS", 100)
+    sizes = []
+
+    def reduce(rows):
+        sizes.append(len(rows))
+        return rows.drop_duplicates("s")
+
+    (rows,) = jobs.gathered((pd.DataFrame({"s": np.arange(50) % 40}) for _ in range(200)), reduce)
+    assert sorted(rows["s"]) == list(range(40)) and max(sizes) <= 190
+    assert jobs.gathered(iter([pd.DataFrame({"s": []})]), reduce) == []
+
+
+def test_images_of_one_second_wait_as_one(spark, tmp_path):
+    from tests.test_streams_in_order import KIND, run_files
+
+    begin = pd.Timestamp("2024-05-01")
+    rows = [("c", (begin + pd.Timedelta(seconds=i // 50, milliseconds=900 - i % 50)).to_pydatetime(), f"k{i:04d}") for i in range(400)]
+    closing = [("closing", (begin + pd.Timedelta(days=9)).to_pydatetime(), "")]
+    got, late = run_files(spark, tmp_path, "seconds", [rows[200:], rows[:200], closing], lambda s: jobs.stream_thin_by_gap(s, 0.05, lateness="2 days"), KIND)
+    assert {r["key"] for r in got.collect() if r["key"]} == {"k0049", "k0199", "k0349"} and late == 0

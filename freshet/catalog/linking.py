@@ -11,6 +11,7 @@ from freshet.catalog.frames import flow_hourly, joined, named_site, weather_hour
 from freshet.catalog.registry import Inputs, query, rounded, stamp
 from freshet.catalog.views import JOINED
 from freshet.operators import joins, nearby, rollups, scenes, series, spatial
+from freshet.session import stored
 
 KM = ("round(12742 * asin(sqrt(pow(sin(radians(t.lat - g.lat) / 2), 2) + cos(radians(g.lat)) * cos(radians(t.lat))"
       " * pow(sin(radians(t.lon - g.lon) / 2), 2))), 6)")
@@ -116,10 +117,10 @@ SELECT site_no, strftime(hour_updated, '%Y-%m-%d %H:%M:%S') AS hour_updated, j.o
 def images_left(d: Inputs) -> DataFrame:
     number = F.expr("substring(camera_id, 8)").cast("bigint") + 10000000
     hours = rollups.images_per_hour(camera_images(d), ["camera_id"], "datetime", "key")
-    images = hours.select(F.lpad(number.cast("string"), 8, "0").alias("site_no"), "image_path",
+    images = hours.select(F.lpad(number.cast("string"), 8, "0").alias("site_no"), F.array_join("image_path", ",").alias("paths"),
                           (F.col("hour_updated") + F.expr("INTERVAL '290' DAY")).alias("hour_updated"))
-    out = joins.images_left(joined(d), images, ["site_no"])
-    return out.select("site_no", stamp("hour_updated").alias("hour_updated"), "ord", F.array_join("image_path", ",").alias("paths"))
+    out = joins.images_left(joined(d), stored(images, "image_hours"), ["site_no"])
+    return out.select("site_no", stamp("hour_updated").alias("hour_updated"), "ord", "paths")
 
 
 @query("merge_series_outer", """

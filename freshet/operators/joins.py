@@ -100,8 +100,26 @@ def scene_left(joined: DataFrame, scenes: DataFrame, keys: Sequence[str], ts: st
     return joined.join(rounded, [*keys, ts], "left")
 
 
-def images_left(joined: DataFrame, images: DataFrame, keys: Sequence[str], ts: str = "hour_updated") -> DataFrame:
-    return joined.join(images, [*keys, ts], "left")
+#: Bytes of lists that a task of `images_left` gets on average. Parquet keeps a dictionary of up to 1 MB; keys are hashed,
+#: so some tasks get more than the average.
+LIST_BYTES = 262_144
+
+
+def images_left(joined: DataFrame, images: DataFrame, keys: Sequence[str], ts: str = "hour_updated",
+                list_bytes: int | None = LIST_BYTES) -> DataFrame:
+    """Image lists joined on the hour; every row of an hour carries the hour's list.
+
+    Rows times lists grow with the square of the images of an hour. All rows of an hour go to one task, and a task gets
+    about `list_bytes` of lists, so that a file written from it holds each list once, in its dictionary, if the lists are
+    text of up to 1 MB. `images` is read twice, once for its bytes. With None rows stay where they are.
+    """
+    on = [*keys, ts]
+    if list_bytes is None:
+        return joined.join(images, on, "left")
+    lists = F.octet_length(F.to_json(F.struct(*[c for c in images.columns if c not in on])))
+    total = images.agg(F.sum(lists)).first()[0] or 0
+    tasks = max(int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // list_bytes))
+    return joined.repartition(tasks, *on).join(images.hint("merge"), on, "left")
 
 
 def merge_series_outer(long: DataFrame, keys: Sequence[str], variables: Sequence[str], name: str = "variable",

@@ -95,7 +95,8 @@ def hydro_frame(flow: DataFrame, weather: DataFrame, preferences: DataFrame, sno
     block = F.date_trunc("month", F.col("hour_updated")) if block is None else block
     filled = series.fill_nearest(snowed, [key], [F.col("hour_updated"), F.col("ord")], block, "snow_depth", "filled_snow")
     seen = joins.scene_left(filled, scene_rows, [key])
-    return joins.images_left(seen, images, [key])
+    # Scenes have multiplied the rows, which lie by site and hour already; dealing them anew would send them all again.
+    return joins.images_left(seen, images, [key], list_bytes=None)
 
 
 def enrich_gauge_meta(meta: DataFrame, raw_flow: DataFrame, weather: DataFrame, key: str = "site_no") -> DataFrame:

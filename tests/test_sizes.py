@@ -110,3 +110,24 @@ def test_images_of_one_second_wait_as_one(spark, tmp_path):
     closing = [("closing", (begin + pd.Timedelta(days=9)).to_pydatetime(), "")]
     got, late = run_files(spark, tmp_path, "seconds", [rows[200:], rows[:200], closing], lambda s: jobs.stream_thin_by_gap(s, 0.05, lateness="2 days"), KIND)
     assert {r["key"] for r in got.collect() if r["key"]} == {"k0049", "k0199", "k0349"} and late == 0
+
+
+def test_an_hours_image_list_is_written_once(spark, tmp_path):
+    hour = F.timestamp_seconds(F.col("h") * 3600).alias("hour_updated")
+    rows = spark.range(24 * 20).select(F.when(F.col("id") != 5, "a").alias("site_no"), (F.col("id") % 25).alias("h"), F.col("id").alias("ord"))
+    joined = on_disk(rows.select("site_no", hour, "ord").repartition(4, "ord"), tmp_path / "joined")
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1500)), lambda i: F.sha2(F.concat_ws("-", F.col("id"), i), 256)), ",")
+    lists = spark.range(24).select(F.lit("a").alias("site_no"), F.col("id").alias("h"), text.alias("paths")).select("site_no", hour, "paths")
+    images = on_disk(lists.unionByName(lists.limit(1).withColumn("paths", F.lit("again"))), tmp_path / "images")
+    out = on_disk(joins.images_left(joined, images, ["site_no"]), tmp_path / "out")
+    plain = joined.join(images, ["site_no", "hour_updated"], "left")
+    assert out.columns == plain.columns
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, plain.collect()))
+
+    def size(name):
+        return sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
+
+    assert size("out") < 1.2 * size("images") + 100_000
+    assert out.filter("paths IS NULL").count() > 0 and size("images") > 1_500_000
+    as_is = joins.images_left(joined, images, ["site_no"], list_bytes=None)
+    assert "REPARTITION" not in plan(as_is) and as_is.count() == out.count()

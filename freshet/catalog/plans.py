@@ -150,18 +150,18 @@ SNOTEL = """SELECT b.site_no, s.station_id, CAST(s.ord % 3500 AS DOUBLE) * 0.304
 JOIN (SELECT site_no, lon - 0.4 AS w, lat - 0.3 AS s, lon + 0.4 AS e, lat + 0.3 AS n FROM gauges) b ON s.lon BETWEEN b.w AND b.e AND s.lat BETWEEN b.s AND b.n WHERE s.ord % 6 <> 0"""
 
 
-def snotel_samples(d: Inputs) -> DataFrame:
+def snotel_samples(d: Inputs, digits: int | None = None) -> DataFrame:
     from freshet.catalog.linking import gauge_boxes
 
     s = d.view("stations").withColumn("elevation", (F.col("ord") % 3500).cast("double"))
     readings = s.select("station_id", F.explode(F.sequence(F.lit("2024-06-04").cast("date"), F.lit("2024-06-06").cast("date"))).alias("date"),
                         F.when(F.col("ord") % 6 != 0, (F.col("ord") % 400).cast("double")).alias("WTEQ"))
-    return snow.sample_basin_snotel(gauge_boxes(d), s, readings, "2024-06-05")
+    return snow.sample_basin_snotel(gauge_boxes(d), s, readings, "2024-06-05", digits=digits)
 
 
 @query("sample_basin_snotel", f"SELECT site_no, station_id, round(z, 6) AS elevation_m, round(swe, 6) AS swe_mm FROM ({SNOTEL})", ["gauges", "stations"])
 def sample_basin_snotel(d: Inputs) -> DataFrame:
-    return snotel_samples(d).select("site_no", "station_id", *rounded("elevation_m", "swe_mm"))
+    return snotel_samples(d, digits=6)
 
 
 @query("snow_state", f"""

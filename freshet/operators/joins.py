@@ -38,22 +38,39 @@ def densify_hours(df: DataFrame, keys: Sequence[str], hour: str = "hour", step:
     return axis.join(df, [*keys, hour], "left")
 
 
-#: Rows of a part of `dealt_join`; a task walks through one part in memory.
-PART_ROWS = 2048
+#: Rows of a part of `dealt_join` on the right, which a task holds in memory, and on the left, which it reads through.
+PART_ROWS, LEFT_ROWS = 2048, 65_536
 
 
-def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], part_rows: int = PART_ROWS) -> DataFrame:
+def _parts(df: DataFrame, keys: Sequence[str], rows: int, name: str) -> DataFrame:
+    """The number of parts of about `rows` rows for each key."""
+    return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+
+
+def _part_of(df: DataFrame, parts: Column) -> Column:
+    """A row's part, by a hash of the whole row."""
+    row = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.pmod(F.xxhash64(*row), parts).cast("int")
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], part_rows: int = PART_ROWS,
+               left_rows: int = LEFT_ROWS) -> DataFrame:
     """Inner join on keys that hold many rows on both sides, so that the pairs of one key are the work of many tasks.
 
-    The right rows of a key are dealt into parts of about `part_rows`, by a hash of the whole row, and each left row
-    meets every part of its key. The number of tasks is fixed, as Spark would merge them by their bytes, not their pairs.
+    The rows of a key are dealt into parts of about `part_rows` on the right and `left_rows` on the left, and every left
+    part meets every right one. The number of tasks is fixed, as Spark would merge them by their bytes, not their pairs.
+    The pairs of a left row come one after the other, so its columns take next to no room in a file.
     """
     keys, tasks = list(keys), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("_parts"))
-    row = [c for c, kind in right.dtypes if "map<" not in kind and "variant" not in kind]
-    dealt = (right.join(parts, keys).withColumn("_part", F.pmod(F.xxhash64(*row), F.col("_parts")).cast("int")).drop("_parts"))
-    asking = left.hint("merge").join(parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    return asking.repartition(tasks, *keys, "_part").join(dealt.hint("merge"), [*keys, "_part"]).drop("_part")
+    parts = _parts(right, keys, part_rows, "_parts").join(_parts(left, keys, left_rows, "_deals"), keys)
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    dealt = right.join(parts, keys).withColumn("_part", _part_of(right, F.col("_parts"))).withColumn("_deal", every("_deals")).drop("_parts", "_deals")
+    asking = left.hint("merge").join(parts, keys).withColumn("_deal", _part_of(left, F.col("_deals"))).withColumn("_part", every("_parts")).drop("_parts", "_deals")
+    on = [*keys, "_part", "_deal"]
+    return asking.repartition(tasks, *on).join(dealt.hint("merge"), on).drop("_part", "_deal")
 
 
 def weather_flow_inner(weather: DataFrame, flow: DataFrame, keys: Sequence[str] = ("site_no",)) -> DataFrame:

@@ -56,14 +56,16 @@ def _bucket(value: Column, size: float) -> Column:
 def bbox_join(points: DataFrame, boxes: DataFrame, size: float = 0.5) -> DataFrame:
     """Points inside boxes, bounds included, by an equality join on grid buckets.
 
-    Boxes carry min_lon, min_lat, max_lon, max_lat; points carry lat and lon. The points of a full bucket are dealt
-    into parts (`joins.dealt_join`).
+    Boxes carry min_lon, min_lat, max_lon, max_lat; points carry lat and lon. The pairs of a full bucket are dealt over
+    tasks (`joins.dealt_join`), where the boxes of a point come one after the other: points have more columns to store.
     """
     spread = boxes.withColumn("_bi", F.explode(F.sequence(_bucket(F.col("min_lat"), size), _bucket(F.col("max_lat"), size))))
     spread = spread.withColumn("_bj", F.explode(F.sequence(_bucket(F.col("min_lon"), size), _bucket(F.col("max_lon"), size))))
     placed = points.withColumns({"_bi": _bucket(F.col("lat"), size), "_bj": _bucket(F.col("lon"), size)})
     inside = F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lon").between(F.col("min_lon"), F.col("max_lon"))
-    return joins.dealt_join(spread, placed, ["_bi", "_bj"]).filter(inside).drop("_bi", "_bj")
+    pairs = joins.dealt_join(placed, spread, ["_bi", "_bj"]).filter(inside).drop("_bi", "_bj")
+    names = [*boxes.columns, *points.columns]
+    return pairs.select(*names) if len({*names}) == len(names) else pairs
 
 
 def _ring_edges(ring: Column) -> Column:

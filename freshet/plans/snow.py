@@ -24,18 +24,19 @@ def basin_swe_bands(cells: DataFrame, basins: DataFrame, dem: DataFrame, bands:
 
 
 def sample_basin_snotel(boxes: DataFrame, stations: DataFrame, readings: DataFrame, day: str,
-                        key: str = "site_no") -> DataFrame:
-    """Snow of every station inside each basin's box on one date, in millimetres and metres.
+                        key: str = "site_no", digits: int | None = None) -> DataFrame:
+    """Snow of every station inside each basin's box on one date, in millimetres and metres, rounded if `digits` is given.
 
     Stations carry elevation in feet; readings carry WTEQ in inches. Stations without a reading are dropped. Readings
-    join the stations first, which are far fewer than the pairs of basin and station.
+    join the stations first and are converted there, as stations are far fewer than the pairs of basin and station.
     """
     wanted = readings.filter(F.col("date") == F.lit(day).cast("date")).filter(F.col("WTEQ").isNotNull())
+    values = {"elevation_m": numbers.feet_to_m(F.col("elevation")), "swe_mm": numbers.inches_to_mm(F.col("WTEQ"))}
     reporting = stations.select("station_id", "lat", "lon", "elevation").join(
-        wanted.select("station_id", "WTEQ").hint("merge"), "station_id")
+        wanted.select("station_id", "WTEQ").hint("merge"), "station_id").select("station_id", "lat", "lon", *[
+            (v if digits is None else F.round(v, digits)).alias(c) for c, v in values.items()])
     joined = spatial.bbox_join(reporting, boxes.select(key, "min_lon", "min_lat", "max_lon", "max_lat"))
-    return joined.select(key, "station_id", numbers.feet_to_m(F.col("elevation")).alias("elevation_m"),
-                         numbers.inches_to_mm(F.col("WTEQ")).alias("swe_mm"))
+    return joined.select(key, "station_id", *values)
 
 
 def snow_state(basins: DataFrame, samples: DataFrame, n_bands: int = 5, key: str = "site_no",

@@ -39,6 +39,24 @@ def test_pairs_of_one_key_are_the_work_of_many_tasks(spark):
     assert out.columns == ["k", "a", "b"] and "_part" in plan(out)
 
 
+def test_rows_of_one_key_are_dealt_on_both_sides(spark):
+    left = spark.createDataFrame([("hot", i // 3) for i in range(50)] + [("cold", 9), (None, 11)], "k string, a int")
+    right = spark.createDataFrame([("hot", i // 2) for i in range(20)] + [("cold", 1), (None, 2)], "k string, b int")
+    out = joins.dealt_join(left, right, ["k"], part_rows=6, left_rows=7)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    assert out.columns == ["k", "a", "b"]
+
+
+def test_boxes_of_a_point_come_one_after_the_other(spark):
+    stations = spark.range(90).select(F.concat(F.lit("s"), "id").alias("station_id"), (F.col("id") / 900).alias("lat"), (F.col("id") / 800).alias("lon"), F.col("id").cast("double").alias("elevation"))
+    readings = stations.select("station_id", F.col("elevation").alias("WTEQ"), F.lit(date(2024, 6, 5)).alias("date"))
+    boxes = spark.range(120).select(F.concat(F.lit("b"), "id").alias("site_no"), F.lit(-1.0).alias("min_lon"), F.lit(-1.0).alias("min_lat"), F.lit(1.0).alias("max_lon"), F.lit(1.0).alias("max_lat"))
+    rows = snow.sample_basin_snotel(boxes, stations, readings, "2024-06-05", digits=2).collect()
+    assert len({(r.site_no, r.station_id) for r in rows}) == len(rows) == 90 * 120
+    assert sum(a.station_id != b.station_id for a, b in zip(rows, rows[1:])) < 2 * 90
+    assert {(r.station_id, r.elevation_m, r.swe_mm) for r in rows} == {(f"s{i}", round(i * 0.3048, 2), round(i * 25.4, 2)) for i in range(90)}
+
+
 def test_distances_of_a_state_are_dealt_out(spark):
     from freshet.catalog import QUERIES
 

@@ -130,6 +130,37 @@ def test_images_of_one_second_wait_as_one(spark, tmp_path):
     assert {r["key"] for r in got.collect() if r["key"]} == {"k0049", "k0199", "k0349"} and late == 0
 
 
+def test_waiting_days_are_worked_through_one_by_one(spark, tmp_path):
+    from tests.test_streams_in_order import KIND, run_files
+
+    begin = pd.Timestamp("2024-05-01 18:00")
+    rows = [("c", (begin + pd.Timedelta(hours=i)).to_pydatetime(), f"k{i:04d}") for i in range(24 * 6)]
+    closing = [("closing", (begin + pd.Timedelta(days=90)).to_pydatetime(), "")]
+
+    def fold(camera, memory, ready, now):
+        seen = int(memory or 0) + len(ready)
+        made = pd.DataFrame({"camera_id": [camera], "n": [len(ready)], "seen": [seen],
+                             "first": [pd.to_datetime(ready["datetime"]).min()], "until": pd.to_datetime([now], unit="ms")})
+        return str(seen), made if len(ready) and camera == "c" else made.iloc[:0], None
+
+    got, late = run_files(spark, tmp_path, "days", [rows[1::2], rows[::2], closing], lambda s: jobs.replay_in_order(
+        s, "camera_id", "datetime", "30 days", fold, "camera_id string, n int, seen int, first timestamp, until timestamp", block_ms=jobs.DAY_MS), KIND)
+    calls = sorted(got.collect(), key=lambda r: r["first"])
+    assert [r.n for r in calls] == [6, 24, 24, 24, 24, 24, 18] and [r.seen for r in calls] == [6, 30, 54, 78, 102, 126, 144] and late == 0
+    assert all(a["first"] < a.until <= b["first"] for a, b in zip(calls, calls[1:]))
+
+
+def test_waiting_rows_take_little_room():
+    at = pd.Timestamp("2024-05-01") + pd.to_timedelta(np.arange(40_000) * 7, unit="s")
+    rows = pd.DataFrame({"camera_id": "CO_Cam_1", "datetime": at, "key": [f"overlay/CO_Cam_1/CO_Cam_1___{t:%Y-%m-%dT%H-%M-%S}Z.jpg" for t in at]})
+    blocks = {}
+    for i in range(100):
+        jobs.wait(blocks, rows.iloc[i::100], "datetime", 0, jobs.DAY_MS, lambda r: r.sort_values("datetime"))
+    kept = pd.concat([jobs.unpacked(b[0], lambda r: r) for _, b in sorted(blocks.items())]).sort_values("datetime")
+    assert kept["key"].tolist() == rows["key"].tolist() and len(blocks) == 4
+    assert max(len(b[0]) for b in blocks.values()) <= jobs.PIECES and sum(len(p) for b in blocks.values() for p in b[0]) < 25 * len(rows)
+
+
 def test_an_hours_image_list_is_written_once(spark, tmp_path):
     hour = F.timestamp_seconds(F.col("h") * 3600).alias("hour_updated")
     rows = spark.range(24 * 20).select(F.when(F.col("id") != 5, "a").alias("site_no"), (F.col("id") % 25).alias("h"), F.col("id").alias("ord"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,6 +28,8 @@ def l2_normalise(df: DataFrame, vector: str = "embedding", name: str = "unit") -
 RINGS = 32
 #: Cosines are compared after rounding to nine digits; bounds of distances keep clear of that and of rounding.
 ROUNDED, SLACK = 1e-9, 1e-6
+#: Bytes of vectors on each side of a tile, the pairs of blocks that one call compares; a task holds both sides.
+TILE_BYTES = 32 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -87,31 +90,77 @@ def _top(sims: np.ndarray, own: np.ndarray, ids: np.ndarray, floor: np.ndarray,
     return row[place < k], column[place < k], sim[place < k]
 
 
+def _near(a: np.ndarray, short: np.ndarray, own: np.ndarray, b: np.ndarray, ids: np.ndarray, floor: np.ndarray,
+          k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) of what may be among the k best of each row from `floor` on, rounded.
+
+    Products in single precision (`short`), whose error is bounded, choose what is reckoned in double; rows with many
+    such columns are reckoned as a whole.
+    """
+    error, other, found = (a.shape[1] + 16) * 2.0 ** -24, b.astype(np.float32).T, []
+    for at in range(0, len(a), 256):
+        low = (floor[at:at + 256] - 2 * ROUNDED - error).astype(np.float32)
+        hits = short[at:at + 256] @ other >= low[:, None]
+        crowded = np.flatnonzero(np.count_nonzero(hits, axis=1) > max(64, 4 * k))
+        if len(crowded):
+            row, column, sim = _top(a[at + crowded] @ b.T, own[at + crowded], ids, floor[at + crowded], k)
+            found.append((at + crowded[row], column, sim))
+            hits[crowded] = False
+        row, column = np.divmod(np.flatnonzero(hits), len(b))
+        row += at
+        sim = np.round(np.einsum("ij,ij->i", a[row], b[column]), 9)
+        kept = (sim >= floor[row] - 2 * ROUNDED) & (own[row] != ids[column])
+        found.append((row[kept], column[kept], sim[kept]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _tile_best(left: pd.DataFrame, rights: list[tuple[np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
+    """The k best of the right blocks (ids, vectors) for each row of a left block; what is found raises the bound for
+    the blocks that follow."""
+    a, own = np.stack(left["unit"].to_numpy()), left["id"].to_numpy()
+    short = a.astype(np.float32)
+    # Nothing below the k-th similarity of the own block, which `reach` was made of, can be among the k best.
+    floor = 1.0 - left["reach"].to_numpy() ** 2 / 2.0 if "reach" in left else np.full(len(a), -2.0)
+    row, name, sim = np.empty(0, int), own[:0], np.empty(0)
+    for ids, b in rights:
+        r, c, s = _near(a, short, own, b, ids, floor, k)
+        row, name, sim = np.concatenate([row, r]), np.concatenate([name, ids[c]]), np.concatenate([sim, s])
+        order = np.lexsort((name, -sim, row))
+        row, name, sim = row[order], name[order], sim[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, name, sim, place = row[place < k], name[place < k], sim[place < k], place[place < k]
+        last = place == k - 1
+        floor[row[last]] = np.maximum(floor[row[last]], sim[last])
+    return pd.DataFrame({"id": own[row], "neighbour": name, "sim": sim})
+
+
 def _block_best(k: int, name: str):
     """The k best of the right rows for each left row, itself left out; fewer if there are fewer, or if the row's own
-    block holds nearer ones."""
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "sim": []})
-        a, b = np.stack(left["unit"].to_numpy()), np.stack(right["unit"].to_numpy())
-        own, ids, found = left["id"].to_numpy(), right["id"].to_numpy(), []
-        # Nothing below the k-th similarity of the own block, which `reach` was made of, can be among the k best.
-        floor = 1.0 - left["reach"].to_numpy() ** 2 / 2.0 if "reach" in left else np.full(len(a), -2.0)
+    block holds nearer ones. Left rows may name the right blocks (`others`) that their block is compared with."""
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        a, own, found = np.stack(rows["unit"].to_numpy()), rows["id"].to_numpy(), []
         for at in range(0, len(a), 1024):
             part = slice(at, at + 1024)
-            row, column, sim = _top(a[part] @ b.T, own[part], ids, floor[part], k)
-            found.append(pd.DataFrame({"id": own[part][row], "neighbour": ids[column], "sim": sim}))
+            row, column, sim = _top(a[part] @ a.T, own[part], own, np.full(len(a[part]), -2.0), k)
+            found.append(pd.DataFrame({"id": own[part][row], "neighbour": own[column], "sim": sim}))
         return pd.concat(found)
 
-    if name == "own":
-        def reach(rows: pd.DataFrame) -> pd.DataFrame:
-            near = best(rows, rows)
-            worst = near.groupby("id")["sim"].agg(["size", "min"])
-            limit = worst["min"].where(worst["size"] >= k, -1.0).reindex(rows["id"]).fillna(-1.0).to_numpy()
-            return rows.assign(reach=np.sqrt(np.maximum(2.0 - 2.0 * (limit - ROUNDED), 0.0)) + SLACK)
+    def pairs(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"id": [], "neighbour": [], "sim": []})
+        blocks = {n: (rows["near_id"].to_numpy(), np.stack(rows["near_unit"].to_numpy()))
+                  for n, rows in (right.groupby("near") if "near" in right else [(0, right)])}
+        found = [_tile_best(rows, [blocks[n] for n in (rows["others"].iloc[0] if "others" in rows else blocks) if n in blocks], k)
+                 for _, rows in (left.groupby("block") if "others" in left else [(0, left)])]
+        return pd.concat(found, ignore_index=True)
+
+    def reach(rows: pd.DataFrame) -> pd.DataFrame:
+        near = best(rows)
+        worst = near.groupby("id")["sim"].agg(["size", "min"])
+        limit = worst["min"].where(worst["size"] >= k, -1.0).reindex(rows["id"]).fillna(-1.0).to_numpy()
+        return rows.assign(reach=np.sqrt(np.maximum(2.0 - 2.0 * (limit - ROUNDED), 0.0)) + SLACK)
 
-        return reach
-    return lambda key, left, right: best(left, right.rename(columns={"near_id": "id", "near_unit": "unit"}))
+    return reach if name == "own" else pairs
 
 
 def _needs(rows: DataFrame, pivots: np.ndarray, rings: list) -> DataFrame:
@@ -186,21 +235,32 @@ def visited_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.agg(F.sum(F.col("n") * F.col("m")).alias("visited")).join(total)
 
 
+def _tile_blocks(rows: DataFrame, block_rows: int) -> int:
+    """Blocks on each side of a tile: as many as a task holds, but four tiles or more for each core if there are so many."""
+    blocks, entries = rows.agg(F.coalesce(F.max("block") + 1, F.lit(1)), F.coalesce(F.max(F.size("unit")), F.lit(1))).first()
+    held = TILE_BYTES // (8 * max(entries, 1) * block_rows)
+    return max(1, min(held, int(blocks / math.sqrt(4 * rows.sparkSession.sparkContext.defaultParallelism))))
+
+
 def cosine_neighbours(df: DataFrame, k: int = 5, key: str = "site_no", vector: str = "embedding",
                       block_rows: int = 4096, blocks: int | None = None, pivots: int = 256) -> DataFrame:
     """Exact k most similar other rows by cosine; the lower id wins ties. `blocks` asks for so many blocks or more.
 
-    Only pairs of blocks that may hold a match are compared (`neighbour_plan`). Each is one task-sized matrix product
-    that returns up to k rows per left row, those as near as the k-th one of its own block, and the ranks over these are limited before their shuffle too.
+    Only pairs of blocks that may hold a match are compared (`neighbour_plan`). They are put together to tiles of many
+    blocks by many, so that a row is sent once for a tile and not for each pair of blocks. A tile returns up to k rows
+    per left row, and the ranks over these are limited before their shuffle too.
     """
     if blocks:
         block_rows = max(1, -(-df.count() // blocks))
     rows, pairs = neighbour_plan(df, k, key, vector, block_rows, pivots)
     kind = dict(df.dtypes)[key]
-    left = rows.join(pairs, "block").select("id", "unit", "reach", "block", "other")
+    side = _tile_blocks(rows, block_rows)
+    tiled = pairs.withColumns({"tile": F.floor(F.col("block") / side).cast("int"), "other_tile": F.floor(F.col("other") / side).cast("int")})
+    left = rows.join(tiled.groupBy("block", "tile", "other_tile").agg(F.sort_array(F.collect_list("other")).alias("others")), "block").select(
+        "id", "unit", "reach", "block", "others", "tile", "other_tile")
     right = rows.select(F.col("id").alias("near_id"), F.col("unit").alias("near_unit"), F.col("block").alias("near")).join(
-        pairs.select(F.col("other").alias("near"), F.col("block").alias("of")), "near").select("near_id", "near_unit", "of", "near")
-    near = left.groupBy("block", "other").cogroup(right.groupBy("of", "near")).applyInPandas(
+        tiled.select(F.col("other").alias("near"), F.col("tile").alias("of"), F.col("other_tile").alias("of_other")).distinct(), "near")
+    near = left.groupBy("tile", "other_tile").cogroup(right.groupBy("of", "of_other")).applyInPandas(
         _block_best(k, "pair"), f"id {kind}, neighbour {kind}, sim double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour"))
     return (near.withColumn("rank", rank).filter(F.col("rank") <= k)

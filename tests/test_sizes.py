@@ -107,6 +107,45 @@ def test_block_gives_only_rows_within_reach(spark):
         assert both[both["id"] == f"v{i}"]["neighbour"].tolist() == [v for _, v in sims]
 
 
+def test_a_row_is_sent_once_for_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(400, 6))
+    points[380:] = points[5]  # copies
+    df = spark.createDataFrame([(f"v{i:03d}", [float(x) for x in v]) for i, v in enumerate(points)], "site_no string, embedding array<double>")
+    sent, best = spark.sparkContext.accumulator(0), vectors._block_best
+
+    def counted(k, name):
+        work = best(k, name)
+
+        def pairs(key, left, right):
+            sent.add(len(left) + len(right))
+            return work(key, left, right)
+
+        return work if name == "own" else pairs
+
+    monkeypatch.setattr(vectors, "_block_best", counted)
+    got = {(r.site_no, r["rank"]): r.neighbour for r in vectors.cosine_neighbours(df, 3, block_rows=10).collect()}
+    assert 0 < sent.value < 400 * 2 * 8
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    for i in range(400):
+        nearest = sorted((-round(float(unit[i] @ unit[j]), 9), f"v{j:03d}") for j in range(400) if j != i)[:3]
+        assert [got[f"v{i:03d}", n] for n in (1, 2, 3)] == [v for _, v in nearest]
+
+
+def test_rows_with_many_near_columns_are_reckoned_as_a_whole():
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(300, 5)) + 3 * (np.arange(300) % 2)[:, None]
+    a = a / np.linalg.norm(a, axis=1)[:, None]
+    b, ids = np.concatenate([a[:200], np.repeat(a[7:8], 150, 0)]), np.arange(1000, 1350)
+    floor = np.where(np.arange(300) % 3, -2.0, 0.99)
+    row, column, sim = vectors._near(a, a.astype(np.float32), np.arange(300) + 1000, b, ids, floor, 4)
+    exact = np.round(a @ b.T, 9)
+    for i in range(300):
+        here = sorted((-s, ids[c]) for s, c in zip(sim[row == i], column[row == i]))[:4]
+        want = sorted((-exact[i, c], ids[c]) for c in range(350) if ids[c] != 1000 + i and exact[i, c] >= floor[i])[:4]
+        assert [n for _, n in here][:len(want)] == [n for _, n in want]
+
+
 def test_waiting_rows_are_reduced_as_they_come(monkeypatch):
     monkeypatch.setattr(jobs, "GATHERED_ROWS", 100)
     sizes = []

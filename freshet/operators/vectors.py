@@ -176,9 +176,8 @@ def _needs(rows: DataFrame, pivots: np.ndarray, rings: list) -> DataFrame:
     between = _distances(pivots, pivots)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if not part.num_rows:
-                continue
+        # The tables below have a column for each ring, so they are made for few rows at a time.
+        for part in (p.slice(at, 1024) for p in parts for at in range(0, p.num_rows, 1024)):
             block, cell, far, reach = (np.asarray(part.column(i)) for i in range(1, 5))
             away = _distances(_matrix(part.column(0)), pivots)
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -236,9 +235,12 @@ def visited_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _tile_blocks(rows: DataFrame, block_rows: int) -> int:
-    """Blocks on each side of a tile: as many as a task holds, but four tiles or more for each core if there are so many."""
-    blocks, entries = rows.agg(F.coalesce(F.max("block") + 1, F.lit(1)), F.coalesce(F.max(F.size("unit")), F.lit(1))).first()
-    held = TILE_BYTES // (8 * max(entries, 1) * block_rows)
+    """Blocks on each side of a tile: as many as a task holds, but four tiles or more for each core if there are so many.
+
+    Blocks of small cells are not full, so their mean number of rows counts.
+    """
+    blocks, entries, n = rows.agg(F.coalesce(F.max("block") + 1, F.lit(1)), F.coalesce(F.max(F.size("unit")), F.lit(1)), F.count(F.lit(1))).first()
+    held = TILE_BYTES // (8 * max(entries, 1) * max(1, min(block_rows, -(-n // blocks))))
     return max(1, min(held, int(blocks / math.sqrt(4 * rows.sparkSession.sparkContext.defaultParallelism))))
 
 
